@@ -13,9 +13,10 @@ The results are exactly those of the one-level window.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 Bucket = tuple[Column, bool]  # expression, descending?
@@ -91,22 +92,25 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k:
     return ranked if out else ranked.drop(rank)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder of ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """Checkpoint folder of the session, shared by all executors.
 
-    The setting is read from the session. Only a local session without one gets a
-    scratch folder; on a cluster a missing setting is an error, because a folder of one
-    machine would be lost with it.
+    ``spark.checkpoint.dir`` is read from the session. Only a local session without it gets
+    a scratch folder; on a cluster a missing setting is an error, because a folder of one
+    machine is lost with it.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
             if not context.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            import tempfile
-
             folder = tempfile.mkdtemp(prefix="placelore-checkpoint-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder; survives the loss of executors."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -75,4 +75,17 @@ def has_text(col: Column | str) -> Column:
 
 
 def is_json(col: Column | str) -> Column:
-    return F.try_parse_json(col).isNotNull()
+    """True when the whole text is one JSON value.
+
+    The parser stops after the first value, so the text is wrapped in an array to notice the rest.
+    """
+    text = F.col(col) if isinstance(col, str) else col
+    members = F.try_variant_get(
+        F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>"
+    )
+    return F.coalesce(F.size(members) == 1, F.lit(False))
+
+
+def strip(col: Column | str) -> Column:
+    """Without leading and trailing white space of any kind."""
+    return F.regexp_replace(col, r"^\s+|\s+$", "")

@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from placelore.plans import oracle_base, queries_base
+from placelore.plans import oracle_base, oracle_eval, queries_base, queries_eval
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {**queries_base.QUERIES}
+    return {**queries_base.QUERIES, **queries_eval.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**oracle_base.ORACLE}
+    return {**oracle_base.ORACLE, **oracle_eval.ORACLE}

@@ -18,3 +18,8 @@ EVAL_LEVEL = 2  # path segment used as prediction category
 BUDGET = 300
 CHUNK = 10
 PROMPT_ROWS = 1000
+PRICES = (15.0, 60.0)  # per million prompt and completion tokens
+BOOTSTRAP_DRAWS = 50
+EXPLICIT_TEMPLATE = "examples: {few_shot}\ndemographics: {demographic_prompt}\nreviews:\n{user_prompt}"
+FEW_SHOT_RICH, FEW_SHOT_SPARSE = "rich", "sparse"
+PREDICTION_TEMPLATE = "memory:\n{memory_context}\ncategories: {category_list}\nanswer with ten categories"
