@@ -23,3 +23,7 @@ BOOTSTRAP_DRAWS = 50
 EXPLICIT_TEMPLATE = "examples: {few_shot}\ndemographics: {demographic_prompt}\nreviews:\n{user_prompt}"
 FEW_SHOT_RICH, FEW_SHOT_SPARSE = "rich", "sparse"
 PREDICTION_TEMPLATE = "memory:\n{memory_context}\ncategories: {category_list}\nanswer with ten categories"
+ATTRIBUTES = ["segment", "nation"]
+MAX_AGE = 10  # days; the test data spans a month
+LINK_THRESHOLD = 0.5
+HEALTH_DATES = [date(2024, 1, 9), date(2024, 1, 16), date(2024, 1, 23), LAST_DAY]
