@@ -14,6 +14,7 @@ The results are exactly those of the one-level window.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -111,6 +112,13 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder; survives the loss of executors."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Writes ``df`` as a table to the shared folder and reads it back (an action).
+
+    Survives the loss of executors. Unlike a checkpointed plan, the table is columnar, is
+    pruned by its readers, and starts with known size and without inherited plan
+    constraints, which otherwise pile up in a loop. The folder's owner cleans it up.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

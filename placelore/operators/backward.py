@@ -6,7 +6,7 @@ one user's tree; their number is bounded by the categories below that node, not
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from datetime import date
 
 import pandas as pd
@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from placelore.functions.skew import cut_lineage
 from placelore.functions.text import path_level, path_parent
-from placelore.operators.notes import axis_of, axis_rank, collapse_items
+from placelore.operators.notes import collapse_items
 
 State = tuple[DataFrame, DataFrame]
 
@@ -87,7 +88,12 @@ def _one_per_content(elements: DataFrame, keys: list[str]) -> tuple[DataFrame, D
 
 
 def merge_siblings(
-    items: DataFrame, notes: DataFrame, keys: Sequence[str] = ("idhash",), tau: float = 0.5, partial: float = 0.25
+    items: DataFrame,
+    notes: DataFrame,
+    keys: Sequence[str] = ("idhash",),
+    tau: float = 0.5,
+    partial: float = 0.25,
+    materialize: Callable[[DataFrame], DataFrame] = cut_lineage,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Merges overlapping leaf siblings; returns (items, notes, log).
 
@@ -95,10 +101,13 @@ def merge_siblings(
     the highest ``updated_count`` (then smallest path), counts add up, the latest date
     stays. Afterwards, pairs with ``partial`` <= Jaccard < ``tau`` move only their shared
     items to the stronger leaf; the weaker one keeps the rest and its counters.
+
+    ``materialize`` (a checkpoint by default) runs on the intermediate tables that are read
+    several times.
     """
     keys = list(keys)
     group = [*keys, "parent"]
-    elements = _leaf_elements(items, notes, keys)
+    elements = materialize(_leaf_elements(items, notes, keys))
     distinct_contents, copies = _one_per_content(elements, keys)
     links = _sibling_pairs(distinct_contents, keys).filter(F.col("jaccard") >= tau).select(*group, "path_a", "path_b")
     members = _connected(links.unionByName(copies), keys)
@@ -107,22 +116,22 @@ def merge_siblings(
     targets = ranked.groupBy(*group, "component").agg(
         F.min(F.struct((-F.col("updated_count")).alias("weakness"), F.col("path").alias("target"))).alias("_best")
     )
-    moves = (
+    moves = materialize(
         ranked.join(targets, [*group, "component"])
         .select(*keys, "path", F.col("_best.target").alias("target"))
         .filter(F.col("path") != F.col("target"))
     )
     target = F.coalesce("target", "path")
-    merged_items = collapse_items(
-        items.join(moves, [*keys, "path"], "left").withColumn("path", target).drop("target"), keys
+    merged_items = materialize(
+        collapse_items(items.join(moves, [*keys, "path"], "left").withColumn("path", target).drop("target"), keys)
     )
-    merged_notes = (
+    merged_notes = materialize(
         notes.join(moves, [*keys, "path"], "left")
         .withColumn("path", target)
         .groupBy(*keys, "path")
         .agg(F.sum("updated_count").alias("updated_count"), F.max("recently_updated").alias("recently_updated"))
     )
-    final_items, partial_moves = _merge_partially(merged_items, merged_notes, keys, tau, partial)
+    final_items, partial_moves = _merge_partially(merged_items, merged_notes, keys, tau, partial, materialize)
     log = moves.withColumn("kind", F.lit("full")).unionByName(
         partial_moves.select(*keys, "path", "target").distinct().withColumn("kind", F.lit("partial"))
     )
@@ -130,10 +139,10 @@ def merge_siblings(
 
 
 def _merge_partially(
-    items: DataFrame, notes: DataFrame, keys: list[str], tau: float, partial: float
+    items: DataFrame, notes: DataFrame, keys: list[str], tau: float, partial: float, materialize
 ) -> tuple[DataFrame, DataFrame]:
     group = [*keys, "parent"]
-    elements = _leaf_elements(items, notes, keys)
+    elements = materialize(_leaf_elements(items, notes, keys))
     pairs = _sibling_pairs(elements, keys).filter((F.col("jaccard") >= partial) & (F.col("jaccard") < tau))
     both_ways = pairs.select(*group, "path_a", "path_b").unionByName(
         pairs.select(*group, F.col("path_b").alias("path_a"), F.col("path_a").alias("path_b"))
@@ -144,7 +153,7 @@ def _merge_partially(
         (F.col("count_b") == F.col("count_a")) & (F.col("path_b") < F.col("path_a"))
     )
     best = F.min(F.struct((-F.col("count_b")).alias("weakness"), F.col("path_b").alias("target")))
-    moves = (
+    moves = materialize(
         both_ways.join(weak, [*group, "path_a"])
         .join(strong, [*group, "path_b", "element"])
         .filter(stronger)
@@ -166,43 +175,25 @@ def lift_common_traits(items: DataFrame, notes: DataFrame, keys: Sequence[str] =
     """Items held by two or more children of a node move to it and leave the children.
 
     Third to second level first, then second to first on the result. Counters and dates
-    stay; emptied children stay until pruned; a missing parent note is created.
+    stay; emptied children stay until pruned; a parent that gets items but has no note is created.
     """
     keys = list(keys)
     for level in (3, 2):
-        siblings = Window.partitionBy(*keys, "_parent", "item", "polarity")
-        here = (
-            items.filter(path_level("path") == level)
-            .withColumn("_parent", path_parent("path"))
-            .withColumn("_children", F.count("*").over(siblings))
-        )
-        newest = F.max(F.struct("last_seen", axis_rank().alias("rank"))).alias("_newest")
-        lifted = (
-            here.filter(F.col("_children") >= 2)
-            .groupBy(*keys, "_parent", "item", "polarity")
-            .agg(newest, F.sum("support").alias("support"))
-            .select(
-                *keys,
-                F.col("_parent").alias("path"),
-                "item",
-                axis_of(F.col("_newest.rank")).alias("axis"),
-                "polarity",
-                F.col("_newest.last_seen").alias("last_seen"),
-                "support",
-            )
+        siblings = Window.partitionBy(*keys, path_parent("path"), "item", "polarity")
+        shared = (path_level("path") == level) & (F.count("*").over(siblings) >= 2)
+        # a shared item takes the path of its parent, where equal rows become one
+        items = collapse_items(
+            items.withColumn("_shared", shared)
+            .withColumn("path", F.when(F.col("_shared"), path_parent("path")).otherwise(F.col("path")))
+            .drop("_shared"),
+            keys,
         )
-        kept = here.filter(F.col("_children") < 2).drop("_parent", "_children")
-        above = collapse_items(items.filter(path_level("path") == level - 1).unionByName(lifted), keys)
-        elsewhere = items.filter(~path_level("path").isin(level, level - 1))
-        created = (
-            lifted.groupBy(*keys, "path")
-            .agg(F.max("last_seen").alias("recently_updated"))
-            .join(notes.select(*keys, "path"), [*keys, "path"], "left_anti")
-            .withColumn("updated_count", F.lit(1).cast("bigint"))
-        )
-        items = elsewhere.unionByName(kept).unionByName(above)
-        notes = notes.unionByName(created)
-    return items, notes
+    created = (
+        items.groupBy(*keys, "path")
+        .agg(F.lit(1).cast("bigint").alias("updated_count"), F.max("last_seen").alias("recently_updated"))
+        .join(notes.select(*keys, "path"), [*keys, "path"], "left_anti")
+    )
+    return items, notes.select(created.columns).unionByName(created)
 
 
 def compression_gain(before: DataFrame, after: DataFrame, keys: Sequence[str] = ("idhash",)) -> DataFrame:
@@ -254,21 +245,21 @@ def backward_pass(
     tau: float = 0.5,
     min_updates: int = 2,
     max_age: int = 120,
-    materialize=lambda df: df,
+    materialize: Callable[[DataFrame], DataFrame] = cut_lineage,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Merge, lift, prune, in this order; returns (items, notes, merge log).
 
     ``lift_where`` restricts lifting to some rows (variants); ``materialize`` is applied
     between the steps, because every step reads its input several times.
     """
-    items, notes, log = merge_siblings(items, notes, keys, tau)
-    items, notes = materialize(items), materialize(notes)
+    items, notes, log = merge_siblings(items, notes, keys, tau, materialize=materialize)
     if lift_where is None:
         items, notes = lift_common_traits(items, notes, keys)
     else:
         lifted_items, lifted_notes = lift_common_traits(items.filter(lift_where), notes.filter(lift_where), keys)
         items = items.filter(~lift_where).unionByName(lifted_items)
         notes = notes.filter(~lift_where).unionByName(lifted_notes)
-    items, notes = materialize(items), materialize(notes)
-    items, notes = prune_stale(items, notes, as_of, keys, min_updates, max_age)
-    return items, notes, log
+    items = materialize(items)
+    _, notes = prune_stale(items, notes, as_of, keys, min_updates, max_age)
+    notes = materialize(notes)
+    return items.join(notes.select(*keys, "path"), [*keys, "path"], "left_semi"), notes, log

@@ -71,7 +71,9 @@ def build_memory(
         routed = routed.filter(options.dynamic).unionByName(
             base_path_filter(routed.filter(~options.dynamic), taxonomy).select(routed.columns)
         )
-        new_items, new_notes = (cut_lineage(df) for df in apply_batch(routed, old_items, old_notes, keys))
+        new_items, new_notes = (
+            cut_lineage(df) for df in apply_batch(routed, old_items, old_notes, keys, cut_lineage)
+        )
         if old_notes is not None:
             active = cut_lineage(
                 batch.select(keys).distinct().join(old_notes.select(keys).distinct(), keys).filter(options.backward)
@@ -79,11 +81,11 @@ def build_memory(
             touched = [df.join(active, keys, "left_semi") for df in (new_items, new_notes)]
             rest = [df.join(active, keys, "left_anti") for df in (new_items, new_notes)]
             done_items, done_notes, log = backward_pass(
-                *touched, last, keys, options.lift, options.tau, options.min_updates, options.max_age, cut_lineage
+                *touched, last, keys, options.lift, options.tau, options.min_updates, options.max_age
             )
             logs.append(log.withColumn("run_date", F.lit(last)))
             new_items = cut_lineage(rest[0].unionByName(done_items))
-            new_notes = cut_lineage(rest[1].unionByName(done_notes))
+            new_notes = rest[1].unionByName(done_notes)
         state = new_items, new_notes
         day = last + timedelta(days=1)
     return *state, logs

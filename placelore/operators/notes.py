@@ -10,7 +10,7 @@ The content of a note is its set of (axis, item, polarity).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -91,15 +91,17 @@ def apply_batch(
     items: DataFrame | None = None,
     notes: DataFrame | None = None,
     keys: Sequence[str] = ("idhash",),
+    materialize: Callable[[DataFrame], DataFrame] = lambda df: df,
 ) -> tuple[DataFrame, DataFrame]:
     """Forward update with all days of ``routed`` at once; returns the new (items, notes).
 
     Equal to updating day by day: newest information wins, and ``updated_count`` grows by
     one for every day on which the content of a note changed. More support for known items
-    is no change, so the same batch twice changes nothing but support.
+    is no change, so the same batch twice changes nothing but support. Both results are
+    read off one timeline; pass ``materialize`` when both will be written.
     """
     keys = list(keys)
-    timeline = _timeline(routed, items, keys)
+    timeline = materialize(_timeline(routed, items, keys))
     last = F.max(F.struct("day", F.col("value.rank").alias("rank"), F.col("value.polarity").alias("polarity")))
     new_items = (
         timeline.groupBy(*keys, "path", "item")

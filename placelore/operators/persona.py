@@ -89,7 +89,7 @@ def cross_links(items: DataFrame, threshold: float = 0.5) -> DataFrame:
         "path",
         path_prefix("path", 2).alias("domain"),
         F.transform("_set", lambda s: s["item"]).alias("items"),
-        F.explode(prefix)["item"].alias("term"),
+        F.explode(F.transform(prefix, lambda s: s["item"])).alias("term"),
     )
     a = rows.select("idhash", "term", *[F.col(c).alias(f"{c}_a") for c in ("path", "domain", "items")])
     b = rows.select("idhash", "term", *[F.col(c).alias(f"{c}_b") for c in ("path", "domain", "items")])

@@ -15,14 +15,15 @@ from placelore.sources import tables as t
 
 
 
-def profile_items(spark: SparkSession, d: str) -> DataFrame:
+def extract_profile(spark: SparkSession, d: str) -> DataFrame:
     return profile.extract_profile(
         t.clicks(spark, d), t.reviews(spark, d), t.poi(spark, d), t.demo(spark, d), ATTRIBUTES
     )
 
 
-def extract_profile(spark, d):
-    return profile_items(spark, d)
+def profile_items(spark, d) -> DataFrame:
+    """The daily items as a materialized table; routing and updates read it several times."""
+    return cut_lineage(extract_profile(spark, d))
 
 
 def axis_filter(spark, d):
@@ -42,13 +43,14 @@ def routed_train(spark, d) -> DataFrame:
 
 
 def train_state(spark, d) -> tuple[DataFrame, DataFrame]:
-    return notes.apply_batch(routed_train(spark, d))
+    items, state = notes.apply_batch(routed_train(spark, d), materialize=cut_lineage)
+    return cut_lineage(items), cut_lineage(state)
 
 
 def routed_test(spark, d) -> DataFrame:
     """Items of the test window routed against the notes of the train window."""
     items = profile_items(spark, d).filter(day_between(*base.TEST))
-    return routing.route_items(items, t.taxonomy(spark, d), train_state(spark, d)[0])
+    return cut_lineage(routing.route_items(items, t.taxonomy(spark, d), train_state(spark, d)[0]))
 
 
 def route_items(spark, d):
@@ -131,14 +133,14 @@ def prune_stale(spark, d):
 
 
 def backward_pass(spark, d):
-    items, state, _ = backward.backward_pass(*stored_notes(spark, d), LAST_DAY, max_age=MAX_AGE, materialize=cut_lineage)
+    items, state, _ = backward.backward_pass(*stored_notes(spark, d), LAST_DAY, max_age=MAX_AGE)
     return notes.with_content(state, items)
 
 
 def build_memory(spark, d):
     options = memory.MemoryOptions(max_age=MAX_AGE)
     items, state, _ = memory.build_memory(
-        cut_lineage(profile_items(spark, d)), cut_lineage(t.taxonomy(spark, d)), FIRST_DAY, LAST_DAY, options=options
+        profile_items(spark, d), cut_lineage(t.taxonomy(spark, d)), FIRST_DAY, LAST_DAY, options=options
     )
     return notes.with_content(state, items)
 

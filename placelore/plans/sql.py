@@ -16,19 +16,22 @@ def view(name: str, sql: str) -> None:
 def statement(sql: str) -> str:
     """Prefixes ``sql`` with the views it mentions, directly or through other views."""
     order: list[str] = []
+    entered: set[str] = set()
 
     def visit(text: str) -> None:
         for name in re.findall(r"\bv_\w+", text):
-            if name in VIEWS and name not in order:
+            if name in VIEWS and name not in entered:
+                entered.add(name)  # a recursive view mentions itself
                 visit(VIEWS[name])
-                if name not in order:
-                    order.append(name)
+                order.append(name)
 
     visit(sql)
     if not order:
         return sql.strip()
     # MATERIALIZED: deep chains of views are otherwise inlined again at every mention
-    ctes = ",\n".join(f"{name} AS MATERIALIZED (\n{VIEWS[name]}\n)" for name in order)
+    ctes = ",\n".join(
+        f"{name} AS {'' if name in VIEWS[name] else 'MATERIALIZED '}(\n{VIEWS[name]}\n)" for name in order
+    )
     body = sql.strip()
     if body.startswith("WITH "):
         return f"WITH RECURSIVE {ctes},\n{body[5:]}"
