@@ -82,15 +82,19 @@ def graded_poi(clicks: DataFrame, poi: DataFrame, grain: str = "click") -> DataF
     return popularity(clicked, F.col("n_rows")).drop("n_rows")
 
 
+def day_name(timestamp: str) -> Column:
+    """Label by map lookup; NULL for unreadable timestamps."""
+    names = F.create_map(*[F.lit(x) for pair in DAY_NAMES.items() for x in pair])
+    return names[F.dayofweek(F.try_to_timestamp(F.col(timestamp).cast("string")))]
+
+
 def enrich_clicks(clicks: DataFrame, poi: DataFrame, demo: DataFrame, grain: str = "click") -> DataFrame:
     """Clicks with day name, POI attributes, popularity grade and demographics.
 
     ``etimestamp`` may be a string; unreadable ones give a NULL day name.
     """
-    names = F.create_map(*[F.lit(x) for pair in DAY_NAMES.items() for x in pair])
-    day = names[F.dayofweek(F.try_to_timestamp(F.col("etimestamp").cast("string")))]
     return (
-        clicks.withColumn("day_name", day)
+        clicks.withColumn("day_name", day_name("etimestamp"))
         .join(graded_poi(clicks, poi, grain), "sid", "left")
         .join(demo, "idhash", "left")
     )

@@ -32,10 +32,10 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float =
         frequencies.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
     )
     corpus = words.agg(F.struct(F.count("*").alias("n"), F.avg("length").alias("mean")).alias("c")).scalar()
-    idf = F.log(1 + (corpus["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / corpus["mean"]))
+    idf = F.log(1 + (F.col("_corpus.n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("_corpus.mean")))
     return (
-        frequencies.join(asked.join(rarity, "term"), ["scope", "term"])
+        frequencies.join(asked.join(rarity, "term").withColumn("_corpus", corpus), ["scope", "term"])
         .groupBy("query", "scope", "doc")
         .agg(F.round(F.sum(idf * weight), 6).alias("score"))
     )

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from placelore.functions.skew import cut_lineage
 from placelore.functions.text import category_at
 
 # Weights of the engagement score (fixed values).
@@ -33,12 +35,14 @@ def engagement_score(
     as_of: date,
     n: int = 10000,
     window_days: int = 30,
+    materialize: Callable[[DataFrame], DataFrame] = cut_lineage,
 ) -> DataFrame:
     """Weighted sum of min-max normalized counts, category diversity and recency; best ``n`` users.
 
     ``norm`` is min-max over the scored users (0 when constant), diversity is the share of
-    all top categories the user has clicked. The three logs are counted separately and the
-    extremes enter as a scalar subquery, so no log row crosses another one.
+    all top categories the user has clicked. The logs are counted separately and the
+    per-user counts are materialized, so that the extremes, which enter as one scalar
+    subquery, do not scan the logs again.
     """
     categories = poi.select("sid", category_at("category_path").alias("category"))
     counts = clicks.groupBy("idhash").agg(
@@ -51,7 +55,7 @@ def engagement_score(
         .groupBy("idhash")
         .agg(F.count_distinct("category").alias("n_categories"))
     )
-    users = (
+    users = materialize(
         counts.join(reviews.groupBy("idhash").agg(F.count("*").alias("n_reviews")), "idhash", "left")
         .join(saves.groupBy("idhash").agg(F.count("*").alias("n_saves")), "idhash", "left")
         .join(variety, "idhash", "left")
@@ -62,9 +66,10 @@ def engagement_score(
         F.struct(*[F.struct(F.min(m).alias("lo"), F.max(m).alias("hi")).alias(m) for m in measures]).alias("e")
     ).scalar()
     n_all = categories.agg(F.count_distinct("category")).scalar()
+    users = users.withColumn("_extremes", extremes)
 
     def norm(measure: str) -> Column:
-        lo, hi = extremes[measure]["lo"], extremes[measure]["hi"]
+        lo, hi = F.col(f"_extremes.{measure}.lo"), F.col(f"_extremes.{measure}.hi")
         return F.when(hi > lo, (F.col(measure) - lo) / (hi - lo)).otherwise(F.lit(0.0))
 
     parts = users.select(

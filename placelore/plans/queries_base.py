@@ -7,6 +7,7 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from placelore.functions.skew import cut_lineage
 from placelore.operators import changes, enrich, reviews, scoring, selection, sessions, windows
 from placelore.plans.settings import *  # noqa: F403
 from placelore.sources import tables as t
@@ -97,12 +98,8 @@ def demo_dedup(spark, d):
     return enrich.demo_dedup(t.raw_demo(spark, d), [F.col("updated").desc(), F.col("record_id").desc()])
 
 
-def enriched_clicks(spark, d, **window):
-    return enrich.enrich_clicks(t.clicks(spark, d, **window), t.poi(spark, d), t.demo(spark, d))
-
-
 def enrich_clicks(spark, d):
-    return enriched_clicks(spark, d).drop("n_rows")
+    return enrich.enrich_clicks(t.clicks(spark, d), t.poi(spark, d), t.demo(spark, d))
 
 
 def enrich_saves(spark, d):
@@ -124,7 +121,9 @@ def review_rank_pct(spark, d):
 
 
 def sessions_query(spark, d):
-    return sessions.sessions(enriched_clicks(spark, d), SESSION_GAP_MINUTES, place="top_category")
+    clicks = t.clicks(spark, d)
+    places = enrich.graded_poi(clicks, t.poi(spark, d))
+    return sessions.sessions(clicks, places, SESSION_GAP_MINUTES, place="top_category")
 
 
 def reviews_for_day(spark, d):
@@ -150,17 +149,22 @@ def review_dedup(spark, d):
     return clean_reviews(spark, d).select(*REVIEW_COLUMNS)
 
 
+def stored_reviews(spark, d):
+    """Preprocessed reviews as a materialized table; numbering reads them twice."""
+    return cut_lineage(clean_reviews(spark, d))
+
+
 def demo_texts(spark, d):
     return enrich.demo_text(t.demo(spark, d), ["segment", "nation"])
 
 
 def review_rows(spark, d):
-    enriched = enrich.enrich_reviews(clean_reviews(spark, d), t.poi(spark, d), t.demo(spark, d))
+    enriched = enrich.enrich_reviews(stored_reviews(spark, d), t.poi(spark, d), t.demo(spark, d))
     return reviews.review_rows(enriched, demo_texts(spark, d))
 
 
 def review_chunks(spark, d):
-    return reviews.review_chunks(clean_reviews(spark, d), CHUNK).select("idhash", "review_id", "rn", "chunk", "n_reviews")
+    return reviews.review_chunks(stored_reviews(spark, d), CHUNK).select("idhash", "review_id", "rn", "chunk", "n_reviews")
 
 
 def scored_reviews(spark, d):

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placelore.functions.skew import shared_folder
+from placelore.functions.skew import cut_lineage, shared_folder
 from placelore.functions.text import category_at
 from placelore.operators import evaluate, evidence, selection, stats
 from placelore.plans import queries_base as base
@@ -40,7 +40,7 @@ def implicit_prompt(spark, d):
 
 def explicit_prompt(spark, d):
     return evidence.explicit_prompt(
-        base.clean_reviews(spark, d), t.poi(spark, d), base.demo_texts(spark, d),
+        base.stored_reviews(spark, d), t.poi(spark, d), base.demo_texts(spark, d),
         EXPLICIT_TEMPLATE, FEW_SHOT_RICH, FEW_SHOT_SPARSE, CHUNK,
     )
 
@@ -109,8 +109,8 @@ def train_support(spark, d) -> DataFrame:
 
 def predictions(spark, d) -> DataFrame:
     """Variants ``default`` (no evidence), ``support`` (by clicks) and ``recent`` (by last click)."""
-    users = base.train_users(spark, d)
-    known = train_support(spark, d)
+    users = cut_lineage(base.train_users(spark, d))
+    known = cut_lineage(train_support(spark, d))
 
     def variant(name: str, support) -> DataFrame:
         ranked = evaluate.ranked_predictions(
@@ -166,6 +166,11 @@ def mrr(spark, d):
     return evaluate.mrr(predictions(spark, d), truth(spark, d))
 
 
+def results(spark, d) -> DataFrame:
+    """Metric rows as the materialized result table that comparisons read."""
+    return cut_lineage(all_metrics(spark, d))
+
+
 def all_metrics(spark, d):
     return evaluate.all_metrics(predictions(spark, d), truth(spark, d))
 
@@ -179,11 +184,11 @@ def pairwise_eval(spark, d):
 
 
 def variant_summary(spark, d):
-    return stats.variant_summary(all_metrics(spark, d))
+    return stats.variant_summary(results(spark, d))
 
 
 def align_variants(spark, d):
-    return stats.align_variants(all_metrics(spark, d), "support")
+    return stats.align_variants(results(spark, d), "support")
 
 
 def paired_bootstrap(spark, d):
@@ -203,11 +208,11 @@ def holm(spark, d):
 
 
 def compare_variants(spark, d):
-    return stats.compare_variants(all_metrics(spark, d), "support", BOOTSTRAP_DRAWS, "indexed")
+    return stats.compare_variants(results(spark, d), "support", BOOTSTRAP_DRAWS, "indexed")
 
 
 def full_context_gap(spark, d):
-    return stats.full_context_gap(all_metrics(spark, d), "support", "recent")
+    return stats.full_context_gap(results(spark, d), "support", "recent")
 
 
 QUERIES = {
