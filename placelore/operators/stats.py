@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -52,7 +54,13 @@ def _bootstrap_row(confidence: float) -> list[Column]:
     ]
 
 
-def bootstrap_indexed(pairs: DataFrame, n_bootstrap: int, confidence: float = 0.95, user_span: int = 1024) -> DataFrame:
+def bootstrap_indexed(
+    pairs: DataFrame,
+    n_bootstrap: int,
+    confidence: float = 0.95,
+    user_span: int = 1024,
+    materialize: Callable[[DataFrame], DataFrame] = skew.cut_lineage,
+) -> DataFrame:
     """Paired bootstrap whose draws are a function of their numbers.
 
     Slot ``i`` of replicate ``b`` takes row ``md5(b|i) mod n``, so any engine gets the same
@@ -62,10 +70,12 @@ def bootstrap_indexed(pairs: DataFrame, n_bootstrap: int, confidence: float = 0.
     """
     group = ["variant", "metric"]
     diffs = pairs.select(*group, "idhash", (F.col("baseline") - F.col("value")).alias("diff"))
-    numbered = skew.row_number(
-        diffs, group, [F.col("idhash")], [(F.floor(F.col("idhash") / user_span), False)], "slot"
-    ).withColumn("slot", F.col("slot") - 1)
-    sizes = diffs.groupBy(*group).agg(F.count("*").alias("n"), F.round(F.avg("diff"), 6).alias("mean_diff"))
+    numbered = materialize(
+        skew.row_number(
+            diffs, group, [F.col("idhash")], [(F.floor(F.col("idhash") / user_span), False)], "slot"
+        ).withColumn("slot", F.col("slot") - 1)
+    )
+    sizes = numbered.groupBy(*group).agg(F.count("*").alias("n"), F.round(F.avg("diff"), 6).alias("mean_diff"))
     draws = numbered.join(sizes, group).select(
         *group, "n", "slot", F.explode(F.sequence(F.lit(0), F.lit(n_bootstrap - 1))).alias("b")
     )
@@ -159,7 +169,7 @@ def holm(tests: DataFrame, alpha: float = 0.05) -> DataFrame:
 
 def compare_variants(results: DataFrame, baseline: str, n_bootstrap: int = 10000, mode: str = "histogram") -> DataFrame:
     """Every variant against the baseline: means, difference, interval, p, effect size, significance."""
-    pairs = align_variants(results, baseline)
+    pairs = skew.cut_lineage(align_variants(results, baseline))
     tests = paired_bootstrap(pairs, n_bootstrap, mode).join(cohens_d(pairs), ["variant", "metric"])
     return holm(tests).select(
         "variant", "metric", "baseline_mean", "variant_mean", "mean_diff", "ci_lower", "ci_upper", "p_value",
