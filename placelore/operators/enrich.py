@@ -34,8 +34,14 @@ def _grade(pct: Column) -> Column:
     return expr.otherwise(NO_GRADE)
 
 
+def one_row_per_key(dimension: DataFrame, key: str) -> DataFrame:
+    """First row per key in the order of all other columns, so that joins do not multiply log rows."""
+    others = [F.col(c).asc_nulls_last() for c in dimension.columns if c != key]
+    return top_per_key(dimension, [key], others, 1)
+
+
 def _poi_attributes(poi: DataFrame) -> DataFrame:
-    return poi.select(
+    return one_row_per_key(poi.select("sid", "title", "category_path", "road_addr", "place_review_count"), "sid").select(
         "sid",
         "title",
         "category_path",
@@ -101,7 +107,8 @@ def enrich_clicks(clicks: DataFrame, poi: DataFrame, demo: DataFrame, grain: str
 
 
 def enrich_saves(saves: DataFrame, poi: DataFrame) -> DataFrame:
-    return saves.join(poi.select("sid", "title", "category_path"), "sid", "left").withColumn(
+    places = one_row_per_key(poi.select("sid", "title", "category_path"), "sid")
+    return saves.join(places, "sid", "left").withColumn(
         "category", leaf_category("category_path")
     )
 
@@ -109,7 +116,7 @@ def enrich_saves(saves: DataFrame, poi: DataFrame) -> DataFrame:
 def enrich_reviews(reviews: DataFrame, poi: DataFrame, demo: DataFrame) -> DataFrame:
     """Reviews of known places with demographics where known."""
     places = poi.select("place_id", F.col("title").alias("place_name"), F.col("road_addr").alias("address"), "category_path")
-    return reviews.join(places, "place_id").join(demo, "idhash", "left")
+    return reviews.join(one_row_per_key(places, "place_id"), "place_id").join(demo, "idhash", "left")
 
 
 def review_rank_pct(clicks: DataFrame, poi: DataFrame) -> DataFrame:

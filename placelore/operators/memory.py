@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from datetime import date, timedelta
 
@@ -29,13 +29,17 @@ class MemoryOptions:
 
 
 def memory_closed_form(
-    items: DataFrame, taxonomy: DataFrame, keys: Sequence[str] = ("idhash",), base_only: bool = False
+    items: DataFrame,
+    taxonomy: DataFrame,
+    keys: Sequence[str] = ("idhash",),
+    base_only: bool = False,
+    materialize: Callable[[DataFrame], DataFrame] = lambda df: df,
 ) -> tuple[DataFrame, DataFrame]:
     """The whole fold without backward passes in one step: (items, notes)."""
     routed = route_items(items, taxonomy, _no_notes(items, keys), keys)
     if base_only:
         routed = base_path_filter(routed, taxonomy)
-    return apply_batch(routed, keys=keys)
+    return apply_batch(routed, keys=keys, materialize=materialize)
 
 
 def _no_notes(items: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -93,7 +93,7 @@ def update_notes(spark, d):
 
 
 def closed_form(spark, d) -> tuple[DataFrame, DataFrame]:
-    return memory.memory_closed_form(profile_items(spark, d), t.taxonomy(spark, d))
+    return memory.memory_closed_form(profile_items(spark, d), t.taxonomy(spark, d), materialize=cut_lineage)
 
 
 def stored_notes(spark, d) -> tuple[DataFrame, DataFrame]:
@@ -176,8 +176,8 @@ def full_context(spark, d):
 
 
 def fixed_hierarchy(spark, d):
-    items, state = memory.memory_closed_form(profile_items(spark, d), t.taxonomy(spark, d), base_only=True)
-    return context.note_context(cut_lineage(state), cut_lineage(items), BUDGET)
+    items, state = memory.memory_closed_form(profile_items(spark, d), t.taxonomy(spark, d), base_only=True, materialize=cut_lineage)
+    return context.note_context(state, items, BUDGET)
 
 
 def purposes(spark, d) -> DataFrame:
@@ -220,7 +220,9 @@ def structural_health(spark, d):
         "run_date", F.explode(F.filter(dates, lambda x: x >= F.col("datestr")))
     )
     keys = ("run_date", "idhash")
-    version_items, version_notes = (cut_lineage(x) for x in memory.memory_closed_form(items, t.taxonomy(spark, d), keys))
+    version_items, version_notes = (
+        cut_lineage(x) for x in memory.memory_closed_form(items, t.taxonomy(spark, d), keys, materialize=cut_lineage)
+    )
     log = backward.merge_siblings(version_items, version_notes, keys)[2].filter(F.col("kind") == "full")
     return persona.structural_health(version_notes, log, max_age=MAX_AGE)
 

@@ -191,3 +191,14 @@ def test_token_prefix(spark):
     df = spark.createDataFrame([("a, b  c",)], "t string")
     row = df.select(text.token_count("t"), text.token_prefix("t", 3), text.token_prefix("t", 4), text.token_prefix("t", 9)).first()
     assert tuple(row) == (4, "a, b", "a, b  c", "a, b  c")
+
+
+def test_repeated_dimension_rows_do_not_multiply_the_log(spark):
+    poi = spark.createDataFrame(
+        [(1, "b", "root > B", "r1 x", 3), (1, "a", "root > A", "r2 y", 4)],
+        "sid bigint, title string, category_path string, road_addr string, place_review_count bigint",
+    )
+    clicks = spark.createDataFrame([(1, 1), (1, 1), (1, 9)], "idhash bigint, sid bigint")
+    out = clicks.join(enrich.graded_poi(clicks, poi), "sid", "left").collect()
+    assert sorted((r.sid, r.title) for r in out if r.title) == [(1, "a"), (1, "a")] and len(out) == 3
+    assert enrich.enrich_saves(clicks, poi).count() == 3
