@@ -9,10 +9,8 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from datetime import date
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from placelore.functions.skew import cut_lineage
 from placelore.functions.text import path_level, path_parent
@@ -48,28 +46,32 @@ def _sibling_pairs(elements: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _connected(edges: DataFrame, keys: list[str]) -> DataFrame:
-    """Component label (smallest path) of every linked sibling; one small graph per parent node."""
-    group = [*keys, "parent"]
-    schema = T.StructType([*[edges.schema[c] for c in group], T.StructField("path", T.StringType()), T.StructField("component", T.StringType())])
-
-    def label(table: pd.DataFrame) -> pd.DataFrame:
-        head = {}
+    """Component label (smallest path) of every linked sibling.
 
-        def find(p: str) -> str:
-            while head.setdefault(p, p) != p:
-                p = head[p]
-            return p
-
-        for a, b in zip(table["path_a"], table["path_b"]):
-            low, high = sorted((find(a), find(b)))
-            head[high] = low
-        members = sorted(head)
-        out = pd.DataFrame({"path": members, "component": [find(m) for m in members]})
-        for c in group:
-            out[c] = table[c].iloc[0]
-        return out[[*group, "path", "component"]]
+    The links below one parent node are few (its children are categories), so they are
+    folded into labels inside one row.
+    """
+    group = [*keys, "parent"]
+    links = edges.groupBy(*group).agg(F.collect_set(F.struct("path_a", "path_b")).alias("links"))
+    ends = F.array_distinct(
+        F.concat(F.transform("links", lambda e: e["path_a"]), F.transform("links", lambda e: e["path_b"]))
+    )
+    alone = F.transform(ends, lambda p: F.struct(p.alias("path"), p.alias("component")))
+
+    def join(nodes: Column, link: Column) -> Column:
+        def label(end: str) -> Column:
+            return F.get(F.filter(nodes, lambda n: n["path"] == link[end]), F.lit(0))["component"]
+
+        a, b = label("path_a"), label("path_b")
+        return F.transform(
+            nodes,
+            lambda n: F.struct(
+                n["path"].alias("path"),
+                F.when(n["component"].isin(a, b), F.least(a, b)).otherwise(n["component"]).alias("component"),
+            ),
+        )
 
-    return edges.groupBy(*group).applyInPandas(label, schema)
+    return links.select(*group, F.inline(F.aggregate("links", alone, join)))
 
 
 def _one_per_content(elements: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -113,11 +115,9 @@ def merge_siblings(
     members = _connected(links.unionByName(copies), keys)
     strength = elements.select(*keys, "path", "updated_count").distinct()
     ranked = members.join(strength, [*keys, "path"])
-    targets = ranked.groupBy(*group, "component").agg(
-        F.min(F.struct((-F.col("updated_count")).alias("weakness"), F.col("path").alias("target"))).alias("_best")
-    )
+    best = F.min(F.struct((-F.col("updated_count")).alias("weakness"), F.col("path").alias("target")))
     moves = materialize(
-        ranked.join(targets, [*group, "component"])
+        ranked.withColumn("_best", best.over(Window.partitionBy(*group, "component")))
         .select(*keys, "path", F.col("_best.target").alias("target"))
         .filter(F.col("path") != F.col("target"))
     )
