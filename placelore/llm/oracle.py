@@ -39,4 +39,25 @@ SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.root) AS compo
 FROM documents d JOIN r ON r.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id
 """
 
-ORACLE: dict[str, str] = {"op3_exact_dedup": EXACT, "op5_ngram_jaccard": JACCARD}
+PASSAGES = r"""
+WITH t AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), v AS (
+  SELECT doc_id, i, list_aggregate(w[i:i + 19], 'string_agg', ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM t WHERE len(w) >= 20)
+), r AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS k FROM v) WHERE k > 1
+), c AS (
+  SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(i, i + 20)) AS p FROM r)
+), words AS (
+  SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM t WHERE len(w) > 0
+), kept AS (
+  SELECT x.doc_id, string_agg(x.word, ' ' ORDER BY x.p) AS k, count(*) AS n
+  FROM words x ANTI JOIN c ON c.doc_id = x.doc_id AND c.p = x.p GROUP BY 1
+)
+SELECT t.doc_id, len(t.w)::BIGINT AS n_words, (len(t.w) - coalesce(kept.n, 0))::BIGINT AS n_removed,
+       sha256(coalesce(kept.k, '')) AS kept_sha256
+FROM t LEFT JOIN kept ON kept.doc_id = t.doc_id
+"""
+
+ORACLE: dict[str, str] = {"op3_exact_dedup": EXACT, "op5_ngram_jaccard": JACCARD, "op10_substring_dedup": PASSAGES}

@@ -8,11 +8,38 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placelore.llm import decontaminate, exact_dedup, ngram_join, sentencepiece, toxicity
+from placelore.llm import (
+    decontaminate,
+    exact_dedup,
+    license_scan,
+    ngram_join,
+    pii,
+    quality,
+    sentencepiece,
+    substring_dedup,
+    token_counts,
+    toxicity,
+)
 from placelore.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
+WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts and places of personal data, and the places of terms that disclose it."""
+    found = pii.find(table(spark, folder, "documents"))
+    spans = F.col("spans")
+    return found.select(
+        "doc_id",
+        *[
+            F.size(F.filter(spans, lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{k}")
+            for k in ("email", "ip", "card", "phone", "term")
+        ],
+        F.sha2(pii.written(pii.base_only(spans)), 256).alias("base_sha256"),
+        pii.written(spans).alias("spans"),
+    )
 
 
 def op2_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
@@ -34,6 +61,10 @@ def op3_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, folder, "documents"))
 
 
+def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op5_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, folder, "documents"), words=3, percent=90)
 
@@ -50,6 +81,25 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op8_license(spark: SparkSession, folder: str) -> DataFrame:
+    """Each document is a file of the tree /source/lang/number of a hundred documents/."""
+    docs = table(spark, folder, "documents")
+    bucket = F.floor(F.col("doc_id") / 100).cast("string")
+    path = F.concat_ws("/", F.lit(""), F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), bucket, F.col("doc_id").cast("string"))
+    files = docs.select(path.alias("path"), "text")
+    found = license_scan.scan(files, license_scan.templates(spark))
+    return found.withColumn("doc_id", F.substring_index("path", "/", -1).cast("bigint"))
+
+
+def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(docs, WORD_TOKENIZER).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup.repeated_passages(table(spark, folder, "documents")).drop("kept_text")
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -58,5 +108,8 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op2_sentencepiece, op3_exact_dedup, op5_ngram_jaccard, op6_decontamination, op7_toxicity, pipeline)
+    for f in (
+        op1_pii, op2_sentencepiece, op3_exact_dedup, op4_quality, op5_ngram_jaccard, op6_decontamination, op7_toxicity, op8_license,
+        op9_token_counts, op10_substring_dedup, pipeline,
+    )
 }

@@ -1,7 +1,7 @@
 """Toxicity by a subsequence string kernel and a linear support vector machine over Nyström landmarks.
 
-The kernel of two strings sums over all common subsequences of ``ORDER`` letters, each weighted by
-``DECAY`` to the length it spans in either string, and is normalised. Inserted letters stretch a
+The kernel of two strings sums over all common subsequences of ``ORDER`` letters that span at most ``SPAN`` letters, each
+weighted by ``DECAY`` to the length it spans in either string, and is normalised. Inserted letters stretch a
 subsequence instead of breaking it, so disguised spellings stay close to the plain ones; symbols
 inside a token are ignored and single letters written apart are joined.
 
@@ -26,9 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placelore.llm.common import CACHE_ENTRIES, held_out, stored
+from placelore.llm.common import CACHE_ENTRIES, distinct, held_out, stored
 
-ORDER, DECAY, FLOOR = 3, 0.6, 0.2
+ORDER, SPAN, DECAY, FLOOR = 3, 6, 0.6, 0.2
 LANDMARKS = 64
 MAX_LABELLED = 4000  # labelled documents of each class the model is fitted on
 SENTENCES = 3  # sentences of a training document sent to the driver
@@ -37,50 +37,71 @@ _LETTERS = re.compile(r"[\W_]+")
 _SINGLE = re.compile(r"(?<!\S)\w(?:\s+\w){2,}(?!\S)")
 
 
-def _codes(words: list[str], width: int, fill: int) -> np.ndarray:
-    out = np.full((len(words), width), fill, np.int32)
-    for i, w in enumerate(words):
-        out[i, : len(w)] = [ord(c) for c in w]
-    return out
+def _features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All subsequences of the words: owner (number of the word), the three letters in one integer, weight."""
+    apart = np.zeros(SPAN - 1, np.uint64)
+    parts = [np.array([ord(c) for w in words for c in (*w, *"\0" * (SPAN - 1))], np.uint64), apart]
+    letters = np.concatenate(parts)
+    number = np.repeat(np.arange(len(words)), [len(w) + SPAN - 1 for w in words])
+    n = len(number)
+    owners, codes, weights = [], [], []
+    for last in range(2, SPAN):
+        inside = np.flatnonzero((letters[:n] != 0) & (letters[last : last + n] != 0))
+        high, low = letters[inside] << np.uint64(42), letters[inside + last]
+        for middle in range(1, last):
+            owners.append(number[inside])
+            codes.append(high | letters[inside + middle] << np.uint64(21) | low)
+            weights.append(np.full(len(inside), DECAY ** (last + 1)))
+    return np.concatenate(owners), np.concatenate(codes), np.concatenate(weights)
 
 
-def _raw_kernel(s: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """Unnormalised kernels of the rows of ``s`` (B, n) with strings ``t`` (1 or B, L, m), padded by different fills."""
-    size = (len(s), t.shape[1])
-    m = t.shape[2]
-    reach = np.triu(DECAY ** np.maximum(np.subtract.outer(np.arange(m), np.arange(m)).T, 0)).astype(np.float32)
-    shorter = [np.ones((*size, m), np.float32)] + [np.zeros((*size, m), np.float32) for _ in range(ORDER - 1)]
-    total = np.zeros(size, np.float32)
-    square = np.float32(DECAY * DECAY)
-    for a in range(s.shape[1]):
-        equal = (s[:, a, None, None] == t) * square
-        total += (equal * shorter[-1]).sum(2)
-        for i in range(ORDER - 1, 0, -1):
-            now = (equal * shorter[i - 1]) @ reach
-            # entry b holds subsequences that end before position b of t
-            shorter[i] *= np.float32(DECAY)
-            shorter[i][..., 1:] += now[..., :-1]
-    return total
-
-
-def _self_kernel(codes: np.ndarray) -> np.ndarray:
-    other = np.where(codes == 0, -1, codes)
-    return _raw_kernel(codes, other[:, None, :])[:, 0]
-
-
-def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
-    """Normalised kernel matrix; words longer than ``PIECE`` letters must be cut before."""
-    out = np.zeros((len(words), len(landmarks)), np.float32)
-    marks = _codes(landmarks, max(map(len, landmarks), default=1), -1)
-    own = np.where(marks == -1, 0, marks)
-    norm = np.sqrt(np.maximum(_self_kernel(own), 1e-12))
-    order = sorted(range(len(words)), key=lambda i: len(words[i]))
-    for at in range(0, len(order), 512):
-        rows = order[at : at + 512]
-        codes = _codes([words[i] for i in rows], max(1, len(words[rows[-1]])), 0)
-        raw = _raw_kernel(codes, marks[None])
-        out[rows] = raw / (np.sqrt(np.maximum(_self_kernel(codes), 1e-12))[:, None] * norm)
-    return out
+def _summed(owner: np.ndarray, code: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One entry per word and subsequence, in order."""
+    order = np.lexsort((code, owner))
+    owner, code, weight = owner[order], code[order], weight[order]
+    first = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (code[1:] != code[:-1])])[: len(owner)])
+    return owner[first], code[first], np.add.reduceat(weight, first) if len(first) else weight
+
+
+class Kernel:
+    """Normalised kernel with fixed landmarks; only subsequences that a landmark has are looked up."""
+
+    def __init__(self, landmarks: list[str]):
+        owner, code, weight = _summed(*_features(landmarks))
+        self.codes = distinct(code)
+        self.weights = np.zeros((len(self.codes), len(landmarks)))
+        self.weights[np.searchsorted(self.codes, code), owner] = weight
+        self.weights /= np.maximum(np.sqrt((self.weights**2).sum(0)), 1e-12)
+        self.sieve = np.zeros(1 << 16, bool)
+        self.sieve[self._slot(self.codes)] = True
+
+    @staticmethod
+    def _slot(code: np.ndarray) -> np.ndarray:
+        return ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.int64)
+
+    def __call__(self, words: list[str]) -> np.ndarray:
+        out = np.zeros((len(words), self.weights.shape[1]), np.float32)
+        if not words or not len(self.codes):
+            return out
+        owner, code, weight = _features(words)
+        maybe = np.flatnonzero(self.sieve[self._slot(code)])
+        at = np.minimum(np.searchsorted(self.codes, code[maybe]), len(self.codes) - 1)
+        hit = self.codes[at] == code[maybe]
+        if not hit.any():
+            return out
+        rows, at, value = owner[maybe[hit]], at[hit], weight[maybe[hit]]
+        order = np.argsort(rows, kind="stable")
+        rows, at, value = rows[order], at[order], value[order]
+        first = np.flatnonzero(np.diff(rows, prepend=-1))
+        found = rows[first]
+        raw = np.add.reduceat(value[:, None] * self.weights[at], first)
+        mine = np.zeros(len(words), bool)
+        mine[found] = True
+        own = mine[owner]
+        o, _, w = _summed(owner[own], code[own], weight[own])
+        norm = np.sqrt(np.bincount(o, weights=w * w, minlength=len(words)))[found]
+        out[found] = raw / np.maximum(norm, 1e-12)[:, None]
+        return out
 
 
 def _pieces(token: str) -> list[str]:
@@ -101,7 +122,7 @@ class _Vectors:
     """Kernel rows of the tokens a worker has met; rows below ``FLOOR`` everywhere share row 0."""
 
     def __init__(self, landmarks: list[str]):
-        self.landmarks, self.codes = landmarks, {}
+        self.landmarks, self.codes, self.kernel = landmarks, {}, Kernel(landmarks)
         self.rows = [np.zeros(len(landmarks), np.float32)]
 
     def of(self, texts: list[list[str]]) -> list[np.ndarray]:
@@ -116,10 +137,10 @@ class _Vectors:
             for piece in _pieces(t):
                 owners.append(t)
                 pieces.append(piece)
-        distinct = sorted(set(pieces))
-        values = kernel(distinct, self.landmarks)
+        known = sorted(set(pieces))
+        values = self.kernel(known)
         values[values < FLOOR] = 0
-        found = {w: i for i, w in enumerate(distinct) if values[i].any()}
+        found = {known[i]: i for i in np.flatnonzero(values.any(axis=1))}
         for t, piece in zip(owners, pieces):
             i = found.get(piece)
             if i is not None:
@@ -177,7 +198,7 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
             found = set()
             for word in {_LETTERS.sub("", t) for t in _tokens(text or "")}:
-                for n in (4, 5):
+                for n in (4, 5, 6, 7):
                     found.update(word[i : i + n] for i in range(len(word) - n + 1))
             counts[label].update(found)
     for label in (0, 1):
@@ -291,7 +312,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, la
     found = rows.mapInArrow(suspicious, "v array<float>, label int").collect()  # 2 * max_labelled rows at most
     bags = [np.array(r["v"], np.float32).reshape(-1, len(marks)) for r in found]
     y = np.array([1.0 if r["label"] else -1.0 for r in found])
-    k = kernel(marks, marks).astype(float)
+    k = Kernel(marks)(marks).astype(float)
     values, vectors = np.linalg.eigh((k + k.T) / 2)
     keep = values > 1e-4 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])  # kernel values to Nyström features
