@@ -47,7 +47,7 @@ def _guard(kind: str, text: Column) -> Column:
 
 def _valid(kind: Column, value: Column) -> Column:
     digits = F.regexp_replace(value, "[^0-9]", "")
-    card = F.when(F.length(digits).between(16, 19), F.luhn_check(digits)).otherwise(False)
+    card = F.when(F.length(digits).between(16, 19), F.call_function("luhn_check", digits)).otherwise(False)
     return (
         F.when(kind == "ip", value.rlike(rf"^{_PART}\.{_PART}\.{_PART}\.{_PART}$"))
         .when(kind == "card", card)
@@ -211,6 +211,10 @@ def written(spans: Column) -> Column:
     )
 
 
+def count_of(spans: Column, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("bigint")
+
+
 def base_only(spans: Column) -> Column:
     return F.filter(spans, lambda s: s["kind"] != "term")
 

@@ -69,7 +69,7 @@ def terms(texts: list[bytes]) -> np.ndarray:
     shares = np.array([_shares(t, k) for t, k in zip(texts, kinds)])
     centres = np.linspace(0, 1, BINS)
     bins = np.exp(-0.5 * ((shares[:, :, None] - centres) * BINS) ** 2).reshape(len(texts), -1)
-    return np.hstack([grams, bins.astype(np.float32) / np.sqrt(SHARES)])
+    return np.hstack([grams, bins / np.sqrt(SHARES)]).astype(np.float32)
 
 
 @dataclass(frozen=True)

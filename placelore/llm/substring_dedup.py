@@ -58,11 +58,13 @@ def _anchor_keys(window: int):
     return keys
 
 
-def _repeated(bits: list[np.ndarray], keys: np.ndarray) -> np.ndarray:
+def _repeated(rows: list[np.ndarray], keys: np.ndarray) -> np.ndarray:
+    """Whether all counters of a key are marked; ``rows`` hold one bit per counter."""
     found = np.ones(len(keys), bool)
+    bits = (8 * len(rows[0])).bit_length() - 1
     for row in range(DEPTH):
-        at = sketch.positions(keys, row, BITS)
-        found &= (bits[row][at >> np.uint32(3)] >> (np.uint32(7) - (at & np.uint32(7))) & 1).astype(bool)
+        at = sketch.positions(keys, row, bits)
+        found &= (rows[row][at >> np.uint32(3)] >> (np.uint32(7) - (at & np.uint32(7))) & 1).astype(bool)
     return found
 
 
@@ -165,7 +167,7 @@ def _remove(window: int):
     return run
 
 
-def repeated_passages(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def repeated_passages(docs: DataFrame, window: int = WINDOW, sketch_bits: int = BITS) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept_text for every row of ``docs``.
 
     A word is removed when a window over it starts earlier too: in a smaller doc_id, or earlier in the same document.
@@ -175,7 +177,7 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     table; other columns are not read.
     """
     rows = id_and_text(docs)
-    bits = sketch.build(rows.select("text"), _anchor_keys(window), BITS, DEPTH, lambda c: np.packbits(c > 1))
+    bits = sketch.build(rows.select("text"), _anchor_keys(window), sketch_bits, DEPTH, lambda c: np.packbits(c > 1))
     shared = rows.sparkSession.sparkContext.broadcast(bits)
     marked = rows.mapInArrow(
         _mark(window, shared),
