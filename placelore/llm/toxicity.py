@@ -32,6 +32,7 @@ ORDER, SPAN, DECAY, FLOOR = 3, 6, 0.6, 0.2
 LANDMARKS = 64
 MAX_LABELLED = 4000  # labelled documents of each class the model is fitted on
 SENTENCES = 3  # sentences of a training document sent to the driver
+BLOCK = 512  # texts looked at together
 PIECE = 24  # longer words are looked at in overlapping pieces of this length
 _LETTERS = re.compile(r"[\W_]+")
 _SINGLE = re.compile(r"(?<!\S)\w(?:\s+\w){2,}(?!\S)")
@@ -39,10 +40,9 @@ _SINGLE = re.compile(r"(?<!\S)\w(?:\s+\w){2,}(?!\S)")
 
 def _features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All subsequences of the words: owner (number of the word), the three letters in one integer, weight."""
-    apart = np.zeros(SPAN - 1, np.uint64)
-    parts = [np.array([ord(c) for w in words for c in (*w, *"\0" * (SPAN - 1))], np.uint64), apart]
-    letters = np.concatenate(parts)
-    number = np.repeat(np.arange(len(words)), [len(w) + SPAN - 1 for w in words])
+    apart = "\0" * (SPAN - 1)
+    letters = np.frombuffer((apart.join(words) + 2 * apart).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    number = np.repeat(np.arange(len(words)), np.fromiter(map(len, words), np.int64, len(words)) + SPAN - 1)
     n = len(number)
     owners, codes, weights = [], [], []
     for last in range(2, SPAN):
@@ -64,7 +64,10 @@ def _summed(owner: np.ndarray, code: np.ndarray, weight: np.ndarray) -> tuple[np
 
 
 class Kernel:
-    """Normalised kernel with fixed landmarks; only subsequences that a landmark has are looked up."""
+    """Normalised kernel with fixed landmarks; only subsequences that a landmark has are looked up.
+
+    Values below ``FLOOR`` are given as zero.
+    """
 
     def __init__(self, landmarks: list[str]):
         owner, code, weight = _summed(*_features(landmarks))
@@ -95,17 +98,28 @@ class Kernel:
         first = np.flatnonzero(np.diff(rows, prepend=-1))
         found = rows[first]
         raw = np.add.reduceat(value[:, None] * self.weights[at], first)
+        # a word's norm is at least what its subsequences have without repeats, which its length tells
+        length = np.array([len(words[i]) for i in found])
+        least = np.sqrt(sum(np.maximum(length - last, 0) * (last - 1) * DECAY ** (2 * last + 2) for last in range(2, SPAN)))
+        near = raw.max(axis=1) >= FLOOR * least * (1 - 1e-9)
+        found, raw = found[near], raw[near]
         mine = np.zeros(len(words), bool)
         mine[found] = True
         own = mine[owner]
         o, _, w = _summed(owner[own], code[own], weight[own])
         norm = np.sqrt(np.bincount(o, weights=w * w, minlength=len(words)))[found]
-        out[found] = raw / np.maximum(norm, 1e-12)[:, None]
+        similar = raw / np.maximum(norm, 1e-12)[:, None]
+        out[found] = np.where(similar >= FLOOR, similar, 0)
         return out
 
 
 def _pieces(token: str) -> list[str]:
-    word = _LETTERS.sub("", token)
+    if token.isalnum():
+        word = token
+    elif token[:-1].isalnum():
+        word = token[:-1]
+    else:
+        word = _LETTERS.sub("", token)
     if len(word) <= PIECE:
         return [word] if len(word) >= ORDER else []
     return [word[i : i + PIECE] for i in range(0, len(word) - PIECE // 2, PIECE // 2)]
@@ -118,38 +132,44 @@ def _tokens(text: str) -> list[str]:
     return (lowered + " . " + joined if joined else lowered).split()
 
 
+class _Numbers(dict):
+    """Numbers tokens in the order they are met; the new ones are kept aside."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, token: str) -> int:
+        value = self[token] = len(self)
+        self.new.append(token)
+        return value
+
+
 class _Vectors:
-    """Kernel rows of the tokens a worker has met; rows below ``FLOOR`` everywhere share row 0."""
+    """Kernel rows of the tokens a worker has met; tokens unlike all landmarks share row 0."""
 
     def __init__(self, landmarks: list[str]):
-        self.landmarks, self.codes, self.kernel = landmarks, {}, Kernel(landmarks)
-        self.rows = [np.zeros(len(landmarks), np.float32)]
+        self.landmarks, self.kernel, self.numbers = landmarks, Kernel(landmarks), _Numbers()
+        self.codes = np.zeros(0, np.int64)  # by token: twice its row, plus one where it ends a sentence
+        self.rows = np.zeros((1, len(landmarks)), np.float32)
 
     def of(self, texts: list[list[str]]) -> list[np.ndarray]:
-        """Per text: twice the row number of each token, plus one where a sentence ends."""
-        if len(self.codes) > CACHE_ENTRIES:
+        """The codes of the tokens of each text."""
+        if len(self.numbers) > CACHE_ENTRIES:
             self.__init__(self.landmarks)
-        codes = self.codes
-        new = [t for t in set().union(*texts) if t not in codes]
-        owners, pieces = [], []
-        for t in new:
-            codes[t] = int(t[-1] in ".!?")
-            for piece in _pieces(t):
-                owners.append(t)
-                pieces.append(piece)
-        known = sorted(set(pieces))
-        values = self.kernel(known)
-        values[values < FLOOR] = 0
-        found = {known[i]: i for i in np.flatnonzero(values.any(axis=1))}
-        for t, piece in zip(owners, pieces):
-            i = found.get(piece)
-            if i is not None:
-                if codes[t] > 1:  # a further piece of a long word
-                    self.rows[codes[t] >> 1] = np.maximum(self.rows[codes[t] >> 1], values[i])
-                else:
-                    codes[t] += 2 * len(self.rows)
-                    self.rows.append(values[i])
-        return [np.fromiter(map(codes.__getitem__, text), np.int64, len(text)) for text in texts]
+        numbered = [np.fromiter(map(self.numbers.__getitem__, text), np.int64, len(text)) for text in texts]
+        new, self.numbers.new = self.numbers.new, []
+        if new:
+            codes = np.fromiter((t[-1] in ".!?" for t in new), np.int64, len(new))
+            pieces = [(i, piece) for i, t in enumerate(new) for piece in _pieces(t)]
+            values = self.kernel([piece for _, piece in pieces])
+            hit = np.flatnonzero(values.any(axis=1))
+            if len(hit):
+                owner = np.array([pieces[i][0] for i in hit])
+                first = np.flatnonzero(np.diff(owner, prepend=-1))  # pieces of one token follow each other
+                codes[owner[first]] += 2 * (len(self.rows) + np.arange(len(first)))
+                self.rows = np.concatenate([self.rows, np.maximum.reduceat(values[hit], first)])
+            self.codes = np.concatenate([self.codes, codes])
+        return [self.codes[n] for n in numbered]
 
 
 _CACHE: dict[tuple, _Vectors] = {}
@@ -162,15 +182,15 @@ def _sentences(texts: list[str], landmarks: list[str]) -> list[np.ndarray]:
         _CACHE.clear()
         _CACHE[key] = _Vectors(landmarks)
     vectors, out = _CACHE[key], []
-    for at in range(0, len(texts), 256):
-        for codes in vectors.of([_tokens(t) for t in texts[at : at + 256]]):
+    for at in range(0, len(texts), BLOCK):
+        for codes in vectors.of([_tokens(t) for t in texts[at : at + BLOCK]]):
             hit = np.flatnonzero(codes > 1)
             if not len(hit):
                 out.append(np.zeros((0, len(landmarks)), np.float32))
                 continue
             sentence = (np.cumsum(codes & 1) - (codes & 1))[hit]
             starts = np.flatnonzero(np.diff(sentence, prepend=-1))
-            out.append(np.maximum.reduceat(np.stack([vectors.rows[c] for c in codes[hit] >> 1]), starts))
+            out.append(np.maximum.reduceat(vectors.rows[codes[hit] >> 1], starts))
     return out
 
 
