@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from placelore.functions.dimension import places_of
 from placelore.functions.skew import top_per_key
 from placelore.functions.text import category_at, leaf_category
 
@@ -34,14 +35,8 @@ def _grade(pct: Column) -> Column:
     return expr.otherwise(NO_GRADE)
 
 
-def one_row_per_key(dimension: DataFrame, key: str) -> DataFrame:
-    """First row per key in the order of all other columns, so that joins do not multiply log rows."""
-    others = [F.col(c).asc_nulls_last() for c in dimension.columns if c != key]
-    return top_per_key(dimension, [key], others, 1)
-
-
 def _poi_attributes(poi: DataFrame) -> DataFrame:
-    return one_row_per_key(poi.select("sid", "title", "category_path", "road_addr", "place_review_count"), "sid").select(
+    return places_of(poi).select(
         "sid",
         "title",
         "category_path",
@@ -107,7 +102,7 @@ def enrich_clicks(clicks: DataFrame, poi: DataFrame, demo: DataFrame, grain: str
 
 
 def enrich_saves(saves: DataFrame, poi: DataFrame) -> DataFrame:
-    places = one_row_per_key(poi.select("sid", "title", "category_path"), "sid")
+    places = places_of(poi).select("sid", "title", "category_path")
     return saves.join(places, "sid", "left").withColumn(
         "category", leaf_category("category_path")
     )
@@ -115,8 +110,10 @@ def enrich_saves(saves: DataFrame, poi: DataFrame) -> DataFrame:
 
 def enrich_reviews(reviews: DataFrame, poi: DataFrame, demo: DataFrame) -> DataFrame:
     """Reviews of known places with demographics where known."""
-    places = poi.select("place_id", F.col("title").alias("place_name"), F.col("road_addr").alias("address"), "category_path")
-    return reviews.join(one_row_per_key(places, "place_id"), "place_id").join(demo, "idhash", "left")
+    places = places_of(poi, "place_id").select(
+        "place_id", F.col("title").alias("place_name"), F.col("road_addr").alias("address"), "category_path"
+    )
+    return reviews.join(places, "place_id").join(demo, "idhash", "left")
 
 
 def review_rank_pct(clicks: DataFrame, poi: DataFrame) -> DataFrame:

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placelore.functions import skew
+from placelore.functions.dimension import places_of
 from placelore.functions.text import category_at, has_text, is_json, ordered_concat, token_count
-from placelore.operators.reviews import review_chunks
 
 # Block tags of merged daily texts and the header of review-based items.
 IMPLICIT_TAG, EXPLICIT_TAG = "[implicit data]", "[explicit data]"
@@ -24,7 +24,7 @@ def daily_behavior_text(clicks: DataFrame, poi: DataFrame) -> DataFrame:
     """One line per visited category with its count, per user and day; bounded by the category list."""
     per_poi = clicks.groupBy("idhash", "datestr", "sid").agg(F.count("*").alias("n"))
     counts = (
-        per_poi.join(poi.select("sid", "category_path"), "sid")
+        per_poi.join(places_of(poi).select("sid", "category_path"), "sid")
         .groupBy("idhash", "datestr", "category_path")
         .agg(F.sum("n").alias("n"))
     )
@@ -76,28 +76,34 @@ def full_text(texts: DataFrame) -> DataFrame:
 # -- prompts ------------------------------------------------------------------------------
 
 
-def implicit_prompt(clicks: DataFrame, saves: DataFrame, poi: DataFrame, rows_per_prompt: int = 1000) -> DataFrame:
-    """Time-sorted clicks and saves per user and day.
+def implicit_prompt(clicks: DataFrame, saves: DataFrame, demo_texts: DataFrame, rows_per_prompt: int = 1000) -> DataFrame:
+    """Demographic header and time-sorted clicks and saves per user and day.
 
-    A day with more than ``rows_per_prompt`` clicks or saves is continued in further parts,
-    so that no prompt grows with the log; every row is in exactly one part. Users without
-    clicks on a day get no prompt for it.
+    ``clicks`` and ``saves`` are the enriched logs (``enrich_clicks``, ``enrich_saves``). A day of more than
+    ``rows_per_prompt`` rows is continued in further parts, cut by one numbering over both kinds, so parts follow
+    each other in time, no prompt grows with the log and every row is in exactly one part. Users
+    without clicks on a day get no prompt for it.
     """
-    places = poi.select("sid", "title", category_at("category_path").alias("_category"))
+    time = F.date_format("etimestamp", "HH:mm:ss")
 
-    def lines(log: DataFrame, kind: str, query: Column) -> DataFrame:
-        text = F.concat_ws(" ", F.date_format("etimestamp", "HH:mm:ss"), "title", F.concat(F.lit("<"), "_category", F.lit(">")), query)
-        named = log.join(places, "sid", "left")
-        return named.select("idhash", "datestr", "etimestamp", "event_id", F.lit(kind).alias("kind"), text.alias("line"))
+    def lines(log: DataFrame, kind: str, *parts: str | Column) -> DataFrame:
+        return log.select(
+            "idhash", "datestr", "etimestamp", "event_id", F.lit(kind).alias("kind"), F.concat_ws(" ", time, *parts).alias("line")
+        )
+
+    def bracketed(name: str) -> Column:
+        return F.concat(F.lit("<"), name, F.lit(">"))
 
     click_days = clicks.select("idhash", "datestr").distinct()
     saved = saves.join(click_days, ["idhash", "datestr"], "left_semi")
     query = F.when(has_text("query"), F.col("query"))
-    rows = lines(clicks, "click", query).unionByName(lines(saved, "save", F.lit(None).cast("string")))
+    rows = lines(
+        clicks, "click", "day_name", "title", bracketed("top_category"), "region", "review_top_display", query
+    ).unionByName(lines(saved, "save", "title", bracketed("category")))
     numbered = skew.row_number(
         rows,
-        ["idhash", "datestr", "kind"],
-        [F.col("etimestamp"), F.col("event_id")],
+        ["idhash", "datestr"],
+        [F.col("etimestamp"), F.col("event_id"), F.col("kind")],
         [(F.date_trunc("hour", "etimestamp"), False)],
         "rn",
     )
@@ -109,31 +115,40 @@ def implicit_prompt(clicks: DataFrame, saves: DataFrame, poi: DataFrame, rows_pe
         return F.array_join(F.transform(ordered, lambda r: r["line"]), "\n")
 
     text = F.concat(F.lit("[clicks]\n"), block("click"), F.lit("\n[saves]\n"), block("save"))
-    return numbered.withColumn("part", part).groupBy("idhash", "datestr", "part").agg(text.alias("prompt"))
+    header = F.coalesce(F.concat("demo_text", F.lit("\n")), F.lit(""))
+    return (
+        numbered.withColumn("part", part)
+        .groupBy("idhash", "datestr", "part")
+        .agg(text.alias("_text"))
+        .join(demo_texts, "idhash", "left")
+        .select("idhash", "datestr", "part", F.concat(header, "_text").alias("prompt"))
+    )
+
+
+# Columns of a preprocessed review that a prompt shows, in this order (fixed values).
+PROMPT_COLUMNS = [
+    "row", "write_date_time", "visit_date_time", "visit_day", "place_name", "address", "category_path", "text_review", "keyword_list",
+]
 
 
 def explicit_prompt(
-    reviews: DataFrame,
-    poi: DataFrame,
-    demo_texts: DataFrame,
-    template: str,
-    few_shot_rich: str,
-    few_shot_sparse: str,
-    chunk_size: int = 50,
+    rows: DataFrame, template: str, few_shot_rich: str, few_shot_sparse: str, chunk_size: int = 50
 ) -> DataFrame:
-    """One prompt per user and chunk of reviews, newest first; whole texts.
+    """One prompt per user and chunk of preprocessed reviews (``review_rows``), newest first, then by place name; whole texts.
 
     The template has the fields ``{few_shot}``, ``{demographic_prompt}`` and
     ``{user_prompt}``. Sparse examples are chosen by the user's total number of reviews.
     """
-    places = poi.select("place_id", F.col("title").alias("place_name"), "category_path")
-    chunks = review_chunks(reviews.join(places, "place_id"), chunk_size)
-    row = F.concat_ws(" | ", F.col("created_date").cast("string"), "place_name", "category_path", "text_review")
+    order = [F.col("write_date_time").desc(), F.col("place_name").desc(), F.col("row")]
+    numbered = skew.row_number(rows, ["idhash"], order, [(F.col("write_date_time"), True)], "rn")
+    totals = rows.groupBy("idhash").agg(F.count("*").alias("n_reviews"))
+    line = F.concat_ws(" | ", *[F.col(c).cast("string") for c in PROMPT_COLUMNS])
     grouped = (
-        chunks.withColumn("line", row)
+        numbered.withColumn("chunk", F.floor((F.col("rn") - 1) / chunk_size).cast("bigint"))
+        .withColumn("line", line)
         .groupBy("idhash", "chunk")
-        .agg(F.max("n_reviews").alias("n_reviews"), ordered_concat(["rn"], "line", "\n").alias("_rows"))
-        .join(demo_texts, "idhash", "left")
+        .agg(F.max("demo_text").alias("demo_text"), ordered_concat(["rn"], "line", "\n").alias("_rows"))
+        .join(totals, "idhash")
     )
     few_shot = F.when(F.col("n_reviews") <= SPARSE_UP_TO, few_shot_sparse).otherwise(few_shot_rich)
     fields = {
@@ -202,7 +217,7 @@ def behavior_clusters(clicks: DataFrame, poi: DataFrame, n_examples: int = 3) ->
     per_poi = (
         clicks.groupBy("idhash", "sid")
         .agg(F.count("*").alias("n"))
-        .join(poi.select("sid", "title", category_at("category_path").alias("category")), "sid")
+        .join(places_of(poi).select("sid", "title", category_at("category_path").alias("category")), "sid")
         .filter(F.col("category").isNotNull())
     )
     totals = per_poi.groupBy("idhash", "category").agg(F.sum("n").alias("n_events"), F.count("*").alias("n_places"))
@@ -233,7 +248,7 @@ def implicit_persona(
     domains = (
         clicks.groupBy("idhash", "datestr", "sid")
         .agg(F.count("*").alias("n"))
-        .join(poi.select("sid", category_at("category_path").alias("domain")), "sid")
+        .join(places_of(poi).select("sid", category_at("category_path").alias("domain")), "sid")
         .filter(F.col("domain").isNotNull())
         .groupBy("idhash", "datestr", "domain")
         .agg(F.sum("n").alias("n"))
@@ -262,3 +277,16 @@ def item_dedup(items: DataFrame, order: list[Column]) -> DataFrame:
     """First seen row per user and hash of the normalized item."""
     hashed = items.withColumn("item_hash", F.sha2(normalize_item("item"), 256))
     return skew.top_per_key(hashed, ["idhash", "item_hash"], order, 1)
+
+
+def distill_pairs(prompts: DataFrame, responses: DataFrame, keys: list[str], eval_percent: int = 10) -> DataFrame:
+    """Training pairs: prompts with their non-empty response, equal pairs once, split by hash.
+
+    ``prompts`` has the keys and ``prompt``, ``responses`` the keys and ``response``. Of equal pairs the one with the
+    smallest keys stays. The split depends on the pair alone, so it is the same in every run.
+    """
+    pairs = prompts.join(responses, keys).filter(has_text("prompt") & has_text("response"))
+    hashed = pairs.select(*keys, "prompt", "response", F.sha2(F.concat(F.sha2("prompt", 256), F.sha2("response", 256)), 256).alias("pair_hash"))
+    first = hashed.groupBy("pair_hash").agg(F.min(F.struct(*keys, "prompt", "response")).alias("p")).select("pair_hash", "p.*")
+    slot = F.conv(F.substring("pair_hash", 1, 8), 16, 10).cast("bigint") % 100
+    return first.withColumn("split", F.when(slot < eval_percent, "eval").otherwise("train"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from placelore.functions.skew import top_per_key
+from placelore.functions.dimension import places_of
+from placelore.functions.skew import row_number, top_per_key
 from placelore.functions.text import SEP, ordered_concat, path_level, path_prefix
 from placelore.operators.retrieval import bm25_scores
 
@@ -129,8 +130,8 @@ def surprise_priority(items: DataFrame, new_items: DataFrame, taxonomy: DataFram
     )
 
 
-def rerank(items: DataFrame, candidates: DataFrame, poi: DataFrame, top_n: int = 10) -> DataFrame:
-    """Candidate places by how well their title words match the user's items.
+def rerank(items: DataFrame, candidates: DataFrame, poi: DataFrame) -> DataFrame:
+    """All candidate places, ordered by how well their title words match the user's items.
 
     An item counts a quarter anywhere, half in the same domain, fully in the same category.
     Item weights are summed per tree level first, so a candidate meets three rows per word.
@@ -151,7 +152,7 @@ def rerank(items: DataFrame, candidates: DataFrame, poi: DataFrame, top_n: int =
     words = (
         candidates.select("idhash", "sid")
         .distinct()
-        .join(poi.select("sid", "title", "category_path"), "sid")
+        .join(places_of(poi).select("sid", "title", "category_path"), "sid")
         .select("idhash", "sid", "category_path", F.explode(F.array_distinct(F.split("title", " "))).alias("word"))
         .select(
             "idhash", "sid", "word",
@@ -164,9 +165,7 @@ def rerank(items: DataFrame, candidates: DataFrame, poi: DataFrame, top_n: int =
         .groupBy("idhash", "sid")
         .agg(F.round(F.sum(F.coalesce("w", F.lit(0)) * share), 6).alias("score"))
     )
-    return top_per_key(scores, ["idhash"], [F.desc("score"), F.col("sid")], top_n, "rank").withColumn(
-        "rank", F.col("rank").cast("bigint")
-    )
+    return row_number(scores, ["idhash"], [F.desc("score"), F.col("sid")], [(F.floor("score"), True)], "rank")
 
 
 def persona_consistency(items: DataFrame) -> DataFrame:

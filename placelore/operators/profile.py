@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from placelore.functions.dimension import places_of
 from placelore.functions.text import normalize_path
 from placelore.operators.reviews import clean_reviews, review_dedup
 
@@ -14,7 +15,7 @@ AXES = ("user_info", "explicit", "implicit")
 
 def _implicit(clicks: DataFrame, poi: DataFrame, negative_action: str, min_events: int, min_days: int) -> DataFrame:
     """Last title word of the clicked place; only words repeated on several days are a preference."""
-    places = poi.select(
+    places = places_of(poi).select(
         "sid", F.element_at(F.split("title", " "), -1).alias("item"), normalize_path("category_path").alias("path")
     )
     polarity = F.when(F.col("action") == negative_action, -1).otherwise(1).cast("bigint")
@@ -38,7 +39,7 @@ def _implicit(clicks: DataFrame, poi: DataFrame, negative_action: str, min_event
 
 def _explicit(reviews: DataFrame, poi: DataFrame) -> DataFrame:
     """Keyword codes of reviews at the category of the reviewed place; negative reviews turn them around."""
-    places = poi.select("place_id", normalize_path("category_path").alias("path"))
+    places = places_of(poi, "place_id").select("place_id", normalize_path("category_path").alias("path"))
     return (
         review_dedup(clean_reviews(reviews))
         .select(

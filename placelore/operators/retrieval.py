@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placelore.functions.skew import top_per_key
+from placelore.functions.skew import row_number, top_per_key
 
 RRF_CONSTANT = 60
 WORD = r"\w+"
@@ -41,19 +41,26 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float =
     )
 
 
-def _ranked(scores: DataFrame, k: int) -> DataFrame:
-    return (
-        top_per_key(scores, ["query"], [F.desc("score"), F.col("doc")], k, "rank")
-        .withColumn("rank", F.col("rank").cast("bigint"))
-        .select("query", "doc", "score", "rank")
-    )
+def _ranked(scores: DataFrame, k: int | None) -> DataFrame:
+    """The best ``k`` documents of each query, or all of them in order when ``k`` is None."""
+    order = [F.desc("score"), F.col("doc")]
+    if k is None:
+        ranked = row_number(scores, ["query"], order, [(F.floor(F.col("score") * 100), True)], "rank")
+    else:
+        ranked = top_per_key(scores, ["query"], order, k, "rank").withColumn("rank", F.col("rank").cast("bigint"))
+    return ranked.select("query", "doc", "score", "rank")
+
+
+def ranking(scores: DataFrame) -> DataFrame:
+    """Whole ranking of each query's scored documents."""
+    return _ranked(scores, None)
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, k: int | None = 10) -> DataFrame:
     return _ranked(bm25_scores(docs, queries), k)
 
 
-def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+def dense_topk(vectors: DataFrame, queries: DataFrame, k: int | None = 10) -> DataFrame:
     """Best cosine similarities within the scope, the query itself excluded.
 
     ``vectors``: scope, doc, embedding; ``queries``: scope, query, embedding with few
@@ -78,7 +85,7 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame
 
 
 def rrf(lexical: DataFrame, dense: DataFrame, k: int = 10) -> DataFrame:
-    """Reciprocal rank fusion of two rankings."""
+    """Best ``k`` of the reciprocal rank fusion of two whole rankings (``bm25`` and ``dense_topk`` with ``k=None``)."""
     both = lexical.select("query", "doc", "rank").unionByName(dense.select("query", "doc", "rank"))
     scores = both.groupBy("query", "doc").agg(
         F.round(F.sum(1.0 / (RRF_CONSTANT + F.col("rank"))), 6).alias("score")

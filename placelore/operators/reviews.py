@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placelore.functions import skew
+from placelore.functions.dimension import places_of
 from placelore.functions.text import category_at
 
 # Weights of the review quality score (fixed values).
@@ -130,7 +131,7 @@ def review_eligible(
 ) -> DataFrame:
     """Deduplicated long enough reviews of users with enough reviews in enough categories."""
     long_enough = review_dedup(reviews).filter(F.length("text_review") >= min_chars)
-    places = poi.select("place_id", category_at("category_path").alias("_category"))
+    places = places_of(poi, "place_id").select("place_id", category_at("category_path").alias("_category"))
     users = (
         long_enough.select("idhash", "place_id")
         .join(places, "place_id", "left")

@@ -8,6 +8,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from placelore.functions.dimension import places_of
 from placelore.functions.skew import cut_lineage
 from placelore.functions.text import category_at
 
@@ -39,14 +40,14 @@ def engagement_score(
 ) -> DataFrame:
     """Weighted sum of min-max normalized counts, category diversity and recency; best ``n`` users.
 
+    Everybody in any of the three logs is scored; without clicks recency and diversity are 0.
     ``norm`` is min-max over the scored users (0 when constant), diversity is the share of
     all top categories the user has clicked. The logs are counted separately and the
     per-user counts are materialized, so that the extremes, which enter as one scalar
     subquery, do not scan the logs again.
     """
-    categories = poi.select("sid", category_at("category_path").alias("category"))
-    counts = clicks.groupBy("idhash").agg(
-        F.count("*").alias("n_clicks"), _recency(F.max("datestr"), as_of, window_days).alias("recency")
+    categories = places_of(poi).select(
+        "sid", category_at("category_path").alias("category")
     )
     variety = (
         clicks.select("idhash", "sid")
@@ -55,11 +56,22 @@ def engagement_score(
         .groupBy("idhash")
         .agg(F.count_distinct("category").alias("n_categories"))
     )
+    parts = [
+        clicks.groupBy("idhash").agg(F.count("*").alias("n_clicks"), F.max("datestr").alias("last_day")),
+        reviews.groupBy("idhash").agg(F.count("*").alias("n_reviews")),
+        saves.groupBy("idhash").agg(F.count("*").alias("n_saves")),
+        variety,
+    ]
+    counted = parts[0]
+    for part in parts[1:]:
+        counted = counted.unionByName(part, allowMissingColumns=True)
     users = materialize(
-        counts.join(reviews.groupBy("idhash").agg(F.count("*").alias("n_reviews")), "idhash", "left")
-        .join(saves.groupBy("idhash").agg(F.count("*").alias("n_saves")), "idhash", "left")
-        .join(variety, "idhash", "left")
-        .fillna(0, ["n_reviews", "n_saves", "n_categories"])
+        counted.filter(F.col("idhash").isNotNull())
+        .groupBy("idhash")
+        .agg(
+            *[F.coalesce(F.max(c), F.lit(0)).alias(c) for c in ("n_clicks", "n_reviews", "n_saves", "n_categories")],
+            F.coalesce(_recency(F.max("last_day"), as_of, window_days), F.lit(0.0)).alias("recency"),
+        )
     )
     measures = ["n_clicks", "n_reviews", "n_saves"]
     extremes = users.agg(
@@ -90,20 +102,22 @@ def engagement_score(
 def daily_activity_rollup(clicks: DataFrame, poi: DataFrame) -> DataFrame:
     """Events per user, day, action and category at each level of the tree (NULL = all below).
 
-    Counted per POI first, so the rollup expands counts and not events.
+    A place counts at the levels its path has; places with short paths and places unknown to the POI base
+    are part of the totals, which add up to the events. Counted per POI first, so the rollup expands counts and not events.
     """
     per_poi = clicks.groupBy("idhash", "datestr", "action", "sid").agg(F.count("*").alias("n"))
-    levels = poi.select(
+    levels = places_of(poi).select(
         "sid", category_at("category_path", 1).alias("l2"), category_at("category_path", 2).alias("l3")
-    ).filter(F.col("l3").isNotNull())
-    keyed = per_poi.join(levels, "sid")
-    whole = F.array(
-        F.struct(F.col("l2").alias("l2"), F.col("l3").alias("l3")),
-        F.struct(F.col("l2").alias("l2"), F.lit(None).cast("string").alias("l3")),
-        F.struct(F.lit(None).cast("string").alias("l2"), F.lit(None).cast("string").alias("l3")),
+    )
+    none = F.lit(None).cast("string")
+    ways = F.array(
+        F.struct(F.col("l2").alias("l2"), F.col("l3").alias("l3"), (F.col("l3").isNotNull()).alias("known")),
+        F.struct(F.col("l2").alias("l2"), none.alias("l3"), (F.col("l2").isNotNull()).alias("known")),
+        F.struct(none.alias("l2"), none.alias("l3"), F.lit(True).alias("known")),
     )
     return (
-        keyed.select("idhash", "datestr", "action", "n", F.inline(whole))
+        per_poi.join(levels, "sid", "left")
+        .select("idhash", "datestr", "action", "n", F.inline(F.filter(ways, lambda w: w["known"])))
         .groupBy("idhash", "datestr", "l2", "l3", "action")
         .agg(F.sum("n").alias("n"))
     )
@@ -118,7 +132,7 @@ def exploratory_vs_confirmed(
         F.count_if(F.col("action").isin(*confirmed_actions)).alias("confirmed"),
     )
     return (
-        per_poi.join(poi.select("sid", category_at("category_path").alias("category")), "sid")
+        per_poi.join(places_of(poi).select("sid", category_at("category_path").alias("category")), "sid")
         .filter(F.col("category").isNotNull())
         .groupBy("idhash", "category")
         .agg(F.sum("exploratory").alias("exploratory"), F.sum("confirmed").alias("confirmed"))

@@ -7,12 +7,13 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from placelore.functions.dimension import places_of
 from placelore.functions.text import category_at, has_text
 from placelore.operators.windows import Windows, day_between
 
 
 def _poi_category(poi: DataFrame, level: int = 1) -> DataFrame:
-    return poi.groupBy("sid").agg(F.min("category_path").alias("category_path")).select(
+    return places_of(poi).select(
         "sid", category_at("category_path", level).alias("category")
     )
 

@@ -64,30 +64,43 @@ def bootstrap_indexed(
     """Paired bootstrap whose draws are a function of their numbers.
 
     Slot ``i`` of replicate ``b`` takes row ``md5(b|i) mod n``, so any engine gets the same
-    result. It touches B x n rows; ``bootstrap_histogram`` is the form for many replicates.
+    result. The draws depend on n, b and i only, so they are made once per distinct n and shared
+    by all variants and metrics: a user's differences travel as one row. Replicates of a group of n
+    users need B x n draws; ``bootstrap_histogram`` is the form for very many users.
     Rows are numbered per (variant, metric) in id-range buckets, never in one task.
     Replicate means are rounded to 9 digits so that exact zeros count on both sides.
     """
     group = ["variant", "metric"]
     diffs = pairs.select(*group, "idhash", (F.col("baseline") - F.col("value")).alias("diff"))
-    numbered = materialize(
-        skew.row_number(
-            diffs, group, [F.col("idhash")], [(F.floor(F.col("idhash") / user_span), False)], "slot"
-        ).withColumn("slot", F.col("slot") - 1)
-    )
-    sizes = numbered.groupBy(*group).agg(F.count("*").alias("n"), F.round(F.avg("diff"), 6).alias("mean_diff"))
-    draws = numbered.join(sizes, group).select(
-        *group, "n", "slot", F.explode(F.sequence(F.lit(0), F.lit(n_bootstrap - 1))).alias("b")
+    numbered = skew.row_number(
+        diffs, group, [F.col("idhash")], [(F.floor(F.col("idhash") / user_span), False)], "slot"
+    ).withColumn("slot", F.col("slot") - 1)
+    sizes = materialize(diffs.groupBy(*group).agg(F.count("*").alias("n"), F.round(F.avg("diff"), 6).alias("mean_diff")))
+    # one row per (n, slot) with the differences of all groups of that size, in the order of their names
+    listed = F.sort_array(F.collect_list(F.struct(*group, "diff")))
+    rows = materialize(
+        numbered.join(sizes.select(*group, "n"), group).groupBy("n", "slot").agg(listed.alias("_all")).select(
+            "n", "slot", F.col("_all.diff").alias("diffs"),
+            F.transform("_all", lambda x: F.struct(x["variant"].alias("variant"), x["metric"].alias("metric"))).alias("names"),
+        )
     )
+    most = rows.agg(F.max(F.size("diffs"))).first()[0] or 0  # groups of one size: variants x metrics at most
+    draws = rows.select("n", "slot", F.explode(F.sequence(F.lit(0), F.lit(n_bootstrap - 1))).alias("b"))
     text = F.concat_ws("|", F.col("b").cast("string"), F.col("slot").cast("string"))
     pick = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") % F.col("n")
-    means = (
-        draws.select(*group, "b", pick.alias("slot"))
-        .groupBy(*group, "b", "slot")
+    sums = (
+        draws.select("n", "b", pick.alias("slot"))
+        .groupBy("n", "b", "slot")
         .agg(F.count("*").alias("times"))
-        .join(numbered, [*group, "slot"])
-        .groupBy(*group, "b")
-        .agg(F.round(F.sum(F.col("times") * F.col("diff")) / F.sum("times"), 9).alias("_mean"))
+        .join(rows.select("n", "slot", "diffs"), ["n", "slot"])
+        .groupBy("n", "b")
+        .agg(*[F.sum(F.col("times") * F.get("diffs", F.lit(i))).alias(f"_s{i}") for i in range(most)])
+    )
+    means = (
+        sums.join(rows.filter("slot = 0").select("n", "names"), "n")
+        .select("n", F.inline(F.arrays_zip("names", F.array(*[f"_s{i}" for i in range(most)]).alias("sum"))))
+        .filter("names is not null")
+        .select("names.*", F.round(F.col("sum") / F.col("n"), 9).alias("_mean"))
     )
     return means.groupBy(*group).agg(*_bootstrap_row(confidence)).join(sizes.drop("n"), group)
 
@@ -99,8 +112,8 @@ def bootstrap_histogram(
 
     Resampling n pairs with replacement draws multinomial counts over the distinct
     differences. Spark reduces the pairs to that histogram; each (variant, metric) then
-    draws its counts bin by bin as conditional binomials, which needs memory for the
-    replicates only, however many users or bins there are.
+    draws its counts bin by bin as conditional binomials. A task holds the histogram of one
+    (variant, metric), at most one bin per distinct difference, and the replicates.
     """
     group = ["variant", "metric"]
     histogram = (

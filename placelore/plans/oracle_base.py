@@ -77,6 +77,13 @@ SELECT sid, pct_poi, {GRADE.format('pct_poi')} AS grade_poi FROM (
   FROM v_poi_cat)
 """)
 view("v_demo_text", "SELECT idhash, concat('segment: ', segment, ', nation: ', nation) AS demo_text FROM v_demo")
+view("v_review_rows", """
+SELECT r.idhash, row_number() OVER (PARTITION BY r.idhash ORDER BY created_date DESC, r.place_id DESC, review_id DESC) AS row,
+       created_date AS write_date_time, visit_date AS visit_date_time, strftime(visit_date, '%a') AS visit_day,
+       title AS place_name, road_addr AS address, category_path, text_review,
+       concat('[', lang, ', ', source, ']') AS keyword_list, coalesce(demo_text, '') AS demo_text
+FROM v_dedup r JOIN v_poi p ON r.place_id = p.place_id LEFT JOIN v_demo_text d ON r.idhash = d.idhash
+""")
 LEXICON = r"least(1.0, len(regexp_extract_all(lower(text_review), '\b(?:{0})\b')) * 100.0 / greatest(length(text_review), 1) / 5.0)"
 view("v_quality_raw", f"""
 SELECT review_id, idhash, CAST(least(1.0, length(text_review) / 200.0) AS DOUBLE) AS text_score,
@@ -103,7 +110,7 @@ def _hash_of(condition: str) -> str:
     )
     return f"""
 SELECT idhash, sha256(concat_ws(',', CAST(count(*) AS VARCHAR), {words})) AS sha256
-FROM (SELECT idhash, sha256(concat(epoch_us(etimestamp), '|', sid)) AS h FROM v_clicks WHERE {condition})
+FROM (SELECT idhash, sha256(concat(coalesce(CAST(epoch_us(etimestamp) AS VARCHAR), '~'), '|', coalesce(CAST(sid AS VARCHAR), '~'))) AS h FROM v_clicks WHERE {condition})
 GROUP BY idhash
 """
 
@@ -165,13 +172,13 @@ SELECT idhash, round(CAST(least(1.0, greatest(0.0, 1.0 - (DATE '{LAST_DAY}' - ma
 FROM v_clicks GROUP BY idhash""",
     "engagement_score": f"""
 WITH u AS (
-  SELECT c.idhash, n_clicks, recency, coalesce(n_reviews, 0) AS n_reviews, coalesce(n_saves, 0) AS n_saves,
-         coalesce(n_categories, 0) AS n_categories
+  SELECT idhash, coalesce(n_clicks, 0) AS n_clicks, coalesce(recency, 0.0) AS recency, coalesce(n_reviews, 0) AS n_reviews,
+         coalesce(n_saves, 0) AS n_saves, coalesce(n_categories, 0) AS n_categories
   FROM (SELECT idhash, count(*) AS n_clicks,
                CAST(least(1.0, greatest(0.0, 1.0 - (DATE '{LAST_DAY}' - max(datestr)) / 30.0)) AS DOUBLE) AS recency
         FROM v_clicks GROUP BY idhash) c
-  LEFT JOIN (SELECT idhash, count(*) AS n_reviews FROM v_reviews GROUP BY idhash) r USING (idhash)
-  LEFT JOIN (SELECT idhash, count(*) AS n_saves FROM v_saves GROUP BY idhash) s USING (idhash)
+  FULL JOIN (SELECT idhash, count(*) AS n_reviews FROM v_reviews GROUP BY idhash) r USING (idhash)
+  FULL JOIN (SELECT idhash, count(*) AS n_saves FROM v_saves GROUP BY idhash) s USING (idhash)
   LEFT JOIN (SELECT idhash, count(DISTINCT top_category) AS n_categories FROM v_clicks JOIN v_poi_cat USING (sid) GROUP BY idhash) g USING (idhash)
 ), n AS (
   SELECT idhash, recency,
@@ -187,8 +194,12 @@ SELECT idhash, round(clicks, 6) AS clicks, round(reviews, 6) AS reviews, round(s
 FROM n ORDER BY score DESC, idhash LIMIT 10000""",
     "daily_activity_rollup": """
 SELECT idhash, datestr, top_category AS l2, sub_category AS l3, action, count(*) AS n
-FROM v_clicks JOIN v_poi_cat USING (sid) WHERE sub_category IS NOT NULL
-GROUP BY idhash, datestr, action, ROLLUP (top_category, sub_category)""",
+FROM v_clicks JOIN v_poi_cat USING (sid) WHERE sub_category IS NOT NULL GROUP BY ALL
+UNION ALL
+SELECT idhash, datestr, top_category, NULL, action, count(*)
+FROM v_clicks JOIN v_poi_cat USING (sid) WHERE top_category IS NOT NULL GROUP BY ALL
+UNION ALL
+SELECT idhash, datestr, NULL, NULL, action, count(*) FROM v_clicks GROUP BY ALL""",
     "exploratory_vs_confirmed": """
 SELECT idhash, top_category AS category, count(*) FILTER (action IN ('click', 'view')) AS exploratory,
        count(*) FILTER (action IN ('purchase', 'signup')) AS confirmed
@@ -228,12 +239,7 @@ SELECT idhash, review_id, review_group_id, place_id, created_date, text_review,
 FROM v_reviews WHERE CAST(updated_time AS DATE) = DATE '{REVIEW_DAY}' AND idhash IN (FROM v_train_users)""",
     "review_clean": f"SELECT {REVIEW_COLUMNS} FROM v_clean",
     "review_dedup": f"SELECT {REVIEW_COLUMNS} FROM v_dedup",
-    "review_rows": """
-SELECT r.idhash, row_number() OVER (PARTITION BY r.idhash ORDER BY created_date DESC, r.place_id DESC, review_id DESC) AS row,
-       created_date AS write_date_time, visit_date AS visit_date_time, strftime(visit_date, '%a') AS visit_day,
-       title AS place_name, road_addr AS address, category_path, text_review,
-       concat('[', lang, ', ', source, ']') AS keyword_list, coalesce(demo_text, '') AS demo_text
-FROM v_dedup r JOIN v_poi p ON r.place_id = p.place_id LEFT JOIN v_demo_text d ON r.idhash = d.idhash""",
+    "review_rows": "FROM v_review_rows",
     "review_chunks": f"""
 SELECT idhash, review_id, rn, (rn - 1) // {CHUNK} AS chunk, count(*) OVER (PARTITION BY idhash) AS n_reviews
 FROM (SELECT *, row_number() OVER (PARTITION BY idhash ORDER BY created_date DESC, place_id DESC, review_id DESC) AS rn FROM v_dedup)""",

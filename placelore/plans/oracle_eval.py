@@ -39,22 +39,22 @@ FROM v_behavior_text i FULL JOIN v_review_text e ON i.idhash = e.idhash AND i.da
 """)
 view("v_full_text", "SELECT idhash, string_agg(text, chr(10) ORDER BY datestr) AS text FROM v_daily_text GROUP BY idhash")
 view("v_prompt_rows", f"""
-SELECT *, (row_number() OVER (PARTITION BY idhash, datestr, kind ORDER BY etimestamp, event_id) - 1) // {PROMPT_ROWS} AS part
+SELECT *, (row_number() OVER (PARTITION BY idhash, datestr ORDER BY etimestamp, event_id, kind) - 1) // {PROMPT_ROWS} AS part
 FROM (
   SELECT idhash, datestr, etimestamp, event_id, 'click' AS kind,
-         concat_ws(' ', strftime(etimestamp, '%H:%M:%S'), title, '<' || top_category || '>', CASE WHEN trim(query) <> '' THEN query END) AS line
-  FROM v_clicks LEFT JOIN v_poi_cat USING (sid)
+         concat_ws(' ', strftime(etimestamp, '%H:%M:%S'), day_name, title, '<' || top_category || '>', region, review_top_display,
+                   CASE WHEN trim(query) <> '' THEN query END) AS line
+  FROM v_enriched
   UNION ALL
   SELECT idhash, datestr, etimestamp, event_id, 'save',
-         concat_ws(' ', strftime(etimestamp, '%H:%M:%S'), title, '<' || top_category || '>')
+         concat_ws(' ', strftime(etimestamp, '%H:%M:%S'), title, '<' || trim(string_split(category_path, '>')[-1]) || '>')
   FROM v_saves LEFT JOIN v_poi_cat USING (sid)
   WHERE (idhash, datestr) IN (SELECT (idhash, datestr) FROM v_clicks))
 """)
-view("v_chunk_rows", f"""
-SELECT r.idhash, review_id, created_date, title, category_path, text_review,
-       row_number() OVER (PARTITION BY r.idhash ORDER BY created_date DESC, r.place_id DESC, review_id DESC) AS rn,
-       count(*) OVER (PARTITION BY r.idhash) AS n_reviews
-FROM v_dedup r JOIN v_poi p ON r.place_id = p.place_id
+view("v_chunk_rows", """
+SELECT *, row_number() OVER (PARTITION BY idhash ORDER BY write_date_time DESC, place_name DESC, row) AS rn,
+       count(*) OVER (PARTITION BY idhash) AS n_reviews
+FROM v_review_rows
 """)
 view("v_extraction_raw", r"""
 SELECT *, CASE (conv_id + turn) % 6
@@ -148,12 +148,16 @@ SELECT *, row_number() OVER (PARTITION BY variant, metric ORDER BY idhash) - 1 A
        count(*) OVER (PARTITION BY variant, metric) AS n, baseline - value AS diff
 FROM v_pairs
 """)
-view("v_boot", f"""
-SELECT d.variant, d.metric, b, round(avg(p.diff), 9) AS mean
-FROM v_slots d CROSS JOIN (SELECT range AS b FROM range({BOOTSTRAP_DRAWS}))
-JOIN v_slots p ON p.variant = d.variant AND p.metric = d.metric
-  AND p.slot = CAST(concat('0x', substr(md5(concat(b, '|', d.slot)), 1, 8)) AS BIGINT) % d.n
-GROUP BY ALL
+view("v_draws", f"""
+SELECT n, b, pick, count(*) AS times FROM (
+  SELECT n, b, CAST(concat('0x', substr(md5(concat(b, '|', slot)), 1, 8)) AS BIGINT) % n AS pick
+  FROM (SELECT DISTINCT n, slot FROM v_slots) CROSS JOIN (SELECT range AS b FROM range({BOOTSTRAP_DRAWS})))
+GROUP BY n, b, pick
+""")
+view("v_boot", """
+SELECT p.variant, p.metric, d.b, round(sum(d.times * p.diff) / p.n, 9) AS mean
+FROM v_draws d JOIN v_slots p ON p.n = d.n AND p.slot = d.pick
+GROUP BY p.variant, p.metric, d.b, p.n
 """)
 view("v_bootstrap", """
 SELECT variant, metric, round(quantile_cont(mean, 0.025), 6) AS ci_lower, round(quantile_cont(mean, 0.975), 6) AS ci_upper,
@@ -185,9 +189,12 @@ SELECT idhash, json_extract_string(coalesce(
     CASE WHEN json_valid(regexp_extract(raw, '(?s)\{.*\}')) THEN json_extract(regexp_extract(raw, '(?s)\{.*\}'), '$.predictions') END,
     CASE WHEN json_valid(regexp_extract(raw, '(?s)\[.*\]')) THEN CAST(regexp_extract(raw, '(?s)\[.*\]') AS JSON) END
   ), '$[*]') AS predictions
-FROM (SELECT DISTINCT conv_id AS idhash, CASE conv_id % 5 WHEN 0 THEN '{"predictions": ["Brand#1","Brand#2","Brand#1"]}'
-             WHEN 1 THEN 'Sure: {"predictions": ["Brand#3", 7]} thanks' WHEN 2 THEN '["Brand#4","bogus"]'
-             WHEN 3 THEN 'not json' ELSE '' END AS raw FROM conversations)
+FROM (SELECT idhash, CASE idhash % 5
+               WHEN 0 THEN concat('{"predictions": ["Brand#', a, '","Brand#', b, '","Brand#', a, '"]}')
+               WHEN 1 THEN concat('Sure: {"predictions": ["Brand#', a, '", 7, "', word, '"]} thanks')
+               WHEN 2 THEN concat('["Brand#', b, '","', word, '"]') WHEN 3 THEN word ELSE '' END AS raw
+      FROM (SELECT conv_id AS idhash, n % 25 + 1 AS a, (n // 25) % 25 + 1 AS b, word
+            FROM (SELECT conv_id, sum(length(text)) AS n, min(regexp_extract(text, '([A-Za-z]+)', 1)) AS word FROM conversations GROUP BY conv_id)))
 """)
 view("v_mentions", f"""
 SELECT idhash, category, count(*) AS n FROM (SELECT idhash, unnest(regexp_extract_all(text, '{LABEL_PATTERN}')) AS category FROM v_full_text)
@@ -199,16 +206,26 @@ ORACLE = {
     "daily_text": "FROM v_daily_text",
     "full_text": "FROM v_full_text",
     "implicit_prompt": """
-SELECT idhash, datestr, part, concat('[clicks]', chr(10), coalesce(string_agg(line, chr(10) ORDER BY etimestamp, event_id) FILTER (kind = 'click'), ''),
-       chr(10), '[saves]', chr(10), coalesce(string_agg(line, chr(10) ORDER BY etimestamp, event_id) FILTER (kind = 'save'), '')) AS prompt
-FROM v_prompt_rows GROUP BY idhash, datestr, part""",
+SELECT idhash, datestr, part, concat(coalesce(concat(demo_text, chr(10)), ''), body) AS prompt FROM (
+  SELECT idhash, datestr, part, concat('[clicks]', chr(10), coalesce(string_agg(line, chr(10) ORDER BY etimestamp, event_id) FILTER (kind = 'click'), ''),
+         chr(10), '[saves]', chr(10), coalesce(string_agg(line, chr(10) ORDER BY etimestamp, event_id) FILTER (kind = 'save'), '')) AS body
+  FROM v_prompt_rows GROUP BY idhash, datestr, part)
+LEFT JOIN (SELECT idhash, demo_text FROM v_demo_text) USING (idhash)""",
     "explicit_prompt": f"""
 SELECT idhash, chunk, concat('examples: ', CASE WHEN n <= 4 THEN '{FEW_SHOT_SPARSE}' ELSE '{FEW_SHOT_RICH}' END, chr(10),
        'demographics: ', coalesce(demo_text, ''), chr(10), 'reviews:', chr(10), lines) AS prompt
-FROM (SELECT idhash, (rn - 1) // {CHUNK} AS chunk, max(n_reviews) AS n,
-             string_agg(concat_ws(' | ', CAST(created_date AS VARCHAR), title, category_path, text_review), chr(10) ORDER BY rn) AS lines
-      FROM v_chunk_rows GROUP BY ALL)
-LEFT JOIN v_demo_text USING (idhash)""",
+FROM (SELECT idhash, (rn - 1) // {CHUNK} AS chunk, max(n_reviews) AS n, max(demo_text) AS demo_text,
+             string_agg(concat_ws(' | ', CAST(row AS VARCHAR), CAST(write_date_time AS VARCHAR), CAST(visit_date_time AS VARCHAR), visit_day,
+                                  place_name, address, category_path, text_review, keyword_list), chr(10) ORDER BY rn) AS lines
+      FROM v_chunk_rows GROUP BY ALL)""",
+    "distill_pairs": """
+SELECT pair_hash, conv_id, turn, prompt, response,
+       CASE WHEN CAST(concat('0x', substr(pair_hash, 1, 8)) AS BIGINT) % 100 < 10 THEN 'eval' ELSE 'train' END AS split
+FROM (SELECT *, row_number() OVER (PARTITION BY pair_hash ORDER BY conv_id, turn) AS rn FROM (
+  SELECT u.conv_id, u.turn, u.text AS prompt, a.text AS response, sha256(concat(sha256(u.text), sha256(a.text))) AS pair_hash
+  FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
+  WHERE u.role = 'user' AND a.role <> 'user' AND trim(u.text) <> '' AND trim(a.text) <> ''))
+WHERE rn = 1""",
     "explicit_parse": f"""
 SELECT conv_id AS idhash, turn, datestr, CASE WHEN len(infos) > 0
        THEN concat({HEADER.format('datestr')}, chr(10), array_to_string([concat('- ', x) for x in infos], chr(10))) ELSE raw END AS text

@@ -335,7 +335,7 @@ SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY score D
 """)
 view("v_fused", """
 SELECT query, doc, round(sum(1.0 / (60 + rank)), 6) AS score FROM (
-  SELECT query, doc, rank FROM v_lexical WHERE rank <= 20 UNION ALL SELECT query, doc, rank FROM v_dense WHERE rank <= 20) GROUP BY query, doc
+  SELECT query, doc, rank FROM v_lexical UNION ALL SELECT query, doc, rank FROM v_dense) GROUP BY query, doc
 """)
 view("v_terms", f"SELECT idhash, path, item FROM v_all_items WHERE axis <> 'user_info' AND {level('path')} > 1")
 view("v_links", f"""
@@ -426,7 +426,7 @@ SELECT idhash, sid, score, row_number() OVER (PARTITION BY idhash ORDER BY score
          WHEN {level('i.path')} >= 2 AND {level('c.category_path')} >= 2 AND {prefix('i.path', 2)} = {prefix('c.category_path', 2)} THEN 0.5 ELSE 0.25 END)), 0.0) AS DOUBLE), 6) AS score
   FROM (SELECT DISTINCT idhash, sid, title, category_path FROM v_clicks JOIN v_poi USING (sid) WHERE {IN_TEST}) c
   LEFT JOIN v_train_items i ON i.idhash = c.idhash AND i.axis <> 'user_info' AND list_contains(string_split(c.title, ' '), i.item)
-  GROUP BY c.idhash, c.sid) QUALIFY rank <= 10""",
+  GROUP BY c.idhash, c.sid)""",
     "persona_consistency": """
 SELECT idhash, datestr, round(shared / CAST(n + n_previous - shared AS DOUBLE), 6) AS consistency FROM (
   SELECT s.idhash, s.datestr, (SELECT count(*) FROM v_day_items a WHERE a.idhash = s.idhash AND a.datestr = s.datestr) AS n,

@@ -35,14 +35,22 @@ def full_text(spark, d):
 
 
 def implicit_prompt(spark, d):
-    return evidence.implicit_prompt(t.clicks(spark, d), t.saves(spark, d), t.poi(spark, d), PROMPT_ROWS)
+    return evidence.implicit_prompt(base.enrich_clicks(spark, d), base.enrich_saves(spark, d), base.demo_texts(spark, d), PROMPT_ROWS)
 
 
 def explicit_prompt(spark, d):
-    return evidence.explicit_prompt(
-        base.stored_reviews(spark, d), t.poi(spark, d), base.demo_texts(spark, d),
-        EXPLICIT_TEMPLATE, FEW_SHOT_RICH, FEW_SHOT_SPARSE, CHUNK,
+    rows = cut_lineage(base.review_rows(spark, d))
+    return evidence.explicit_prompt(rows, EXPLICIT_TEMPLATE, FEW_SHOT_RICH, FEW_SHOT_SPARSE, CHUNK)
+
+
+def distill_pairs(spark, d):
+    """A turn of a user and the turn that follows it."""
+    turns = t.read(spark, d, "conversations")
+    asked = turns.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("prompt"))
+    answered = turns.filter(F.col("role") != "user").select(
+        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("response")
     )
+    return evidence.distill_pairs(asked, answered, ["conv_id", "turn"])
 
 
 def explicit_parse(spark, d):
@@ -195,10 +203,6 @@ def paired_bootstrap(spark, d):
     return stats.paired_bootstrap(align_variants(spark, d), BOOTSTRAP_DRAWS, "indexed")
 
 
-def paired_bootstrap_histogram(spark, d):
-    return stats.paired_bootstrap(align_variants(spark, d))
-
-
 def cohens_d(spark, d):
     return stats.cohens_d(align_variants(spark, d))
 
@@ -218,10 +222,10 @@ def full_context_gap(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        daily_text, full_text, implicit_prompt, explicit_prompt, explicit_parse, token_usage, behavior_clusters,
+        daily_text, full_text, implicit_prompt, explicit_prompt, distill_pairs, explicit_parse, token_usage, behavior_clusters,
         implicit_persona, item_dedup, read_daily_texts, parse_predictions, validate_pad, category_baseline,
         prediction_prompt, precision_recall, ndcg, hit_rate, mrr, all_metrics, pairwise_eval, variant_summary,
-        align_variants, paired_bootstrap, paired_bootstrap_histogram, cohens_d, holm, compare_variants,
+        align_variants, paired_bootstrap, cohens_d, holm, compare_variants,
         full_context_gap,
     )
 }

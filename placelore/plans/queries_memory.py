@@ -254,8 +254,7 @@ def rrf(spark, d):
     asked = vector_queries(spark, d)
     texts = asked.select("scope", "query").join(docs.select(F.col("doc").alias("query"), "text"), "query")
     lexical = retrieval.bm25_scores(docs, texts).filter(F.col("doc") != F.col("query"))
-    ranked = top_per_key(lexical, ["query"], [F.desc("score"), F.col("doc")], 20, "rank")
-    return retrieval.rrf(ranked, retrieval.dense_topk(vectors(spark, d), asked, 20))
+    return retrieval.rrf(retrieval.ranking(lexical), retrieval.dense_topk(vectors(spark, d), asked, None))
 
 
 def variant_results(spark, d) -> DataFrame:

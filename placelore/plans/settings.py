@@ -17,9 +17,9 @@ LABEL_PATTERN = "Brand#[0-9]+"
 EVAL_LEVEL = 2  # path segment used as prediction category
 BUDGET = 300
 CHUNK = 10
-PROMPT_ROWS = 1000
+PROMPT_ROWS = 3  # small, so that days of the test data are split
 PRICES = (15.0, 60.0)  # per million prompt and completion tokens
-BOOTSTRAP_DRAWS = 50
+BOOTSTRAP_DRAWS = 10_000
 EXPLICIT_TEMPLATE = "examples: {few_shot}\ndemographics: {demographic_prompt}\nreviews:\n{user_prompt}"
 FEW_SHOT_RICH, FEW_SHOT_SPARSE = "rich", "sparse"
 PREDICTION_TEMPLATE = "memory:\n{memory_context}\ncategories: {category_list}\nanswer with ten categories"

@@ -102,19 +102,29 @@ def reviews(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def prediction_responses(spark: SparkSession, folder: str) -> DataFrame:
-    """One model response per user covering every branch of the tolerant parser."""
-    conv = F.col("conv_id")
+    """One model response per conversation, made from its texts, covering every branch of the tolerant parser.
+
+    The named labels follow from the length of the texts; the smallest first word stands for prose.
+    """
+    case = F.col("idhash") % 5
+    first, second, word = F.col("_first"), F.col("_second"), F.col("_word")
+    label = lambda n: F.concat(F.lit('"Brand#'), n.cast("string"), F.lit('"'))
+    quoted = F.concat(F.lit('"'), word, F.lit('"'))
     return (
         read(spark, folder, "conversations")
-        .select(conv.alias("idhash"))
-        .distinct()
-        .withColumn(
-            "raw",
-            F.when(F.col("idhash") % 5 == 0, F.lit('{"predictions": ["Brand#1","Brand#2","Brand#1"]}'))
-            .when(F.col("idhash") % 5 == 1, F.lit('Sure: {"predictions": ["Brand#3", 7]} thanks'))
-            .when(F.col("idhash") % 5 == 2, F.lit('["Brand#4","bogus"]'))
-            .when(F.col("idhash") % 5 == 3, F.lit("not json"))
-            .otherwise(F.lit("")),
+        .groupBy(F.col("conv_id").alias("idhash"))
+        .agg(F.sum(F.length("text")).alias("_n"), F.min(F.regexp_extract("text", "([A-Za-z]+)", 1)).alias("_word"))
+        .select(
+            "idhash", (F.col("_n") % 25 + 1).alias("_first"), (F.floor(F.col("_n") / 25) % 25 + 1).cast("bigint").alias("_second"), "_word"
+        )
+        .select(
+            "idhash",
+            F.when(case == 0, F.concat(F.lit('{"predictions": ['), label(first), F.lit(","), label(second), F.lit(","), label(first), F.lit("]}")))
+            .when(case == 1, F.concat(F.lit('Sure: {"predictions": ['), label(first), F.lit(", 7, "), quoted, F.lit("]} thanks")))
+            .when(case == 2, F.concat(F.lit("["), label(second), F.lit(","), quoted, F.lit("]")))
+            .when(case == 3, word)
+            .otherwise(F.lit(""))
+            .alias("raw"),
         )
     )
 

@@ -134,19 +134,27 @@ def test_daily_text_forms(spark):
 
 def test_prompt_parts_keep_every_row(spark):
     log = hot_log(spark, 400).withColumn("datestr", F.to_date("etimestamp")).withColumn("query", F.lit("q"))
-    poi = spark.createDataFrame([(i, f"t{i}", "root > A") for i in range(4)], "sid bigint, title string, category_path string")
-    out = evidence.implicit_prompt(log, log.limit(0), poi, rows_per_prompt=7)
+    names = ("day_name", "title", "top_category", "category", "region", "review_top_display")
+    log = log.withColumns({n: F.lit(n) for n in names})
+    demo = spark.createDataFrame([], "idhash bigint, demo_text string")
+    out = evidence.implicit_prompt(log, log.limit(0), demo, rows_per_prompt=7)
     lines = out.select(F.sum(F.size(F.split("prompt", "\n")) - 3)).first()[0]
     assert lines == 400
     assert out.select(F.max(F.size(F.split("prompt", "\n")))).first()[0] <= 10
 
 
 def test_explicit_prompt_sparse_and_chunks(spark):
-    rows = [(i, u, i % 3, date(2024, 1, 1 + i % 5), f"review {{x}} {i}") for u, n in ((1, 4), (2, 7)) for i in range(u * 100, u * 100 + n)]
-    df = spark.createDataFrame(rows, "review_id bigint, idhash bigint, place_id bigint, created_date date, text_review string")
-    poi = spark.createDataFrame([(i, f"p{i}", "root > A") for i in range(3)], "place_id bigint, title string, category_path string")
-    demo = spark.createDataFrame([(1, "age: 3")], "idhash bigint, demo_text string")
-    out = evidence.explicit_prompt(df, poi, demo, "{few_shot}|{demographic_prompt}|{user_prompt}", "RICH", "SPARSE", 5).collect()
+    day = lambda i: date(2024, 1, 1 + i % 5)
+    rows = [
+        (u, i, day(i), day(i), "Mon", f"p{i % 3}", "street", "root > A", f"review {{x}} {i}", "[k]", "age: 3" if u == 1 else "")
+        for u, n in ((1, 4), (2, 7)) for i in range(1, n + 1)
+    ]
+    df = spark.createDataFrame(
+        rows,
+        "idhash bigint, row bigint, write_date_time date, visit_date_time date, visit_day string, place_name string, "
+        "address string, category_path string, text_review string, keyword_list string, demo_text string",
+    )
+    out = evidence.explicit_prompt(df, "{few_shot}|{demographic_prompt}|{user_prompt}", "RICH", "SPARSE", 5).collect()
     got = {(r.idhash, r.chunk): r.prompt for r in out}
     assert set(got) == {(1, 0), (2, 0), (2, 1)}
     assert got[1, 0].startswith("SPARSE|age: 3|") and got[2, 1].startswith("RICH||") and "{x}" in got[1, 0]
