@@ -36,15 +36,15 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataF
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Rows that cover less than the threshold of every benchmark item."""
-    found = decontaminate.contamination(docs, table(spark, folder, "benchmark"))
-    return found.filter(F.col("coverage") < decontaminate.COVERAGE).select(*docs.columns)
+    found = decontaminate.contamination(docs, table(spark, folder, "benchmark"), names=("_coverage", "_item"))
+    return found.filter(F.col("_coverage") < decontaminate.COVERAGE).select(*docs.columns)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """All rows with the ids of the best segmentation, its score and the check of the round trip."""
+    """All rows with the ids of the best segmentation, its score and the check of the round trip (columns so named are replaced)."""
     found = sentencepiece.encode(docs, PIECE_MODEL)
     return found.select(
-        *docs.columns,
+        *[c for c in docs.columns if c not in ("ids", "best", "decoded", "score", "round_trip")],
         "ids",
         F.col("best")[0]["score"].alias("score"),
         (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),

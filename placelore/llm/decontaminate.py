@@ -176,21 +176,27 @@ def _cut(words: list[str], places: set[int]) -> list:
     return out
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, local_words: int = LOCAL_WORDS) -> DataFrame:
+def contamination(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    seed: int = SEED,
+    local_words: int = LOCAL_WORDS,
+    names: tuple[str, str] = ("coverage", "item_id"),
+) -> DataFrame:
     """All columns of ``docs`` with coverage (double, largest over the items) and item_id (that item; NULL without any seed).
 
     Of equally covered items the smallest item_id is named. NULL and empty texts have coverage 0; NULL and empty
-    items, and items without id, are not tested. Columns of ``docs`` named coverage or item_id are replaced; repeated
+    items, and items without id, are not tested. Columns of ``docs`` named as the two new ones are replaced; repeated
     rows get equal results, and an empty table gives an empty table.
     """
-    kept = docs.drop("coverage", "item_id")
+    kept = docs.drop(*names)
     items = benchmark.filter("item_id is not null").select(F.col("item_id").cast("bigint").alias("item_id"), "text").filter(
         F.length(F.coalesce("text", F.lit(""))) > 0
     )
-    schema = kept.withColumns({"coverage": F.lit(0.0), "item_id": F.lit(None).cast("bigint")}).schema
+    schema = kept.withColumns({names[0]: F.lit(0.0), names[1]: F.lit(None).cast("bigint")}).schema
     size = items.agg(F.sum(F.size(F.split("text", r"\s+"))), F.sum(F.length("text"))).first()
     if (size[0] or 0) > local_words or (size[1] or 0) > 20 * local_words:
-        return _contamination_joined(kept, items, seed, schema)
+        return _contamination_joined(kept, items, seed, names)
     local = _Local([(r["item_id"], words_of(r["text"])) for r in items.orderBy("item_id").collect()], seed)
     shared = kept.sparkSession.sparkContext.broadcast((list(local.items.items()), seed))
     at = kept.columns.index("text")
@@ -203,13 +209,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, local
                 found = [tool.best(t) for t in part.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array([c for c, _ in found], pa.float64()), pa.array([i for _, i in found], pa.int64())],
-                    [*part.schema.names, "coverage", "item_id"],
+                    [*part.schema.names, *names],
                 )
 
     return kept.mapInArrow(run, schema)
 
 
-def _contamination_joined(docs: DataFrame, items: DataFrame, seed: int, schema) -> DataFrame:
+def _contamination_joined(docs: DataFrame, items: DataFrame, seed: int, names: tuple[str, str]) -> DataFrame:
     """The same by a shuffled join on seed hashes, for a benchmark of any size.
 
     Words of one document that seed one item are gathered per pair; they are part of the document's text.
@@ -239,10 +245,9 @@ def _contamination_joined(docs: DataFrame, items: DataFrame, seed: int, schema)
         pairs.mapInArrow(run, "_row long, item_id long, coverage double")
         .groupBy("_row")
         .agg(F.max(F.struct("coverage", (-F.col("item_id")).alias("k"))).alias("b"))
-        .select("_row", F.col("b.coverage").alias("coverage"), (-F.col("b.k")).alias("item_id"))
+        .select("_row", F.col("b.coverage").alias(names[0]), (-F.col("b.k")).alias(names[1]))
     )
-    joined = rows.join(best, "_row", "left").withColumn("coverage", F.coalesce("coverage", F.lit(0.0)))
-    return joined.select(*[f.name for f in schema])
+    return rows.join(best, "_row", "left").withColumn(names[0], F.coalesce(names[0], F.lit(0.0))).drop("_row")
 
 
 def _lengths(seed: int):

@@ -282,4 +282,4 @@ def drop_near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> Data
     """
     lost = jaccard_components(docs, words, percent).filter("doc_id <> component_id").select(F.col("doc_id").alias("_lost"))
     lost = broadcast_if_at_most(stored(lost.distinct()), FETCHED_IDS)
-    return docs.join(lost, docs["doc_id"] == F.col("_lost"), "left_anti")
+    return docs.join(lost, docs["doc_id"] == lost["_lost"], "left_anti")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from placelore.llm import license_scan
+
 EXACT = r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS n,
@@ -60,4 +62,54 @@ SELECT t.doc_id, len(t.w)::BIGINT AS n_words, (len(t.w) - coalesce(kept.n, 0))::
 FROM t LEFT JOIN kept ON kept.doc_id = t.doc_id
 """
 
-ORACLE: dict[str, str] = {"op3_exact_dedup": EXACT, "op5_ngram_jaccard": JACCARD, "op10_substring_dedup": PASSAGES}
+SPLIT = r"list_filter(string_split_regex(lower({0}), '[^\p{{L}}\p{{N}}]+'), x -> x <> '')"
+NOTICES = ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(license_scan.TEMPLATES))
+LICENSES = f"""
+WITH tw AS (
+  SELECT t, license, w, count(*) AS tf
+  FROM (SELECT t, license, unnest({SPLIT.format('text')}) AS w FROM (VALUES {NOTICES}) v(t, license, text)) GROUP BY ALL
+), f AS (
+  SELECT doc_id, concat('/', coalesce(source, 'none'), '/', coalesce(lang, 'none'), '/', CAST(floor(doc_id / 100) AS BIGINT)) AS dir,
+         coalesce(text, '') AS text FROM documents
+), l AS (
+  SELECT doc_id, unnest(range(len(ls))) AS line, unnest(ls) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM f)
+), lw AS (
+  SELECT doc_id, line, w, count(*) AS tf FROM (SELECT doc_id, line, unnest({SPLIT.format('text')}) AS w FROM l) GROUP BY ALL
+), n AS (SELECT count(*) AS n FROM f), d AS (SELECT w, count(DISTINCT doc_id) AS df FROM lw GROUP BY w),
+idf AS (
+  SELECT w, ln((n + 1) / (coalesce(df, 0) + 1)) AS v FROM (SELECT DISTINCT w FROM tw) CROSS JOIN n LEFT JOIN d USING (w)
+  WHERE coalesce(df, 0) <= greatest({license_scan.COMMON} * n, 1) AND n > coalesce(df, 0)
+), tv AS (
+  SELECT t, license, w, x / sqrt(sum(x * x) OVER (PARTITION BY t)) AS x
+  FROM (SELECT t, license, w, tf * v AS x FROM tw JOIN idf USING (w))
+), norms AS (
+  SELECT doc_id, line, sqrt(sum(tf * tf * coalesce(v, top) * coalesce(v, top))) AS norm, sum(tf) AS n
+  FROM lw LEFT JOIN idf USING (w) CROSS JOIN (SELECT max(v) AS top FROM idf) GROUP BY doc_id, line
+), cosines AS (
+  SELECT doc_id, line, license, t, round(sum(tf * v * x) / any_value(norm), 9) AS cosine, any_value(norms.n) AS n
+  FROM lw JOIN idf USING (w) JOIN tv USING (w) JOIN norms USING (doc_id, line) GROUP BY doc_id, line, license, t
+), own AS (
+  SELECT doc_id, dir, license, cosine, c.n / total AS share FROM f
+  LEFT JOIN (SELECT doc_id, sum(tf) AS total FROM lw GROUP BY doc_id) USING (doc_id)
+  LEFT JOIN (SELECT * FROM cosines WHERE cosine >= {license_scan.COSINE}
+             QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, line, license) = 1) c USING (doc_id)
+), speakers AS (
+  SELECT dir AS above, license AS s_license, cosine AS s_cosine, concat(dir, '/', doc_id) AS s_path FROM own
+  WHERE license IS NOT NULL AND share >= {license_scan.FILE_SHARE}
+  QUALIFY row_number() OVER (PARTITION BY dir ORDER BY cosine DESC, concat(dir, '/', doc_id)) = 1
+), nearest AS (
+  SELECT dir, s_license, s_cosine, s_path FROM (SELECT DISTINCT dir FROM own) JOIN speakers ON dir = above OR starts_with(dir, above || '/')
+  QUALIFY row_number() OVER (PARTITION BY dir ORDER BY length(above) DESC) = 1
+)
+SELECT doc_id, concat(dir, '/', doc_id) AS path, coalesce(license, s_license) AS license, round(coalesce(cosine, s_cosine), 6) AS cosine,
+       CASE WHEN license IS NOT NULL THEN 'own' WHEN s_license IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
+       CASE WHEN license IS NOT NULL THEN concat(dir, '/', doc_id) ELSE s_path END AS origin_path
+FROM own LEFT JOIN nearest USING (dir)
+"""
+
+ORACLE: dict[str, str] = {
+    "op3_exact_dedup": EXACT,
+    "op5_ngram_jaccard": JACCARD,
+    "op8_license": LICENSES,
+    "op10_substring_dedup": PASSAGES,
+}

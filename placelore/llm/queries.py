@@ -88,7 +88,9 @@ def op8_license(spark: SparkSession, folder: str) -> DataFrame:
     path = F.concat_ws("/", F.lit(""), F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), bucket, F.col("doc_id").cast("string"))
     files = docs.select(path.alias("path"), "text")
     found = license_scan.scan(files, license_scan.templates(spark))
-    return found.withColumn("doc_id", F.substring_index("path", "/", -1).cast("bigint"))
+    return found.withColumns(
+        {"doc_id": F.substring_index("path", "/", -1).cast("bigint"), "cosine": F.round("cosine", 6)}
+    )
 
 
 def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:

@@ -3,8 +3,9 @@
 The pieces of a text form a lattice. A forward Viterbi pass gives the best score of every prefix; these scores are an
 exact heuristic for a backward A* search, so complete segmentations leave the queue best first. No piece
 crosses the boundary before a space mark that follows another character (checked when the model is
-loaded), so the lattice of a text is a chain of word lattices: each distinct word is searched once per worker, and
-the N best of the text are merged from the gaps between the alternatives of its words.
+loaded), so the lattice of a text is a chain of word lattices. The forward pass over each distinct word also gives the score of its second best
+segmentation; only the words of a text that lose least by it can differ within the N best, and the A* search runs on
+these. The N best of the text are merged from their alternatives.
 
 Scores are those of the model's pieces, added up. A character without a piece is a node of its own that scores ``PENALTY``
 below the worst piece and is written as byte pieces.
@@ -14,7 +15,9 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import math
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +28,7 @@ from pyspark.sql import functions as F
 from placelore.llm.common import CACHE_ENTRIES
 
 SPACE, PENALTY, BEST = "▁", 10.0, 3
+_NONE = object()
 _CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -42,6 +46,8 @@ class Pieces:
         self.score = {self.text[i]: model.get_score(i) for i in plain}
         self.id = {self.text[i]: i for i in plain}
         self.longest = max(map(len, self.id))
+        # every beginning of a piece, with the score where it is a piece itself
+        self.starts = {p[:n]: None for p in self.score for n in range(1, len(p))} | self.score
         self.unknown = min(self.score.values()) - PENALTY
         crossing = [p for p in self.id if SPACE in p.lstrip(SPACE)]
         if crossing or len(self.bytes) != 256:
@@ -68,6 +74,37 @@ class Pieces:
             best.append(max(best[start] + value for start, value in here))
         return edges, best
 
+    def viterbi(self, word: str) -> tuple[tuple[int, ...], float, float]:
+        """Cut positions and score of the best segmentation, and the score of the second best (-inf if there is one only)."""
+        n, table = len(word), self.starts.get
+        best, second, back = [0.0] + [-math.inf] * n, [-math.inf] * (n + 1), [0] * (n + 1)
+        for start in range(n):
+            here, runner = best[start], second[start]
+            for end in range(start + 1, n + 1):
+                value = table(word[start:end], _NONE)
+                if value is None or value is _NONE:  # a mere beginning of pieces, or not even that
+                    if end > start + 1:
+                        if value is None:
+                            continue
+                        break
+                    stop, value = value is _NONE, self.unknown
+                else:
+                    stop = False
+                total = here + value
+                if total > best[end]:
+                    other = runner + value
+                    second[end] = best[end] if best[end] > other else other
+                    best[end], back[end] = total, start
+                elif total > second[end]:
+                    second[end] = total
+                if stop:
+                    break
+        cuts, at = [], len(word)
+        while at:
+            at = back[at]
+            cuts.append(at)
+        return tuple(reversed(cuts)), best[-1], second[-1]
+
     def n_best(self, word: str, most: int) -> list[tuple[float, tuple[int, ...]]]:
         """Up to ``most`` segmentations (score, cut positions), best first; equal scores: the earliest cuts first."""
         edges, best = self.lattice(word)
@@ -98,50 +135,59 @@ class Pieces:
 
 
 class _Words(dict):
-    """Word to (ids as bytes, number of ids, best score, gaps of the alternatives, their ids)."""
+    """Chunk without its leading space mark to (ids of its best segmentation as bytes, their score, loss of the second best)."""
 
     def __init__(self, pieces: Pieces, most: int):
-        self.pieces, self.most = pieces, most
+        self.pieces, self.most, self.others = pieces, most, {}
 
     def __missing__(self, word: str):
         if len(self) >= CACHE_ENTRIES:
             self.clear()
-        found = self.pieces.n_best(word, self.most)
-        ids = [np.array(self.pieces.ids(word, cuts), np.int32) for _, cuts in found]
-        top = found[0][0]
-        value = self[word] = (
-            ids[0].tobytes(), len(ids[0]), top,
-            found[1][0] - top if len(found) > 1 else -np.inf,
-            [(s - top, i.tobytes()) for (s, _), i in zip(found[1:], ids[1:])],
-        )
+        chunk = SPACE + word
+        cuts, best, second = self.pieces.viterbi(chunk)
+        value = self[word] = (array("i", self.pieces.ids(chunk, cuts)).tobytes(), best, second - best)
         return value
 
+    def alternatives(self, word: str) -> list[tuple[float, bytes | None]]:
+        """Losses and ids of the best segmentations, the best of all first."""
+        found = self.others.get(word)
+        if found is None:
+            if len(self.others) >= CACHE_ENTRIES // 10:
+                self.others.clear()
+            ids, best, _ = self[word]
+            chunk = SPACE + word
+            made = ((s - best, array("i", self.pieces.ids(chunk, cuts)).tobytes()) for s, cuts in self.pieces.n_best(chunk, self.most))
+            found = self.others[word] = [(0.0, None), *[m for m in made if m[1] != ids][: self.most - 1]]
+        return found
+
 
 def split_words(text: str) -> list[str]:
-    """Chunks of the lattice: runs of space marks with what follows them, after the dummy prefix."""
-    return _CHUNK.findall(SPACE + text.replace(" ", SPACE))
+    """Chunks of the lattice without their first character, which is always a space mark (the first is the dummy prefix)."""
+    if "  " in text or SPACE in text or text[0] == " " or text[-1] == " ":
+        return [chunk[1:] for chunk in _CHUNK.findall(SPACE + text.replace(" ", SPACE))]
+    return text.split(" ")
 
 
 def segmentations(words: list[str], cache: _Words, most: int) -> list[tuple[float, bytes]]:
     """The ``most`` best segmentations of a text (score, ids), best first; ties go to the earlier word."""
-    found = [cache[w] for w in words]
-    base = b"".join([f[0] for f in found])
-    score = float(sum([f[2] for f in found]))
-    out = [(score, base)]
-    if most == 1 or not found:
+    if not words:
+        return [(0.0, b"")]
+    parts, scores, losses = zip(*map(cache.__getitem__, words))
+    score = float(sum(scores))
+    out = [(score, b"".join(parts))]
+    if most == 1:
         return out
     # only the words with the smallest gaps can change in the best few
-    gaps = np.array([f[3] for f in found])
-    few = np.argsort(-gaps, kind="stable")[: most - 1] if len(gaps) > most else np.argsort(-gaps, kind="stable")
-    few = [int(i) for i in few if np.isfinite(gaps[i])]
-    options = [[(0.0, None), *found[i][4]] for i in few]
+    losses = np.array(losses)
+    few = [int(i) for i in np.argsort(-losses, kind="stable")[: most - 1] if np.isfinite(losses[i])]
+    options = [cache.alternatives(words[i]) for i in few]
     queue = [(0.0, (0,) * len(few))]
     seen = {queue[0][1]}
     while queue and len(out) < most:
         loss, choice = heapq.heappop(queue)
         if any(choice):
             changed = {few[j]: options[j][c][1] for j, c in enumerate(choice) if c}
-            out.append((score - loss, b"".join(changed.get(i, f[0]) for i, f in enumerate(found))))
+            out.append((score - loss, b"".join([changed.get(i, ids) for i, ids in enumerate(parts)])))
         for j, c in enumerate(choice):
             if c + 1 < len(options[j]):
                 following = (*choice[:j], c + 1, *choice[j + 1 :])

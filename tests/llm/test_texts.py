@@ -94,13 +94,16 @@ def test_n_best_equals_enumeration(pieces, word):
     got = pieces.n_best(word, 5)
     assert [s for s, _ in got] == [s for s, _ in want[:5]]
     assert all((s, c) in want for s, c in got) and len({c for _, c in got}) == len(got)
+    cuts, best, second = pieces.viterbi(word)
+    assert (best, cuts) in want and best == want[0][0] and second == (want[1][0] if len(want) > 1 else float("-inf"))
 
 
 @pytest.mark.parametrize("text", ["aa bbb the", "the the", "x", "in  on"])
 def test_text_n_best_equals_enumeration(pieces, text):
     words = sentencepiece.split_words(text)
-    assert "".join(words) == "▁" + text.replace(" ", "▁")
-    want = sorted((s for s, _ in all_segmentations(pieces, "".join(words))), reverse=True)[:6]
+    whole = "".join("▁" + w for w in words)
+    assert whole == "▁" + text.replace(" ", "▁")
+    want = sorted((s for s, _ in all_segmentations(pieces, whole)), reverse=True)[:6]
     got = sentencepiece.segmentations(words, sentencepiece._Words(pieces, 6), 6)
     assert [s for s, _ in got] == pytest.approx(want)
     assert len({i for _, i in got}) == len(got)
