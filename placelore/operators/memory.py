@@ -17,9 +17,12 @@ from placelore.operators.routing import base_path_filter, route_items
 
 @dataclass(frozen=True)
 class MemoryOptions:
-    """Switches of the fold. A Column switches per row, which lets one job build many variants."""
+    """Switches of the fold. A Column switches per row, which lets one job build many variants.
 
-    backward_every: int = 7
+    Experiments consolidate after every day (``backward_every=1``); production runs consolidate weekly (7).
+    """
+
+    backward_every: int = 1
     dynamic: Column = field(default_factory=lambda: F.lit(True))
     backward: Column = field(default_factory=lambda: F.lit(True))
     lift: Column = field(default_factory=lambda: F.lit(True))
@@ -35,7 +38,11 @@ def memory_closed_form(
     base_only: bool = False,
     materialize: Callable[[DataFrame], DataFrame] = lambda df: df,
 ) -> tuple[DataFrame, DataFrame]:
-    """The whole fold without backward passes in one step: (items, notes)."""
+    """Forward update of the whole history in one step, routed as one batch: (items, notes).
+
+    Equal to the daily fold without backward passes where no route depends on the day, that is for listed
+    paths; an unlisted path that becomes known later in the history counts as known from its first day here.
+    """
     routed = route_items(items, taxonomy, _no_notes(items, keys), keys)
     if base_only:
         routed = base_path_filter(routed, taxonomy)

@@ -64,6 +64,14 @@ def _timeline(routed: DataFrame, items: DataFrame | None, keys: list[str]) -> Da
         .withColumn("is_state", F.lit(False))
     )
     if items is not None:
+        # days that have been applied already change no support, so a repeated job changes nothing
+        applied = items.groupBy(*keys).agg(F.max("last_seen").alias("_applied"))
+        fresh = F.col("_applied").isNull() | (F.col("day") > F.col("_applied"))
+        daily = (
+            daily.join(applied, keys, "left")
+            .withColumn("support", F.when(fresh, F.col("support")).otherwise(F.lit(0)))
+            .drop("_applied")
+        )
         held = items.select(
             *keys,
             "path",
@@ -96,8 +104,8 @@ def apply_batch(
     """Forward update with all days of ``routed`` at once; returns the new (items, notes).
 
     Equal to updating day by day: newest information wins, and ``updated_count`` grows by
-    one for every day on which the content of a note changed. More support for known items
-    is no change, so the same batch twice changes nothing but support. Both results are
+    one for every day on which the content of a note changed. Support grows only by days after the
+    user's newest day in ``items``, so the same batch twice changes nothing. Both results are
     read off one timeline; pass ``materialize`` when both will be written.
     """
     keys = list(keys)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from placelore.functions.dimension import places_of
 from placelore.functions.skew import row_number, top_per_key
-from placelore.functions.text import SEP, ordered_concat, path_level, path_prefix
+from placelore.functions.text import SEP, ordered_concat, path_level, path_parent, path_prefix
 from placelore.operators.retrieval import bm25_scores
 
 
@@ -194,17 +194,22 @@ def persona_consistency(items: DataFrame) -> DataFrame:
 def structural_health(
     notes: DataFrame, merge_log: DataFrame, min_updates: int = 2, max_age: int = 120
 ) -> DataFrame:
-    """Mean depth, nodes per user, stale leaf share and merge rate per ``run_date``.
+    """Mean depth, nodes per user, share of leaves that are stale, and merge rate per ``run_date``.
 
     ``notes``: all versions; ``merge_log``: one row per merged-away note.
     """
     stale = (F.col("updated_count") <= min_updates) & (F.date_diff("run_date", "recently_updated") > max_age)
-    sizes = notes.groupBy("run_date", "idhash").agg(
-        F.count("*").alias("nodes"), F.sum(path_level("path")).alias("depths"), F.count_if(stale).alias("stale")
+    inner = notes.select("run_date", "idhash", path_parent("path").alias("path")).filter("path is not null").distinct()
+    leaves = notes.join(inner.withColumn("_inner", F.lit(True)), ["run_date", "idhash", "path"], "left")
+    leaf = F.col("_inner").isNull()
+    sizes = leaves.groupBy("run_date", "idhash").agg(
+        F.count("*").alias("nodes"), F.sum(path_level("path")).alias("depths"), F.count_if(leaf).alias("leaves"),
+        F.count_if(stale & leaf).alias("stale"),
     )
     per_run = sizes.groupBy("run_date").agg(
         F.sum("nodes").alias("nodes"),
         F.sum("depths").alias("depths"),
+        F.sum("leaves").alias("leaves"),
         F.sum("stale").alias("stale"),
         F.count("*").alias("users"),
     )
@@ -216,7 +221,7 @@ def structural_health(
             "run_date",
             F.round(F.col("depths") / F.col("nodes"), 6).alias("mean_depth"),
             F.round(F.col("nodes") / F.col("users"), 6).alias("nodes_per_user"),
-            F.round(F.col("stale") / F.col("nodes"), 6).alias("stale_ratio"),
+            F.round(F.col("stale") / F.col("leaves"), 6).alias("stale_ratio"),
             F.round(F.col("merges") / F.col("nodes"), 6).alias("merge_rate"),
         )
     )

@@ -26,7 +26,8 @@ def route_items(
 
     Rules in order: demographics to the root; the user's existing path; the taxonomy path;
     an existing sibling whose items cover at least ``overlap`` of the group; a new third
-    level under a known second level for at least ``min_new`` items; the second level; the root.
+    level under a known second level for at least ``min_new`` items; the second level; the root. Items
+    without a path belong to the root.
 
     ``existing`` holds (keys, path, item) of the user's notes. All items of a user with
     one source path form a group with one decision, so decisions are taken on the distinct
@@ -36,7 +37,7 @@ def route_items(
     group = [*keys, "_wanted"]
     at_root = F.col("axis") == "user_info"
     rows = items.withColumn(
-        "_wanted", F.when(at_root, F.lit(ROOT)).otherwise(path_prefix(normalize_path("path"), MAX_LEVEL))
+        "_wanted", F.when(at_root, F.lit(ROOT)).otherwise(F.coalesce(path_prefix(normalize_path("path"), MAX_LEVEL), F.lit(ROOT)))
     ).drop("path")
     wanted = rows.filter(~at_root).select(*group, "item").distinct()
     known = existing.select(*keys, F.col("path").alias("_wanted")).distinct().withColumn("_known", F.lit(True))

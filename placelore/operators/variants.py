@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import date
 
@@ -29,6 +30,7 @@ class Variant:
     budget: int = ctx.DEFAULT_BUDGET
 
 
+# Keys and titles of the presets.
 PRESETS = {
     "no_memory": Variant("No-Memory", "no_memory"),
     "full_context": Variant("Full-Context", "full_context"),
@@ -44,6 +46,21 @@ PRESETS = {
 }
 
 
+#: How a context is made of (items, daily texts, budget): (idhash, context). Callers add their own kinds.
+Constructor = Callable[[DataFrame, DataFrame, int], DataFrame]
+CONSTRUCTORS: dict[str, Constructor] = {
+    "full_context": lambda items, texts, budget: ctx.full_context(texts, budget),
+    "flat_memory": lambda items, texts, budget: ctx.flat_memory(items, budget),
+}
+
+
+def register(name: str, variant: Variant, constructor: Constructor | None = None) -> None:
+    """Adds a preset, and the constructor of its kind when that is new."""
+    PRESETS[name] = variant
+    if constructor is not None:
+        CONSTRUCTORS[variant.kind] = constructor
+
+
 def preset(name: str) -> Variant:
     if name not in PRESETS:
         raise ValueError(f"unknown preset {name!r}, known: {sorted(PRESETS)}")
@@ -56,30 +73,38 @@ def variant_contexts(
 ) -> DataFrame:
     """(variant, idhash, context) of every user and variant; users without memory get an empty context.
 
+    ``budget`` replaces the presets' own budgets.
+
     All note variants share one fold: their rows differ in ``variant``, which is part of the key.
     """
     chosen = {name: preset(name) for name in (names or PRESETS)}
     keys = ["variant", "idhash"]
-    budget = budget or ctx.DEFAULT_BUDGET
     parts: list[DataFrame] = []
     by_notes = {n: v for n, v in chosen.items() if v.kind == "notes"}
     if by_notes:
         rows = axis_filter(items, [(n, v.implicit_only, v.explicit_only) for n, v in by_notes.items()])
-        one_axis = F.col("variant").isin([n for n, v in by_notes.items() if v.merge_axes]) & (F.col("axis") == "implicit")
-        rows = rows.withColumn("axis", F.when(one_axis, "explicit").otherwise(F.col("axis")))
+        # two axes: demographics become stated preferences
+        two_axes = F.col("variant").isin([n for n, v in by_notes.items() if v.merge_axes]) & (F.col("axis") == "user_info")
+        rows = rows.withColumn("axis", F.when(two_axes, "explicit").otherwise(F.col("axis")))
 
         def has(flag: str):
             return F.col("variant").isin([n for n, v in by_notes.items() if getattr(v, flag)])
 
         memory = MemoryOptions(dynamic=has("dynamic"), backward=has("backward"), lift=has("lift"), **(options or {}))
         note_items, notes, _ = build_memory(rows, taxonomy, start, end, keys, memory)
-        parts.append(ctx.note_context(notes, note_items, budget, keys))
+        by_budget: dict[int, list[str]] = {}
+        for name, variant in by_notes.items():
+            by_budget.setdefault(budget or variant.budget, []).append(name)
+        for size, members in by_budget.items():
+            mine = F.col("variant").isin(members)
+            parts.append(ctx.note_context(notes.filter(mine), note_items.filter(mine), size, keys))
     for name, variant in chosen.items():
-        tag = F.lit(name).alias("variant")
-        if variant.kind == "full_context":
-            parts.append(ctx.full_context(texts, budget).select(tag, "idhash", "context"))
-        elif variant.kind == "flat_memory":
-            parts.append(ctx.flat_memory(items, budget).select(tag, "idhash", "context"))
+        made = CONSTRUCTORS.get(variant.kind)
+        if made is not None:
+            context = made(items, texts, budget or variant.budget)
+            parts.append(context.select(F.lit(name).alias("variant"), "idhash", "context"))
+        elif variant.kind not in ("notes", "no_memory"):
+            raise ValueError(f"no constructor for {variant.kind!r}")
     everyone = users.select(F.explode(F.array(*[F.lit(n) for n in chosen])).alias("variant"), "idhash")
     if not parts:
         return everyone.withColumn("context", F.lit(""))

@@ -128,13 +128,6 @@ view("v_rbase", "SELECT * FROM v_rall WHERE path IN (FROM v_taxonomy)")
 state("v_base", "v_rbase")
 
 # lifting, one level at a time
-view("v_up3", f"""
-SELECT *, CASE WHEN {level('path')} = 3 AND count(*) OVER (PARTITION BY idhash, {parent('path')}, item, polarity) >= 2
-          THEN {parent('path')} ELSE path END AS new_path
-FROM v_all_items
-""")
-
-
 def collapsed(source: str) -> str:
     best = f"ORDER BY last_seen DESC, {RANK} DESC, polarity DESC"
     return f"""
@@ -143,28 +136,38 @@ SELECT idhash, new_path AS path, item, first(axis {best}) AS axis, first(polarit
 FROM {source} GROUP BY idhash, new_path, item"""
 
 
-view("v_lift3", collapsed("v_up3"))
-view("v_up2", f"""
-SELECT *, CASE WHEN {level('path')} = 2 AND count(*) OVER (PARTITION BY idhash, {parent('path')}, item, polarity) >= 2
+def lifted(name: str, items: str, notes: str) -> None:
+    """Views ``name``_items and ``name``_notes: traits of two siblings move to the parent, from the third level up."""
+    for source, lv, out in ((items, 3, f"{name}_3"), (f"{name}_3", 2, f"{name}_items")):
+        view(f"{name}_up{lv}", f"""
+SELECT *, CASE WHEN {level('path')} = {lv} AND count(*) OVER (PARTITION BY idhash, {parent('path')}, item, polarity) >= 2
           THEN {parent('path')} ELSE path END AS new_path
-FROM v_lift3
+FROM {source}
 """)
-view("v_lift_items", collapsed("v_up2"))
-view("v_lift_notes", """
-SELECT idhash, path, updated_count, recently_updated FROM v_all_notes
+        view(out, collapsed(f"{name}_up{lv}"))
+    view(f"{name}_notes", f"""
+SELECT idhash, path, updated_count, recently_updated FROM {notes}
 UNION ALL
-SELECT idhash, path, 1, max(last_seen) FROM v_lift_items
-WHERE (idhash, path) NOT IN (SELECT (idhash, path) FROM v_all_notes) GROUP BY idhash, path
+SELECT idhash, path, 1, max(last_seen) FROM {name}_items
+WHERE (idhash, path) NOT IN (SELECT (idhash, path) FROM {notes}) GROUP BY idhash, path
 """)
 
-# pruning
+
 STALE = f"(updated_count <= 2 AND DATE '{LAST_DAY}' - recently_updated > {MAX_AGE})"
-view("v_prune3", f"SELECT * FROM v_all_notes WHERE NOT ({level('path')} = 3 AND {STALE})")
-view("v_prune_notes", f"""
-SELECT * FROM v_prune3 p WHERE NOT ({level('path')} = 2 AND {STALE}
-  AND NOT EXISTS (SELECT 1 FROM v_prune3 c WHERE c.idhash = p.idhash AND {level('c.path')} = 3 AND {parent('c.path')} = p.path))
+
+
+def pruned(name: str, items: str, notes: str) -> None:
+    """Views ``name``_notes and ``name``_items without stale leaves."""
+    view(f"{name}3", f"SELECT * FROM {notes} WHERE NOT ({level('path')} = 3 AND {STALE})")
+    view(f"{name}_notes", f"""
+SELECT * FROM {name}3 p WHERE NOT ({level('path')} = 2 AND {STALE}
+  AND NOT EXISTS (SELECT 1 FROM {name}3 c WHERE c.idhash = p.idhash AND {level('c.path')} = 3 AND {parent('c.path')} = p.path))
 """)
-view("v_prune_items", "SELECT * FROM v_all_items WHERE (idhash, path) IN (SELECT (idhash, path) FROM v_prune_notes)")
+    view(f"{name}_items", f"SELECT * FROM {items} WHERE (idhash, path) IN (SELECT (idhash, path) FROM {name}_notes)")
+
+
+lifted("v_lift", "v_all_items", "v_all_notes")
+pruned("v_prune", "v_all_items", "v_all_notes")
 
 
 # merging siblings
@@ -234,6 +237,9 @@ GROUP BY {', '.join('i.' + k for k in ks)}, coalesce(target, i.path), item
 
 
 merged("v_merge", "v_all_items", "v_all_notes", "idhash")
+# one whole consolidation: merge, lift, prune
+lifted("v_bpl", "v_merge_items", "v_merge_notes")
+pruned("v_bp", "v_bpl_items", "v_bpl_notes")
 
 # formatted notes and budget
 view("v_health_profile", f"""
@@ -392,6 +398,7 @@ FROM v_train_items o FULL JOIN (
 SELECT idhash, items_before, chars_before, items_after, chars_after, items_before - items_after AS saved
 FROM (SELECT idhash, count(*) AS items_before, CAST(sum(length(item)) AS BIGINT) AS chars_before FROM v_all_items GROUP BY idhash)
 JOIN (SELECT idhash, count(*) AS items_after, CAST(sum(length(item)) AS BIGINT) AS chars_after FROM v_lift_items GROUP BY idhash) USING (idhash)""",
+    "backward_pass": with_content("v_bp_notes", "v_bp_items"),
     "prune_stale": with_content("v_prune_notes", "v_prune_items"),
     "hierarchy_nodes": f"""
 WITH nodes AS (SELECT DISTINCT idhash, unnest([{prefix('path', 1)}, {prefix('path', 2)}, {prefix('path', 3)}]) AS path FROM v_all_notes)
@@ -436,9 +443,10 @@ SELECT idhash, datestr, round(shared / CAST(n + n_previous - shared AS DOUBLE),
   FROM v_steps s WHERE previous IS NOT NULL)""",
     "structural_health": " UNION ALL ".join(f"""
 SELECT DATE '{day}' AS run_date, round(avg({level('path')}), 6) AS mean_depth, round(count(*) / CAST(count(DISTINCT idhash) AS DOUBLE), 6) AS nodes_per_user,
-       round(avg(CASE WHEN updated_count <= 2 AND DATE '{day}' - recently_updated > {MAX_AGE} THEN 1.0 ELSE 0.0 END), 6) AS stale_ratio,
+       round(avg(CASE WHEN updated_count <= 2 AND DATE '{day}' - recently_updated > {MAX_AGE} THEN 1.0 ELSE 0.0 END)
+         FILTER (NOT EXISTS (SELECT 1 FROM v_h{i}_notes c WHERE c.idhash = t.idhash AND starts_with(c.path, t.path || ' > '))), 6) AS stale_ratio,
        round((SELECT count(*) FROM v_h{i}m_moves) / CAST(count(*) AS DOUBLE), 6) AS merge_rate
-FROM v_h{i}_notes""" for i, day in enumerate(HEALTH_DATES)),
+FROM v_h{i}_notes t""" for i, day in enumerate(HEALTH_DATES)),
     "bm25": """
 SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM v_nb_scores QUALIFY rank <= 10""",
     "dense_topk": "SELECT query, doc, score, rank FROM v_dense WHERE rank <= 10",

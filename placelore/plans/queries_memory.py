@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,20 +39,31 @@ def base_path_filter(spark, d):
     return routing.base_path_filter(loose, t.taxonomy(spark, d)).select("idhash", "axis", "item", "path", "datestr")
 
 
-def routed_train(spark, d) -> DataFrame:
-    items = profile_items(spark, d).filter(F.col("datestr") <= F.lit(base.W.train_end))
-    return routing.route_items(items, t.taxonomy(spark, d), items.select("idhash", "path", "item").limit(0))
+@dataclass(frozen=True)
+class Inputs:
+    """Tables that several steps of one query read; each is made once."""
 
+    items: DataFrame  # all daily items
+    taxonomy: DataFrame
+    held: DataFrame  # items of the notes of the train window
+    notes: DataFrame
 
-def train_state(spark, d) -> tuple[DataFrame, DataFrame]:
-    items, state = notes.apply_batch(routed_train(spark, d), materialize=cut_lineage)
-    return cut_lineage(items), cut_lineage(state)
+    def routed(self, first, last) -> DataFrame:
+        """Items of the days routed against the notes of the train window."""
+        batch = self.items.filter(day_between(first, last))
+        return cut_lineage(routing.route_items(batch, self.taxonomy, self.held))
+
+
+def inputs(spark, d) -> Inputs:
+    items, taxonomy = profile_items(spark, d), cut_lineage(t.taxonomy(spark, d))
+    train = items.filter(F.col("datestr") <= F.lit(base.W.train_end))
+    routed = routing.route_items(train, taxonomy, train.select("idhash", "path", "item").limit(0))
+    held, state = notes.apply_batch(routed, materialize=cut_lineage)
+    return Inputs(items, taxonomy, cut_lineage(held), cut_lineage(state))
 
 
 def routed_test(spark, d) -> DataFrame:
-    """Items of the test window routed against the notes of the train window."""
-    items = profile_items(spark, d).filter(day_between(*base.TEST))
-    return cut_lineage(routing.route_items(items, t.taxonomy(spark, d), train_state(spark, d)[0]))
+    return inputs(spark, d).routed(*base.TEST)
 
 
 def route_items(spark, d):
@@ -63,9 +76,10 @@ def assign_group(spark, d):
 
 def demo_root_only(spark, d):
     """Assignments that repeat the user's demographics at every node."""
-    groups = routing.assign_group(routed_test(spark, d)).select("idhash", "path")
+    made = inputs(spark, d)
+    groups = routing.assign_group(made.routed(*base.TEST)).select("idhash", "path")
     info = (
-        profile_items(spark, d)
+        made.items
         .filter(F.col("axis") == "user_info")
         .groupBy("idhash")
         .agg(F.array_join(F.sort_array(F.collect_set("item")), ", ").alias("user_info"))
@@ -84,11 +98,9 @@ def path_validate(spark, d):
 
 def update_notes(spark, d):
     """The first test day on top of the notes of the train window."""
-    day = base.W.test_start
-    items, state = train_state(spark, d)
-    batch = profile_items(spark, d).filter(F.col("datestr") == F.lit(day))
-    routed = routing.route_items(batch, t.taxonomy(spark, d), items)
-    new_items, new_notes = notes.apply_batch(routed, items, state)
+    made = inputs(spark, d)
+    routed = made.routed(base.W.test_start, base.W.test_start)
+    new_items, new_notes = notes.apply_batch(routed, made.held, made.notes)
     return notes.with_content(new_notes, new_items)
 
 
@@ -108,7 +120,8 @@ def memory_closed_form(spark, d):
 
 
 def memory_ops(spark, d):
-    return notes.memory_ops(train_state(spark, d)[0], routed_test(spark, d))
+    made = inputs(spark, d)
+    return notes.memory_ops(made.held, made.routed(*base.TEST))
 
 
 def merge_siblings(spark, d):
@@ -201,12 +214,13 @@ def cross_links(spark, d):
 
 
 def surprise_priority(spark, d):
-    return persona.surprise_priority(train_state(spark, d)[0], routed_test(spark, d), t.taxonomy(spark, d))
+    made = inputs(spark, d)
+    return persona.surprise_priority(made.held, made.routed(*base.TEST), made.taxonomy)
 
 
 def rerank(spark, d):
     candidates = t.clicks(spark, d, *map(str, base.TEST)).select("idhash", "sid")
-    return persona.rerank(train_state(spark, d)[0], candidates, t.poi(spark, d))
+    return persona.rerank(inputs(spark, d).held, candidates, t.poi(spark, d))
 
 
 def persona_consistency(spark, d):

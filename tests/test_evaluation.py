@@ -137,7 +137,7 @@ def test_presets():
 
 def test_infer(spark):
     prompts = spark.createDataFrame([(1, "a"), (2, "b")], "idhash bigint, prompt string")
-    out = infer.infer(prompts, lambda batch: batch.str.upper())
+    out = infer.infer(prompts, lambda batch, request: batch.str.upper())
     assert sorted((r.idhash, r.response) for r in out.collect()) == [(1, "A"), (2, "B")]
 
 
