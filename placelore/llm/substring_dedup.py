@@ -9,9 +9,9 @@ several times fewer anchors than windows.
 2. A second pass emits the windows whose anchor is estimated repeated, as one segment per anchor: windows in
    a row that share the anchor. No window that occurs twice is lost; when the sketch fills up, more segments are
    emitted, and the result stays the same.
-3. Segments are grouped exactly. Where all segments of an anchor are equal, all but the first are repeats as a
-   whole; only anchors with different segments (the edges of copied passages) are taken apart into windows, which are
-   grouped by their own hash.
+3. Segments are grouped exactly. Of equal segments all but the first are repeats as a whole. Only where an anchor has
+   different segments (the edges of copied passages) one of each kind is taken apart into windows, which are grouped by
+   their own hash.
 4. The repeated stretches return to their document, whose covered words are removed.
 
 Grouping is by map-side combined aggregates and a join on the key, so a passage that occurs in a third of all
@@ -191,26 +191,29 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, sketch_bits: int =
         F.struct("doc_id", "row", F.col("s.start").alias("start")).alias("at"),
         F.size("s.windows").alias("n"), F.col("s.windows").alias("windows"),
     )
-    groups = segments.groupBy("anchor").agg(
-        F.min("at").alias("first"), F.min("segment").alias("s0"), F.max("segment").alias("s1"), F.count(F.lit(1)).alias("times")
-    )
-    groups = groups.filter("times > 1").select("anchor", "first", (F.col("s0") < F.col("s1")).alias("mixed"))
+    # equal segments: all but the first are repeats as a whole
+    kinds = stored(segments.groupBy("anchor", "segment").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("times")))
+    shared_anchors = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.sum("times").alias("total")).filter("total > 1")
+    groups = kinds.join(shared_anchors, "anchor").select("anchor", "segment", "first", (F.col("kinds") > 1).alias("mixed"))
     useful = stored(
-        segments.join(groups, "anchor")
-        .filter("mixed or at > first")
-        .select("anchor", "at", "n", "mixed", F.when(F.col("mixed"), F.col("windows")).alias("windows"))
+        segments.join(groups, ["anchor", "segment"])
+        .withColumn("whole", F.col("at") > F.col("first"))
+        .filter("whole or mixed")
+        .select("anchor", "at", "n", "whole", F.when(~F.col("whole"), F.col("windows")).alias("windows"))
     )
-    single = useful.filter("mixed").select("anchor", "at", F.posexplode("windows").alias("i", "window")).select(
+    # the first of each kind, where an anchor has several kinds, window by window
+    single = useful.filter("not whole").select("anchor", "at", F.posexplode("windows").alias("i", "window")).select(
         "anchor", "window",
         F.struct("at.doc_id", "at.row", (F.col("at.start") + F.col("i")).alias("start")).alias("at"),
     )
     firsts = single.groupBy("anchor", "window").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("times"))
+    firsts = stored(firsts.filter("times > 1").drop("times"))  # a table of its own, so that a hot window's join can be split
     repeats = (
-        single.join(firsts.filter("times > 1").drop("times"), ["anchor", "window"])
+        single.join(firsts, ["anchor", "window"])
         .filter("at > first")
         .select(F.col("at.row").alias("row"), F.col("at.start").alias("start"), F.lit(1).alias("n"))
     )
-    whole = useful.filter("not mixed").select(F.col("at.row").alias("row"), F.col("at.start").alias("start"), "n")
+    whole = useful.filter("whole").select(F.col("at.row").alias("row"), F.col("at.start").alias("start"), "n")
     stretches = whole.unionByName(repeats).groupBy("row").agg(F.collect_list(F.struct("start", "n")).alias("stretches"))
     return (
         marked.select("doc_id", "row", "n_words", "sha256", "text")
