@@ -151,7 +151,7 @@ def backward_pass(spark, d):
 
 
 def build_memory(spark, d):
-    options = memory.MemoryOptions(max_age=MAX_AGE)
+    options = memory.MemoryOptions(backward_every=BACKWARD_EVERY, max_age=MAX_AGE)
     items, state, _ = memory.build_memory(
         profile_items(spark, d), cut_lineage(t.taxonomy(spark, d)), FIRST_DAY, LAST_DAY, options=options
     )
@@ -277,7 +277,7 @@ def variant_results(spark, d) -> DataFrame:
     texts = ev.daily_text(spark, d).join(users, "idhash", "left_semi").filter(F.col("datestr") <= F.lit(base.W.train_end))
     return variants.run_variants(
         users, cut_lineage(items), texts, cut_lineage(t.taxonomy(spark, d)), ev.truth(spark, d),
-        FIRST_DAY, base.W.train_end, LABELS, LABEL_PATTERN, budget=BUDGET, options={"max_age": MAX_AGE},
+        FIRST_DAY, base.W.train_end, LABELS, LABEL_PATTERN, budget=BUDGET, options={"backward_every": BACKWARD_EVERY, "max_age": MAX_AGE},
     )
 
 

@@ -18,6 +18,7 @@ EVAL_LEVEL = 2  # path segment used as prediction category
 BUDGET = 300
 CHUNK = 10
 PROMPT_ROWS = 3  # small, so that days of the test data are split
+BACKWARD_EVERY = 7  # days; the production cadence. A daily fold is MemoryOptions(backward_every=1)
 PRICES = (15.0, 60.0)  # per million prompt and completion tokens
 BOOTSTRAP_DRAWS = 10_000
 EXPLICIT_TEMPLATE = "examples: {few_shot}\ndemographics: {demographic_prompt}\nreviews:\n{user_prompt}"
