@@ -15,9 +15,9 @@ least ``percent`` / 100. The result is the connected components of all links; no
 5. The boundary is the smallest size at which listing subsets costs more rows than entering and scanning lists,
    by the mean list length that the sketch shows.
 6. Lists are not expanded into all pairs. First every member is compared with one representative per
-   list; then only pairs of different components are compared. A fixed-size bitmap of
-   each set (parity of the shingles per bit) bounds the symmetric difference from below
-   before sets are fetched. Sets that remain are compared exactly.
+   list; then only pairs of different components are compared. Bitmaps of
+   each set (parity of the shingles per bit; a short one in the join, one as long as the set behind it) bound the
+   symmetric difference from below before sets are fetched. Sets that remain are compared exactly.
 """
 
 from __future__ import annotations
@@ -82,6 +82,13 @@ def _bitmap(values: np.ndarray) -> np.ndarray:
     return longs(np.packbits((counts & 1).astype(np.uint8)).view(np.uint64))
 
 
+def _parity(values: np.ndarray) -> np.ndarray:
+    """Parity bitmap of at least as many bits as the set has shingles (a power of two), by the low bits of the shingles."""
+    bits = max(64, 1 << (len(values) - 1).bit_length()) if len(values) else 64
+    counts = np.bincount((values & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return longs(np.packbits((counts & 1).astype(np.uint8)).view(np.uint64))
+
+
 def _nodes(rows: DataFrame, words: int, percent: int) -> DataFrame:
     """Per row: set size, digest, parity bitmap, and the keys under which its set is looked up."""
     text = rows.select("text")
@@ -125,6 +132,8 @@ def _nodes(rows: DataFrame, words: int, percent: int) -> DataFrame:
                 found = [keys(v) if len(v) else (v, np.empty(0, np.int32)) for v in sets]
                 ends = np.cumsum([0, *(len(k) for k, _ in found)]).astype(np.int32)
                 bitmaps = np.concatenate([_bitmap(v) for v in sets])
+                parity = [_parity(v) for v in sets]
+                parity_ends = np.cumsum([0, *map(len, parity)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),
@@ -132,13 +141,14 @@ def _nodes(rows: DataFrame, words: int, percent: int) -> DataFrame:
                         pa.array([len(v) for v in sets], pa.int64()),
                         pa.array([hashlib.blake2b(v.tobytes(), digest_size=16).digest() for v in sets], pa.binary()),
                         pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * BITMAP, pa.array(bitmaps)),
+                        pa.ListArray.from_arrays(parity_ends, pa.array(np.concatenate(parity))),
                         pa.ListArray.from_arrays(ends, pa.array(longs(np.concatenate([k for k, _ in found])))),
                         pa.ListArray.from_arrays(ends, pa.array(np.concatenate([p for _, p in found]))),
                     ],
-                    ["doc_id", "text_key", "n", "digest", "bitmap", "keys", "places"],
+                    ["doc_id", "text_key", "n", "digest", "bitmap", "parity", "keys", "places"],
                 )
 
-    schema = "doc_id long, text_key string, n long, digest binary, bitmap array<long>, keys array<long>, places array<int>"
+    schema = "doc_id long, text_key string, n long, digest binary, bitmap array<long>, parity array<long>, keys array<long>, places array<int>"
     return stored(rows.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()))
 
 
@@ -165,16 +175,35 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
+def _few_differences(differ: Column, percent: int) -> Column:
+    """Whether a symmetric difference of at least ``differ`` leaves a pair of sizes n_a and n_b room to link."""
+    # i >= percent (n_a + n_b) / (100 + percent) and the symmetric difference is n_a + n_b - 2 i
+    return differ * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)
+
+
+def _parity_allows(percent: int) -> Column:
+    """The bound by the long bitmaps; the longer one is folded to the length of the other."""
+    least = F.least(F.size("parity_a"), F.size("parity_b"))
+
+    def folded(name: str) -> Column:
+        halves = F.zip_with(F.slice(name, F.lit(1), least), F.slice(name, least + 1, least), lambda x, y: x.bitwiseXOR(y))
+        return F.when(F.size(name) > least, halves).otherwise(F.col(name))
+
+    differ = F.zip_with(folded("parity_a"), folded("parity_b"), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    return _few_differences(F.aggregate(differ, F.lit(0), lambda s, x: s + x), percent)
+
+
 def _may_link(percent: int) -> Column:
     """Size and bitmap bounds on a pair with columns n_a, n_b, bitmap_a, bitmap_b."""
     differ = sum(
         (F.bit_count(F.col("bitmap_a")[i].bitwiseXOR(F.col("bitmap_b")[i])) for i in range(1, BITMAP)),
         F.bit_count(F.col("bitmap_a")[0].bitwiseXOR(F.col("bitmap_b")[0])),
     )
-    # i >= percent (n_a + n_b) / (100 + percent) and the symmetric difference is n_a + n_b - 2 i
-    return (differ * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)) & (
-        F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
-    )
+    return _few_differences(differ, percent) & _sizes_fit(percent)
+
+
+def _sizes_fit(percent: int) -> Column:
+    return F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
 
 
 def _places_fit(percent: int) -> Column:
@@ -186,13 +215,13 @@ def _places_fit(percent: int) -> Column:
 
 def _links(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
     """Pairs (a, b) that link: bounds first, then sets of the survivors made from their texts and compared."""
-    info = nodes.select("row", "n", "bitmap", "text_key")
+    info = nodes.select("row", "n", "parity", "text_key")
 
     def side(x: str) -> DataFrame:
         return info.select(F.col("row").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in info.columns if c != "row"])
 
     close = stored(
-        pairs.join(side("a"), "a").join(side("b"), "b").filter(_may_link(percent)).drop("bitmap_a", "bitmap_b")
+        pairs.join(side("a"), "a").join(side("b"), "b").filter(_sizes_fit(percent) & _parity_allows(percent)).drop("parity_a", "parity_b")
     )
     wanted = stored(
         close.select(F.col("text_key_a").alias("text_key")).unionByName(close.select(F.col("text_key_b").alias("text_key"))).distinct()
