@@ -62,7 +62,7 @@ SELECT t.doc_id, len(t.w)::BIGINT AS n_words, (len(t.w) - coalesce(kept.n, 0))::
 FROM t LEFT JOIN kept ON kept.doc_id = t.doc_id
 """
 
-SPLIT = r"list_filter(string_split_regex(lower({0}), '[^\p{{L}}\p{{N}}]+'), x -> x <> '')"
+SPLIT = r"list_filter(string_split_regex(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
 NOTICES = ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(license_scan.TEMPLATES))
 LICENSES = f"""
 WITH tw AS (

@@ -25,10 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placelore.llm.common import CACHE_ENTRIES
-
 SPACE, PENALTY, BEST = "▁", 10.0, 3
-_NONE = object()
+WORDS = 1_200_000  # words a worker keeps (about 350 bytes each); results do not depend on it
 _CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -46,8 +44,16 @@ class Pieces:
         self.score = {self.text[i]: model.get_score(i) for i in plain}
         self.id = {self.text[i]: i for i in plain}
         self.longest = max(map(len, self.id))
-        # every beginning of a piece, with the score where it is a piece itself
-        self.starts = {p[:n]: None for p in self.score for n in range(1, len(p))} | self.score
+        # letter by letter: (score of the piece that ends here or None, what may follow)
+        self.tree: dict[str, list] = {}
+        for piece, value in self.score.items():
+            following = self.tree
+            for letter in piece:
+                node = following.setdefault(letter, [None, {}])
+                following = node[1]
+            node[0] = value
+        # neighbours inside some piece; between all others the lattice falls apart
+        self.pairs = {p[i : i + 2] for p in self.id for i in range(len(p) - 1)}
         self.unknown = min(self.score.values()) - PENALTY
         crossing = [p for p in self.id if SPACE in p.lstrip(SPACE)]
         if crossing or len(self.bytes) != 256:
@@ -76,20 +82,23 @@ class Pieces:
 
     def viterbi(self, word: str) -> tuple[tuple[int, ...], float, float]:
         """Cut positions and score of the best segmentation, and the score of the second best (-inf if there is one only)."""
-        n, table = len(word), self.starts.get
+        n, longest, unknown = len(word), self.longest, self.unknown
         best, second, back = [0.0] + [-math.inf] * n, [-math.inf] * (n + 1), [0] * (n + 1)
         for start in range(n):
-            here, runner = best[start], second[start]
-            for end in range(start + 1, n + 1):
-                value = table(word[start:end], _NONE)
-                if value is None or value is _NONE:  # a mere beginning of pieces, or not even that
+            here, runner, end, following = best[start], second[start], start, self.tree
+            for letter in word[start : start + longest]:
+                node = following.get(letter)
+                end += 1
+                if node is None:
                     if end > start + 1:
-                        if value is None:
-                            continue
                         break
-                    stop, value = value is _NONE, self.unknown
+                    value, following = unknown, {}
                 else:
-                    stop = False
+                    value, following = node
+                    if value is None:  # a mere beginning of pieces
+                        if end > start + 1:
+                            continue
+                        value = unknown
                 total = here + value
                 if total > best[end]:
                     other = runner + value
@@ -97,8 +106,6 @@ class Pieces:
                     best[end], back[end] = total, start
                 elif total > second[end]:
                     second[end] = total
-                if stop:
-                    break
         cuts, at = [], len(word)
         while at:
             at = back[at]
@@ -138,21 +145,39 @@ class _Words(dict):
     """Chunk without its leading space mark to (ids of its best segmentation as bytes, their score, loss of the second best)."""
 
     def __init__(self, pieces: Pieces, most: int):
-        self.pieces, self.most, self.others = pieces, most, {}
+        self.pieces, self.most, self.others, self.parts = pieces, most, {}, {}
 
     def __missing__(self, word: str):
-        if len(self) >= CACHE_ENTRIES:
+        if len(self) >= WORDS:
             self.clear()
-        chunk = SPACE + word
-        cuts, best, second = self.pieces.viterbi(chunk)
-        value = self[word] = (array("i", self.pieces.ids(chunk, cuts)).tobytes(), best, second - best)
+        chunk, pairs = SPACE + word, self.pieces.pairs
+        cuts = [] if word.isalpha() else [i for i in range(1, len(chunk)) if chunk[i - 1 : i + 1] not in pairs]
+        if cuts:
+            ids, best, loss = zip(*[self.part(chunk[a:b]) for a, b in zip([0, *cuts], [*cuts, len(chunk)])])
+            value = b"".join(ids), sum(best), max(loss)
+        else:
+            value = self.searched(chunk)
+        self[word] = value
         return value
 
+    def part(self, chunk: str) -> tuple[bytes, float, float]:
+        """Result of a stretch that no piece leaves; words differ in punctuation more often than in these."""
+        value = self.parts.get(chunk)
+        if value is None:
+            if len(self.parts) >= WORDS // 4:
+                self.parts.clear()
+            value = self.parts[chunk] = self.searched(chunk)
+        return value
+
+    def searched(self, chunk: str) -> tuple[bytes, float, float]:
+        cuts, best, second = self.pieces.viterbi(chunk)
+        return array("i", self.pieces.ids(chunk, cuts)).tobytes(), best, second - best
+
     def alternatives(self, word: str) -> list[tuple[float, bytes | None]]:
         """Losses and ids of the best segmentations, the best of all first."""
         found = self.others.get(word)
         if found is None:
-            if len(self.others) >= CACHE_ENTRIES // 10:
+            if len(self.others) >= WORDS // 16:
                 self.others.clear()
             ids, best, _ = self[word]
             chunk = SPACE + word
