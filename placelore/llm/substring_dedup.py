@@ -4,6 +4,8 @@ A window is a run of ``window`` words. Equal windows choose the same anchor insi
 their runs of ``ANCHOR`` words, so an anchor occurs at least as often as any window it stands for, and there are
 several times fewer anchors than windows.
 
+0. A document whose whole text an earlier document has is a repeat from its first to its last window. Such copies are
+   found by the digest of the text and take no part in what follows.
 1. Every task sketches its anchors; the merged sketch overestimates their counts and so those of the windows. It
    is kept as one bit per counter (counted twice or more), whose size does not depend on the input.
 2. A second pass emits the windows whose anchor is estimated repeated, as one segment per anchor: windows in
@@ -29,10 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from placelore.llm import sketch
-from placelore.llm.common import id_and_text, longs, mix, shingles, stored, word_hashes
+from placelore.llm.common import broadcast_if_at_most, id_and_text, longs, mix, shingles, stored, word_hashes
 
 WINDOW, ANCHOR = 20, 8
-BITS, DEPTH = 27, 2  # one bit per counter: 2 x 16 MB
+BITS, DEPTH = 27, 3  # one bit per counter: 3 x 16 MB
+BROADCAST_IDS = 1_000_000  # ids of 8 bytes; beyond that joins are shuffled
 PART = 256  # documents handled at once by a task
 
 
@@ -73,7 +76,7 @@ SEGMENTS = pa.list_(
 )
 
 
-def _segments(text: bytes, words: list[bytes], window: int, bits: list[np.ndarray]) -> tuple | None:
+def _segments(words: list[bytes], window: int, bits: list[np.ndarray]) -> tuple | None:
     """Flat columns of the segments of one text: anchor, segment hash, first window, number of windows, window hashes."""
     hashes = word_hashes(words)
     at, runs = anchors(hashes, window)
@@ -101,12 +104,14 @@ def _mark(window: int, shared):
         for batch in batches:
             for begin in range(0, batch.num_rows, PART):
                 part = batch.slice(begin, PART)
-                counts, digests, kept, sizes, flat = [], [], [], [], []
-                for text in part.column("text").to_pylist():
+                counts, gone, digests, kept, sizes, flat = [], [], [], [], [], []
+                for text, copy in zip(part.column("text").to_pylist(), part.column("copy").to_pylist()):
                     words = text.split()
-                    found = _segments(text, words, window, bits)
+                    copy = copy and len(words) >= window
+                    found = None if copy else _segments(words, window, bits)
                     counts.append(len(words))
-                    digests.append(hashlib.sha256(b" ".join(words)).hexdigest())
+                    gone.append(len(words) if copy else 0)
+                    digests.append(hashlib.sha256(b"" if copy else b" ".join(words)).hexdigest())
                     kept.append(None if found is None else text)
                     sizes.append(0 if found is None else len(found[0]))
                     if found is not None:
@@ -123,11 +128,12 @@ def _mark(window: int, shared):
                     [
                         part.column("doc_id"),
                         pa.array(counts, pa.int64()),
+                        pa.array(gone, pa.int64()),
                         pa.array(digests, pa.string()),
                         pa.array(kept, pa.binary()),
                         pa.ListArray.from_arrays(pa.array(outer), segment),
                     ],
-                    ["doc_id", "n_words", "sha256", "text", "segments"],
+                    ["doc_id", "n_words", "n_removed", "sha256", "text", "segments"],
                 )
 
     return run
@@ -139,13 +145,7 @@ def _remove(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             removed, digests, texts = [], [], []
-            columns = (batch.column(c).to_pylist() for c in ("text", "stretches", "sha256"))
-            for text, stretches, digest in zip(*columns):
-                if not stretches:
-                    removed.append(0)
-                    digests.append(digest)
-                    texts.append(None)
-                    continue
+            for text, stretches in zip(batch.column("text").to_pylist(), batch.column("stretches").to_pylist()):
                 words = text.split()
                 edge = np.zeros(len(words) + 1, np.int64)
                 for s in stretches:
@@ -177,11 +177,16 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, sketch_bits: int =
     table; other columns are not read.
     """
     rows = id_and_text(docs)
-    bits = sketch.build(rows.select("text"), _anchor_keys(window), sketch_bits, DEPTH, lambda c: np.packbits(c > 1))
+    copies = broadcast_if_at_most(_whole_copies(rows), BROADCAST_IDS)
+    fresh = rows.join(copies, rows["doc_id"] == copies["copy_id"], "left_anti")
+    bits = sketch.build(fresh.select("text"), _anchor_keys(window), sketch_bits, DEPTH, lambda c: np.packbits(c > 1))
     shared = rows.sparkSession.sparkContext.broadcast(bits)
-    marked = rows.mapInArrow(
+    flagged = rows.join(copies, rows["doc_id"] == copies["copy_id"], "left").select(
+        "doc_id", "text", F.col("copy_id").isNotNull().alias("copy")
+    )
+    marked = flagged.mapInArrow(
         _mark(window, shared),
-        "doc_id long, n_words long, sha256 string, text binary, "
+        "doc_id long, n_words long, n_removed long, sha256 string, text binary, "
         "segments array<struct<anchor:bigint,segment:bigint,start:int,windows:array<bigint>>>",
     )
     marked = stored(marked.withColumn("row", F.monotonically_increasing_id()))
@@ -214,10 +219,25 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, sketch_bits: int =
         .select(F.col("at.row").alias("row"), F.col("at.start").alias("start"), F.lit(1).alias("n"))
     )
     whole = useful.filter("whole").select(F.col("at.row").alias("row"), F.col("at.start").alias("start"), "n")
-    stretches = whole.unionByName(repeats).groupBy("row").agg(F.collect_list(F.struct("start", "n")).alias("stretches"))
-    return (
-        marked.select("doc_id", "row", "n_words", "sha256", "text")
-        .join(stretches, "row", "left")
-        .select("doc_id", "n_words", "sha256", "text", "stretches")
+    stretches = stored(whole.unionByName(repeats).groupBy("row").agg(F.collect_list(F.struct("start", "n")).alias("stretches")))
+    # only texts that lose something meet their stretches
+    touched = broadcast_if_at_most(stretches.select("row"), BROADCAST_IDS)
+    changed = (
+        marked.select("doc_id", "row", "n_words", "text")
+        .join(touched, "row", "left_semi")
+        .join(stretches, "row")
+        .select("doc_id", "n_words", "text", "stretches")
         .mapInArrow(_remove(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
     )
+    rest = marked.join(touched, "row", "left_anti").select(
+        "doc_id", "n_words", "n_removed", F.col("sha256").alias("kept_sha256"), F.when(F.col("n_removed") > 0, "").alias("kept_text")
+    )
+    return changed.unionByName(rest)
+
+
+def _whole_copies(rows: DataFrame) -> DataFrame:
+    """copy_id of the documents whose text a document of smaller id has; only ids that a single row carries."""
+    digests = stored(rows.filter("doc_id is not null").select("doc_id", F.sha2("text", 256).alias("digest")))
+    once = digests.groupBy("doc_id").agg(F.count(F.lit(1)).alias("times"), F.min("digest").alias("digest")).filter("times = 1")
+    first = digests.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("members")).filter("members > 1")
+    return stored(once.join(first, "digest").filter("doc_id > first").select(F.col("doc_id").alias("copy_id")))
