@@ -43,7 +43,7 @@ from placelore.llm.common import (
     word_hashes,
 )
 
-BITS, DEPTH = 22, 2  # sketch of frequencies: 2 x 4M counters, one byte each after merging
+BITS, DEPTH = 24, 2  # sketch of frequencies: 2 x 16M counters, one byte each after merging
 LARGEST_SMALL = 20  # no boundary beyond this size is considered
 BITMAP = 8  # 64-bit words of the parity bitmap
 FETCHED_KEYS = 200_000  # keys of about 50 bytes that may be broadcast to filter texts
