@@ -36,13 +36,8 @@ _TERM = r"(?<=\s)\p{L}{3,40}(?=[\s,;:!?]|\.\s)"
 _WORD = r"\p{L}{3,40}"
 
 
-def _guard(kind: str, text: Column) -> Column:
-    """A cheap condition without which the pattern cannot match."""
-    if kind == "email":
-        return F.contains(text, F.lit("@"))
-    if kind == "phone":
-        return F.contains(text, F.lit("+"))
-    return text.rlike("[0-9][.]" if kind == "ip" else "[0-9]")
+#: Cheap conditions without which a pattern cannot match.
+GUARDS = {"email": "@", "ip": "[0-9][.]", "card": "[0-9]", "phone": "[+]"}
 
 
 def _valid(kind: Column, value: Column) -> Column:
@@ -57,46 +52,41 @@ def _valid(kind: Column, value: Column) -> Column:
 
 
 def _matches(docs: DataFrame) -> DataFrame:
-    """row, doc_id and per row the matches in order: kind, number, value, code points before it since the last, contexts."""
+    """row, doc_id, kind, and the matches of that kind in order: number, value, code points before it since the last, contexts.
+
+    Each text is looked at once per kind by one small expression whose pattern is a column; one large expression of
+    all kinds makes the compiler of the JVM take more memory than the data.
+    """
+    kinds = F.explode(
+        F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(p).alias("pattern"), F.lit(GUARDS[k]).alias("guard")) for k, p in PATTERNS.items()])
+    )
     whole = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
         F.coalesce("text", F.lit("")).alias("text"),
         F.monotonically_increasing_id().alias("row"),
-    )
-    kinds = list(PATTERNS)
-    # the text is cut once per kind; only where that gives more than one piece the matches are taken out too
-    cut = whole.withColumns({f"p_{k}": F.when(_guard(k, F.col("text")), F.split("text", PATTERNS[k], -1)) for k in kinds})
-    took = cut.withColumns(
-        {
-            f"m_{k}": F.when(F.size(f"p_{k}") > 1, F.regexp_extract_all("text", F.lit(PATTERNS[k]), F.lit(0))).otherwise(
-                F.array().cast("array<string>")
-            )
-            for k in kinds
-        }
-    )
-
-    def described(kind: str) -> Column:
-        pieces = F.col(f"p_{kind}")
-
-        def one(value: Column, i: Column) -> Column:
-            before, after = F.get(pieces, i), F.get(pieces, i + 1)
-            short = F.length(before) <= CONTEXT
-            return F.struct(
-                F.lit(kind).alias("kind"), i.alias("i"), value.alias("value"), F.length(before).alias("gap"),
-                # a space stands for the edge of the text or of the neighbouring match
-                F.concat(F.when(short, " ").otherwise(""), F.right(before, F.lit(CONTEXT))).alias("left"),
-                F.concat(F.left(after, F.lit(CONTEXT)), F.when(F.length(after) <= CONTEXT, " ").otherwise("")).alias("right"),
-            )
-
-        return F.transform(f"m_{kind}", one)
+    ).select("row", "doc_id", "text", kinds.alias("k")).select("row", "doc_id", "text", "k.*")
+    # the text is cut at the matches; only where that gives more than one piece the matches are taken out too
+    cut = whole.withColumn("pieces", F.when(F.regexp("text", F.col("guard")), F.split("text", F.col("pattern"), -1)))
+    found = F.when(F.size("pieces") > 1, F.regexp_extract_all("text", F.col("pattern"), F.lit(0)))
+    took = cut.withColumn("values", F.coalesce(found, F.array().cast("array<string>")))
+
+    def one(value: Column, i: Column) -> Column:
+        before, after = F.get("pieces", i), F.get("pieces", i + 1)
+        short = F.length(before) <= CONTEXT
+        return F.struct(
+            i.alias("i"), value.alias("value"), F.length(before).alias("gap"),
+            # a space stands for the edge of the text or of the neighbouring match
+            F.concat(F.when(short, " ").otherwise(""), F.right(before, F.lit(CONTEXT))).alias("left"),
+            F.concat(F.left(after, F.lit(CONTEXT)), F.when(F.length(after) <= CONTEXT, " ").otherwise("")).alias("right"),
+        )
 
-    return stored(took.select("row", "doc_id", F.concat(*[described(k) for k in kinds]).alias("matches")))
+    return stored(took.select("row", "doc_id", "kind", F.transform("values", one).alias("matches")))
 
 
 def _mentions(matches: DataFrame) -> DataFrame:
     """Valid mentions: row, kind, entity, start, end, left, right. Places come from the lengths of what lies before."""
     so_far = Window.partitionBy("row", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    each = matches.select("row", F.explode("matches").alias("m")).select("row", "m.*")
+    each = matches.select("row", "kind", F.explode("matches").alias("m")).select("row", "kind", "m.*")
     placed = each.withColumn("end", F.sum(F.col("gap") + F.length("value")).over(so_far))
     entity = F.when(F.col("kind").isin("card", "phone"), F.regexp_replace("value", "[^0-9]", "")).otherwise(F.lower("value"))
     return stored(
@@ -184,7 +174,8 @@ def find(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT
     not read.
     """
     matches = _matches(docs)
-    total = matches.count()
+    rows = matches.filter(F.col("kind") == KINDS[0])
+    total = rows.count()
     mentions = _mentions(matches)
     context = stored(_context_terms(mentions))
     telling = disclosing_terms(docs.select("text"), mentions, context, max(total, 1), disclosure, support)
@@ -202,7 +193,7 @@ def find(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT
         .agg(F.sort_array(F.collect_set(F.struct(number.alias("kind_no"), "start", "end", "kind", "replacement"))).alias("spans"))
     )
     empty = F.array().cast("array<struct<kind_no:int,start:bigint,end:bigint,kind:string,replacement:string>>")
-    return matches.select("row", "doc_id").join(spans, "row", "left").select("doc_id", F.coalesce("spans", empty).alias("spans"))
+    return rows.select("row", "doc_id").join(spans, "row", "left").select("doc_id", F.coalesce("spans", empty).alias("spans"))
 
 
 def written(spans: Column) -> Column:
