@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -40,6 +42,16 @@ def broadcast_if_at_most(narrow: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(narrow) if narrow.limit(rows + 1).count() <= rows else narrow
 
 
+_HELD: dict[str, Callable[[], None]] = {}
+
+
+def claim(owner: str, clear: Callable[[], None]) -> None:
+    """Called by an operator inside a task: the worker drops the caches of other operators, so these never add up."""
+    for other in [o for o in _HELD if o != owner]:
+        _HELD.pop(other)()
+    _HELD[owner] = clear
+
+
 class WordHashes(dict):
     """Word (bytes) to 64-bit hash, computed once per word and worker."""
 
@@ -54,6 +66,8 @@ _WORDS = WordHashes()
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
+    if "hashes" not in _HELD or len(_HELD) > 1:
+        claim("hashes", _WORDS.clear)
     return np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
 
 

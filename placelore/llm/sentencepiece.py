@@ -25,8 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from placelore.llm.common import claim
+
 SPACE, PENALTY, BEST = "▁", 10.0, 3
-WORDS = 1_200_000  # words a worker keeps (about 350 bytes each); results do not depend on it
+WORDS = 400_000  # words a worker keeps (about 350 bytes each); results do not depend on it
 _CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -227,6 +229,7 @@ _TOOLS: dict[tuple, tuple[Pieces, _Words]] = {}
 
 
 def _tools(path: str, most: int) -> tuple[Pieces, _Words]:
+    claim("sentencepiece", _TOOLS.clear)
     if (path, most) not in _TOOLS:
         pieces = Pieces(path)
         _TOOLS[path, most] = pieces, _Words(pieces, most)

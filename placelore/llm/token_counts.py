@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placelore.llm.common import CACHE_ENTRIES
+from placelore.llm.common import CACHE_ENTRIES, claim
 
 
 def _byte_symbols() -> list[str]:
@@ -145,6 +145,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048) -> DataFram
     schema = kept.withColumn("n_tokens", F.lit(0).cast("bigint")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("token_counts", _TOKENIZERS.clear)
         tool = _TOKENIZERS.get(tokenizer)
         if tool is None:
             tool = _TOKENIZERS[tokenizer] = Tokenizer(tokenizer)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placelore.llm.common import CACHE_ENTRIES, distinct, held_out, stored
+from placelore.llm.common import CACHE_ENTRIES, claim, distinct, held_out, stored
 
 ORDER, SPAN, DECAY, FLOOR = 3, 6, 0.6, 0.2
 LANDMARKS = 64
@@ -178,6 +178,7 @@ _CACHE: dict[tuple, _Vectors] = {}
 def _sentences(texts: list[str], landmarks: list[str]) -> list[np.ndarray]:
     """Per text the kernel vectors of the sentences that are like any landmark, (sentences, landmarks)."""
     key = tuple(landmarks)
+    claim("toxicity", _CACHE.clear)
     if key not in _CACHE:
         _CACHE.clear()
         _CACHE[key] = _Vectors(landmarks)
