@@ -7,8 +7,6 @@ from placelore.plans import registry
 
 FOLDER = "/root/testdata/sf0.001"
 SQL = registry.oracle_sql()
-# these fold many periods; their steps are compared one by one and in test_memory.py
-SLOW = {"structural_health"}
 
 
 @pytest.fixture(scope="module")
@@ -16,7 +14,7 @@ def con():
     return duck(FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(set(SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_same_rows_as_sql(spark, con, name):
     problem = compare(registry.queries()[name](spark, FOLDER), con, SQL[name])
     assert problem is None, problem
