@@ -239,5 +239,6 @@ def _whole_copies(rows: DataFrame) -> DataFrame:
     """copy_id of the documents whose text a document of smaller id has; only ids that a single row carries."""
     digests = stored(rows.filter("doc_id is not null").select("doc_id", F.sha2("text", 256).alias("digest")))
     once = digests.groupBy("doc_id").agg(F.count(F.lit(1)).alias("times"), F.min("digest").alias("digest")).filter("times = 1")
-    first = digests.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("members")).filter("members > 1")
+    first = digests.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("members"))
+    first = stored(first.filter("members > 1").drop("members"))  # a table of its own, so that a hot digest's join can be split
     return stored(once.join(first, "digest").filter("doc_id > first").select(F.col("doc_id").alias("copy_id")))
