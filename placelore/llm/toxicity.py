@@ -33,6 +33,7 @@ LANDMARKS = 64
 MAX_LABELLED = 4000  # labelled documents of each class the model is fitted on
 SENTENCES = 3  # sentences of a training document sent to the driver
 BLOCK = 512  # texts looked at together
+GRAMS_HELD = 100_000  # letter runs a task counts before it sends them on
 PIECE = 24  # longer words are looked at in overlapping pieces of this length
 _LETTERS = re.compile(r"[\W_]+")
 _SINGLE = re.compile(r"(?<!\S)\w(?:\s+\w){2,}(?!\S)")
@@ -213,7 +214,19 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
+def _counted(counts: Counter, label: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict(
+        {
+            "gram": pa.array(list(counts), pa.string()),
+            "label": pa.array([label] * len(counts), pa.int32()),
+            "n": pa.array(list(counts.values()), pa.int64()),
+        }
+    )
+
+
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Document frequencies of letter runs, in parts of bounded size that Spark adds up."""
+    claim("toxicity", _CACHE.clear)
     counts = (Counter(), Counter())
     for batch in batches:
         for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
@@ -222,17 +235,11 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for n in (4, 5, 6, 7):
                     found.update(word[i : i + n] for i in range(len(word) - n + 1))
             counts[label].update(found)
+            if len(counts[label]) > GRAMS_HELD:
+                yield _counted(counts[label], label)
+                counts[label].clear()
     for label in (0, 1):
-        items = list(counts[label].items())
-        for at in range(0, len(items), 50_000):
-            part = items[at : at + 50_000]
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "gram": pa.array([g for g, _ in part], pa.string()),
-                    "label": pa.array([label] * len(part), pa.int32()),
-                    "n": pa.array([n for _, n in part], pa.int64()),
-                }
-            )
+        yield _counted(counts[label], label)
 
 
 def _pick(ranked: list[str], most: int) -> list[str]:
