@@ -1,9 +1,10 @@
 """Licences of files: TF-IDF cosine of their lines to templates, then inheritance from directories. DataFrame functions only.
 
-* Terms are lower-cased letter-and-digit words. Document frequencies of the templates' words are counted over all texts;
-  words of more than ``COMMON`` of the documents weigh nothing, words outside the templates weigh as the rarest.
-* Every line of every text is a candidate header. Only lines with a weighted word are compared, so ordinary prose is passed
-  over inside the scan. Templates are a small table given by the caller; its size is checked.
+* Terms are lower-cased letter-and-digit words. Document frequencies of the templates' words are counted over all texts; every
+  template word has the smoothed weight ln((N + 1) / (df + 1)) + 1, words outside the templates weigh as the heaviest of them.
+  Products and norms use the same weights, so a verbatim notice has cosine 1 whatever else the corpus holds.
+* Every line of every text is a candidate header. Lines whose template words cannot reach the threshold, by a bound of the
+  cosine, are passed over inside the scan. Templates are a small table given by the caller; its size is checked.
 * A file whose matched line covers at least ``FILE_SHARE`` of its words, or whose name says so, is a licence file and
   speaks for its directory. Files without a licence of their own take that of the nearest directory above
   them. The distinct directories, far fewer than the files, are joined with their ancestors first.
@@ -18,7 +19,8 @@ from pyspark.sql import functions as F
 
 from placelore.llm.common import stored
 
-COSINE, COMMON, FILE_SHARE = 0.6, 0.05, 0.5
+COSINE, FILE_SHARE = 0.6, 0.5
+COMMON = 0.05  # of the SQL only, which still drops words of more documents; no word is dropped here
 MAX_TEMPLATE_WORDS = 20_000
 FILE_NAME = r"(?i)^(licen[cs]e|copying|notice)([._-].*)?$"
 
@@ -48,7 +50,7 @@ def _words(text: Column) -> Column:
 
 
 def _weights(files: DataFrame, notices: DataFrame) -> dict[str, float]:
-    """Weight of each template word by its document frequency over all texts; common words are left out."""
+    """Positive weight of each template word by its document frequency over all texts."""
     vocabulary = sorted({w for r in notices.select(F.explode(_words(F.col("text")))).collect() for w in r})
     if len(vocabulary) > MAX_TEMPLATE_WORDS:
         raise ValueError("too many template words")
@@ -58,8 +60,7 @@ def _weights(files: DataFrame, notices: DataFrame) -> dict[str, float]:
     counts = files.select(F.explode(F.array_intersect(_words(F.col("text")), known)).alias("w")).groupBy("w").count().collect()
     total = files.count()
     found = {r["w"]: r["count"] for r in counts}
-    idf = {w: math.log((total + 1) / (found.get(w, 0) + 1)) for w in vocabulary}
-    return {w: v for w, v in idf.items() if v > 0 and found.get(w, 0) <= max(COMMON * total, 1)}
+    return {w: math.log((total + 1) / (found.get(w, 0) + 1)) + 1 for w in vocabulary}
 
 
 def own_licenses(files: DataFrame, notices: DataFrame, cosine: float = COSINE) -> DataFrame:
@@ -95,41 +96,67 @@ def own_licenses(files: DataFrame, notices: DataFrame, cosine: float = COSINE) -
         ]
     )
 
+    def weighed(known: Column, words: Column) -> Column:
+        """The template words of a line with their weights times their numbers."""
+        times = F.filter(words, lambda y: F.array_contains(known, y))
+        return F.transform(
+            known, lambda t: F.struct(t.alias("t"), (F.size(F.filter(times, lambda y: y == t)) * F.try_element_at(weigh, t)).alias("x"))
+        )
+
+    def square(parts: Column) -> Column:
+        return F.aggregate(parts, F.lit(0.0), lambda s, k: s + k["x"] * k["x"])
+
+    def others(x: Column) -> Column:
+        return F.filter(x["w"], lambda y: ~F.array_contains(x["known"], y))
+
+    def reaches(x: Column) -> Column:
+        """No line at or above the threshold fails: its other words have the least length when all are equally frequent."""
+        least = F.pow(F.size(others(x)) * F.lit(top), F.lit(2.0)) / F.greatest(F.size(F.array_distinct(others(x))), F.lit(1))
+        return square(x["k"]) * F.lit(1 - cosine * cosine + 1e-9) >= F.lit(cosine * cosine * (1 - 1e-9)) * least
+
+    def rest(words: Column) -> Column:
+        """Sum of the squared numbers of the words, from one pass over them in order: a run of n adds 1 + 3 + ... + (2n - 1)."""
+        start = F.struct(F.lit("").alias("word"), F.lit(0.0).alias("odd"), F.lit(0.0).alias("sum"))
+
+        def step(s: Column, w: Column) -> Column:
+            odd = F.when(s["word"] == w, s["odd"] + 2.0).otherwise(F.lit(1.0))
+            return F.struct(w.alias("word"), odd.alias("odd"), (s["sum"] + odd).alias("sum"))
+
+        return F.aggregate(F.array_sort(words), start, step, lambda s: s["sum"])
+
+    def product(k: Column, v: Column) -> Column:
+        return F.aggregate(k, F.lit(0.0), lambda s, y: s + y["x"] * F.coalesce(F.try_element_at(v, y["t"]), F.lit(0.0)))
+
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("line"), _words(x).alias("w")))
-    telling = F.filter(lines, lambda x: F.arrays_overlap(x["w"], names))
-    # lines without a weighted word never leave this scan; the words of a text are counted only where one is found
-    total = F.greatest(F.size(_words(F.col("text"))), F.lit(1))
-    candidates = (
-        files.select("path", "text", telling.alias("x"))
-        .filter(F.size("x") > 0)
-        .select("path", total.alias("total"), F.explode("x").alias("x"))
-        .select("path", "total", "x.line", "x.w")
-        .select("path", "total", "line", "w", F.array_distinct("w").alias("terms"))
+    known = F.transform(
+        F.filter(lines, lambda x: F.arrays_overlap(x["w"], names)),
+        lambda x: F.struct(x["line"].alias("line"), x["w"].alias("w"), F.array_intersect(x["w"], names).alias("known")),
+    )
+    telling = F.filter(
+        F.transform(
+            known, lambda x: F.struct(x["line"].alias("line"), x["w"].alias("w"), x["known"].alias("known"), weighed(x["known"], x["w"]).alias("k"))
+        ),
+        reaches,
     )
+    # texts whose lines stay below the threshold never leave this scan; the words of a text are counted only where one is found
+    total = F.greatest(F.size(_words(F.col("text"))), F.lit(1))
+    candidates = files.select("path", "text", telling.alias("x")).filter(F.size("x") > 0).select("path", total.alias("total"), "x")
 
-    def square(term: Column) -> Column:
-        times = F.size(F.filter("w", lambda y: y == term))
-        value = times * F.coalesce(F.try_element_at(weigh, term), F.lit(top))
-        return value * value
-
-    def product(v: Column) -> Column:
-        return F.aggregate(
-            F.filter("terms", lambda t: F.map_contains_key(weigh, t)),
-            F.lit(0.0),
-            lambda s, t: s
-            + F.size(F.filter("w", lambda y: y == t)) * F.try_element_at(weigh, t) * F.coalesce(F.try_element_at(v, t), F.lit(0.0)),
+    def nearest(x: Column) -> Column:
+        norm = F.sqrt(square(x["k"]) + F.lit(top * top) * rest(others(x)))
+        each = F.transform(
+            table, lambda t: F.struct((-F.round(product(x["k"], t["v"]) / norm, 9)).alias("c"), t["license"].alias("license"))
+        )
+        near = F.array_min(each)
+        return F.struct(
+            near["c"].alias("c"), x["line"].alias("line"), near["license"].alias("license"), (F.size(x["w"]) / F.col("total")).alias("share")
         )
 
-    norm = F.sqrt(F.aggregate("terms", F.lit(0.0), lambda s, t: s + square(t)))
-    each = F.transform(table, lambda t: F.struct(t["license"].alias("license"), product(t["v"]).alias("p")))
-    scored = candidates.withColumn("norm", norm).select(
-        "path", "line", (F.size("w") / F.col("total")).alias("share"), "norm", F.explode(each).alias("t")
-    )
     best = (
-        scored.select("path", "line", "share", F.col("t.license").alias("license"), F.round(F.col("t.p") / F.col("norm"), 9).alias("cosine"))
-        .filter(F.col("cosine") >= cosine)
+        candidates.select("path", F.array_min(F.transform("x", nearest)).alias("b"))
+        .filter(F.col("b.c") <= -cosine)
         .groupBy("path")
-        .agg(F.min(F.struct((-F.col("cosine")).alias("c"), "line", "license", "share")).alias("b"))
+        .agg(F.min("b").alias("b"))
         .select("path", F.col("b.license").alias("license"), (-F.col("b.c")).alias("cosine"), "b.line", "b.share")
     )
     return files.drop("text", *none).join(stored(best), "path", "left")

@@ -251,6 +251,19 @@ def test_licences_are_inherited_from_the_nearest_directory(spark):
     assert license_scan.scan(table.filter("false"), license_scan.templates(spark)).count() == 0
 
 
+def own_line(spark, texts):
+    files = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "path string, text string")
+    return {int(r["path"]): (r["license"], r["cosine"]) for r in license_scan.own_licenses(files, license_scan.templates(spark)).collect()}
+
+
+def test_verbatim_notices_have_cosine_one_whatever_is_common(spark):
+    notices = [t for _, t in license_scan.TEMPLATES]
+    # 'mit' stands in most texts; one notice stands in a third of them
+    found = own_line(spark, notices + ["wir gehen mit dem hund the of"] * 60 + [f"x\n{notices[3]}\nmit der und"] * 36)
+    assert all(found[i] == (name, pytest.approx(1)) for i, (name, _) in enumerate(license_scan.TEMPLATES))
+    assert all(found[i] == (None, None) for i in range(12, 72)) and all(found[i] == ("GPL-3.0", pytest.approx(1)) for i in range(72, 108))
+
+
 # personal data
 
 PYTHON = {
