@@ -1,7 +1,7 @@
 """Quality by a vote of nearest labelled neighbours in a latent semantic space.
 
-1. Terms of a text are its hashed byte trigrams (square root of the frequency, times idf) and soft bins of
-   surface shares: repeated words, distinct words, capitals, symbols, digits, word and line lengths.
+1. Terms of a text are its hashed byte trigrams (square root of the frequency, times idf over all documents) and soft bins
+   of surface shares over the whole text: repeated words, distinct words, capitals, symbols, digits, word and line lengths.
 2. The latent space is the span of the leading right singular vectors of the labelled documents' term matrix.
 3. The labelled vectors, at most 2 x ``MAX_LABELLED``, are broadcast. Every document is compared with all of them,
    block by block, by exact cosine products; its ``NEIGHBOURS`` nearest vote with their similarity as weight.
@@ -11,6 +11,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -49,10 +50,16 @@ def _shares(text: bytes, kinds: np.ndarray) -> list[float]:
         1 - len(set(lines)) / max(1, len(lines)),
         min(1.0, np.log1p(size / max(1, len(lines))) / 10),
         min(1.0, np.log1p(len(words)) / 12),
-        max(map(words.count, set(words[:: max(1, n // 8)])), default=0) / n,
+        max(Counter(words).values(), default=0) / n,
     ]
 
 
+def _hashed(wide: np.ndarray) -> np.ndarray:
+    """Buckets of the trigrams of some bytes."""
+    mixed = wide[:-2] * np.uint32(0x9E3779B1) + wide[1:-1] * np.uint32(0x85EBCA77) + wide[2:] * np.uint32(0xC2B2AE3D)
+    return mixed >> np.uint32(22)
+
+
 def terms(texts: list[bytes]) -> np.ndarray:
     """Term rows of some texts: trigram frequencies (square roots, unit length), then soft bins of the shares."""
     counts = np.zeros((len(texts), BUCKETS), np.int64)
@@ -62,8 +69,7 @@ def terms(texts: list[bytes]) -> np.ndarray:
         for at in range(0, len(data), PIECE):  # bounded memory for texts of any length
             wide = data[at : at + PIECE + 2].astype(np.uint32)
             kinds[i] += np.bincount(_KIND[data[at : at + PIECE]], minlength=5)
-            hashed = wide[:-2] * np.uint32(0x9E3779B1) + wide[1:-1] * np.uint32(0x85EBCA77) + wide[2:] * np.uint32(0xC2B2AE3D)
-            counts[i] += np.bincount(hashed >> np.uint32(22), minlength=BUCKETS)
+            counts[i] += np.bincount(_hashed(wide), minlength=BUCKETS)
     grams = np.sqrt(counts.astype(np.float32))
     grams /= np.maximum(np.linalg.norm(grams, axis=1, keepdims=True), 1e-6)
     shares = np.array([_shares(t, k) for t, k in zip(texts, kinds)])
@@ -112,6 +118,31 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The number of documents and of those with each bucket, one row a task."""
+    found, n = np.zeros(BUCKETS, np.int64), 0
+    for batch in batches:
+        for text in batch.column(0):
+            data = np.frombuffer(text.as_py(), np.uint8)
+            seen = np.zeros(BUCKETS, bool)
+            for at in range(0, len(data), PIECE):
+                seen[_hashed(data[at : at + PIECE + 2].astype(np.uint32))] = True
+            found += seen
+            n += 1
+    yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([found.tolist()], pa.list_(pa.int64()))], ["n", "found"])
+
+
+def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
+    """The number of documents and how many of them hold each bucket of trigrams, over all rows."""
+    texts = docs.select(F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    counts = texts.mapInArrow(_present, "n long, found array<long>").select("n", F.posexplode("found").alias("at", "v"))
+    rows = counts.groupBy("at").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()  # BUCKETS rows
+    present = np.zeros(BUCKETS, np.int64)
+    for r in rows:
+        present[r["at"]] = r["v"]
+    return (rows[0]["n"] if rows else 0), present
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
     """Learns from at most ``max_labelled`` documents of each class whose crc32 of the id does not leave 2 modulo 4.
 
@@ -127,8 +158,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     if not len(y) or y.min() == y.max():
         return Model(np.zeros((0, 0)), np.zeros((0, 0)), y, 1.0, THRESHOLD, prior)
     x = np.stack([np.frombuffer(r["row"], np.float32) for r in found])
-    idf = np.log((len(x) + 1) / ((x > 0).sum(0) + 1)).astype(np.float32) + 1
-    idf[BUCKETS:] = 1
+    total, present = document_frequencies(docs)
+    idf = np.ones(x.shape[1], np.float32)
+    idf[:BUCKETS] += np.log((total + 1) / (present + 1)).astype(np.float32)
     values, vectors = np.linalg.eigh((x * idf).T @ (x * idf))
     projection = idf[:, None] * vectors[:, ::-1][:, :LATENT].astype(np.float32)
     z = x @ projection

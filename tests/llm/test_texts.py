@@ -227,6 +227,16 @@ def test_quality_on_held_out_rows(spark):
     assert {r["predicted"] for r in quality.quality(docs, labels.filter("false")).collect()} == {0}
 
 
+def test_quality_counts_whole_texts_and_all_documents(spark):
+    text = b" ".join(w for i in range(34) for w in (b"x%d" % i, b"same"))
+    for t in (text, b"front " + text):
+        shares = quality._shares(t, quality.np.zeros(5, int))
+        assert shares[-1] == t.split().count(b"same") / len(t.split())
+    # unlabelled documents count too
+    total, present = quality.document_frequencies(frame(spark, [(i, "abc") for i in range(5)] + [(9, "xyz"), (10, None)]))
+    assert total == 7 and sorted(present[present > 0]) == [1, 5]
+
+
 # licences
 
 def test_licences_are_inherited_from_the_nearest_directory(spark):
