@@ -2,14 +2,18 @@
 
 Base: patterns of four kinds find the protected entities in every whole text.
 
-Information-theoretic part: the corpus shows how strongly a term near an entity reveals it. With documents as
-events, IC(e) = ln(N / n_e) is the information of entity e and PMI(e, t) = ln(N n_et / (n_e n_t)) what term t discloses
-of it, where n_et counts documents with t within ``CONTEXT`` code points of e. The disclosed share PMI / IC is
-1 when t occurs only with e. A term whose share reaches ``DISCLOSURE``, seen with e in ``SUPPORT`` documents or more,
-is generalised to its first letters when that wider class stays below the threshold, and else removed.
-
-Co-occurrence is counted in windows around mentions, so its size is linear in the mentions; counts are aggregated on
-the map side before they are shuffled. Document frequencies cover the whole corpus.
+Information-theoretic part: the corpus shows how strongly a term reveals an entity. With documents as events,
+IC(e) = ln(N / n_e) is the information of entity e and PMI(e, t) = ln(N n_et / (n_e n_t)) what term t discloses
+of it, where n_et counts documents that hold both anywhere in the text. The disclosed share PMI / IC is 1 when t occurs
+only with e. An entity of fewer than ``SUPPORT`` documents is judged by its class (an e-mail's domain, the first three
+parts of an address, the first six digits of a card or phone number), counted over all members of the class. A term whose share reaches
+``DISCLOSURE`` for an entity or class, seen with it in ``SUPPORT`` documents or more, is generalised to its first letters
+when that wider class of terms stays below the threshold, and else removed, wherever it stands in a document that mentions
+the entity.
+
+A document's distinct terms meet its distinct entities, so the work grows with the documents that hold personal data, not
+with the corpus squared; counts are aggregated on the map side before they are shuffled. Document frequencies cover the
+whole corpus.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from pyspark.sql import functions as F
 from placelore.llm.common import stored
 
 KINDS = ("email", "ip", "card", "phone", "term")
-DISCLOSURE, SUPPORT, CONTEXT, PREFIX = 0.7, 3, 64, 3
+DISCLOSURE, SUPPORT, PREFIX = 0.7, 3, 3
 
 _LOCAL = "[A-Za-z0-9._%+-]"
 #: The kinds' patterns, written so that every run of characters is tried once (possessive, and only from its start).
@@ -51,8 +55,19 @@ def _valid(kind: Column, value: Column) -> Column:
     )
 
 
-def _matches(docs: DataFrame) -> DataFrame:
-    """row, doc_id, kind, and the matches of that kind in order: number, value, code points before it since the last, contexts.
+def _numbered(docs: DataFrame) -> DataFrame:
+    """row, doc_id, text; written once, since numbers of rows may differ from one evaluation to the next."""
+    return stored(
+        docs.select(
+            F.col("doc_id").cast("bigint").alias("doc_id"),
+            F.coalesce("text", F.lit("")).alias("text"),
+            F.monotonically_increasing_id().alias("row"),
+        )
+    )
+
+
+def _matches(numbered: DataFrame) -> DataFrame:
+    """row, doc_id, kind, and the matches of that kind in order: number, value, code points before it since the last.
 
     Each text is looked at once per kind by one small expression whose pattern is a column; one large expression of
     all kinds makes the compiler of the JVM take more memory than the data.
@@ -60,31 +75,20 @@ def _matches(docs: DataFrame) -> DataFrame:
     kinds = F.explode(
         F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(p).alias("pattern"), F.lit(GUARDS[k]).alias("guard")) for k, p in PATTERNS.items()])
     )
-    whole = docs.select(
-        F.col("doc_id").cast("bigint").alias("doc_id"),
-        F.coalesce("text", F.lit("")).alias("text"),
-        F.monotonically_increasing_id().alias("row"),
-    ).select("row", "doc_id", "text", kinds.alias("k")).select("row", "doc_id", "text", "k.*")
+    whole = numbered.select("row", "doc_id", "text", kinds.alias("k")).select("row", "doc_id", "text", "k.*")
     # the text is cut at the matches; only where that gives more than one piece the matches are taken out too
     cut = whole.withColumn("pieces", F.when(F.regexp("text", F.col("guard")), F.split("text", F.col("pattern"), -1)))
     found = F.when(F.size("pieces") > 1, F.regexp_extract_all("text", F.col("pattern"), F.lit(0)))
     took = cut.withColumn("values", F.coalesce(found, F.array().cast("array<string>")))
 
     def one(value: Column, i: Column) -> Column:
-        before, after = F.get("pieces", i), F.get("pieces", i + 1)
-        short = F.length(before) <= CONTEXT
-        return F.struct(
-            i.alias("i"), value.alias("value"), F.length(before).alias("gap"),
-            # a space stands for the edge of the text or of the neighbouring match
-            F.concat(F.when(short, " ").otherwise(""), F.right(before, F.lit(CONTEXT))).alias("left"),
-            F.concat(F.left(after, F.lit(CONTEXT)), F.when(F.length(after) <= CONTEXT, " ").otherwise("")).alias("right"),
-        )
+        return F.struct(i.alias("i"), value.alias("value"), F.length(F.get("pieces", i)).alias("gap"))
 
     return stored(took.select("row", "doc_id", "kind", F.transform("values", one).alias("matches")))
 
 
 def _mentions(matches: DataFrame) -> DataFrame:
-    """Valid mentions: row, kind, entity, start, end, left, right. Places come from the lengths of what lies before."""
+    """Valid mentions: row, kind, entity, start, end. Places come from the lengths of what lies before."""
     so_far = Window.partitionBy("row", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     each = matches.select("row", "kind", F.explode("matches").alias("m")).select("row", "kind", "m.*")
     placed = each.withColumn("end", F.sum(F.col("gap") + F.length("value")).over(so_far))
@@ -92,33 +96,44 @@ def _mentions(matches: DataFrame) -> DataFrame:
     return stored(
         placed.filter(_valid(F.col("kind"), F.col("value"))).select(
             "row", "kind", F.concat("kind", F.lit(":"), entity).alias("entity"),
-            (F.col("end") - F.length("value")).alias("start"), "end", "left", "right",
+            (F.col("end") - F.length("value")).alias("start"), "end",
         )
     )
 
 
-def _context_terms(mentions: DataFrame) -> DataFrame:
-    """row, entity, term, start, end of the terms near each mention."""
-    side = F.explode(
-        F.array(
-            F.struct(F.col("left").alias("s"), (F.col("start") - F.length("left")).alias("base")),
-            F.struct(F.col("right").alias("s"), F.col("end").alias("base")),
-        )
+def _entities(mentions: DataFrame, support: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct row, entity: those to count (entities of enough documents and all classes), and those that judge each row."""
+    value = F.substring_index("entity", ":", -1)
+    wide = (
+        F.when(F.col("kind") == "email", F.concat(F.lit("domain:"), F.substring_index(value, "@", -1)))
+        .when(F.col("kind") == "ip", F.concat(F.lit("net:"), F.substring_index(value, ".", 3)))
+        .otherwise(F.concat("kind", F.lit("-prefix:"), F.substring(value, 1, 6)))
     )
-    around = mentions.select("row", "entity", side.alias("c")).select("row", "entity", "c.*")
-    found = around.select(
-        "row", "entity", "base", F.regexp_extract_all("s", F.lit(_TERM), F.lit(0)).alias("terms"), F.split("s", _TERM, -1).alias("gaps")
+    each = mentions.select("row", "entity", wide.alias("class")).distinct()
+    enough = each.groupBy("entity").agg((F.count(F.lit(1)) >= support).alias("enough"))
+    known = stored(each.join(enough, "entity"))
+    classes = known.select("row", F.col("class").alias("entity"))
+    own = known.filter("enough").select("row", "entity")
+    return own.union(classes).distinct(), own.union(known.filter("not enough").select("row", F.col("class").alias("entity"))).distinct()
+
+
+def _terms_of(numbered: DataFrame, mentions: DataFrame) -> DataFrame:
+    """row, term, start, end of every term, anywhere in the text, of the documents that mention an entity."""
+    # a space stands for either edge of the text
+    texts = numbered.join(mentions.select("row").distinct(), "row", "left_semi").select("row", F.concat(F.lit(" "), "text", F.lit(" ")).alias("s"))
+    found = texts.select(
+        "row", F.regexp_extract_all("s", F.lit(_TERM), F.lit(0)).alias("terms"), F.split("s", _TERM, -1).alias("gaps")
     ).filter(F.size("terms") > 0)
-
-    def length(values: Column) -> Column:
-        return F.aggregate(values, F.lit(0), lambda n, x: n + F.length(x))
-
-    def placed(term: Column, i: Column) -> Column:
-        before = length(F.slice("gaps", F.lit(1), i + 1)) + length(F.slice("terms", F.lit(1), i))
-        start = F.col("base") + before
-        return F.struct(F.lower(term).alias("term"), start.alias("start"), (start + F.length(term)).alias("end"))
-
-    return found.select("row", "entity", F.explode(F.transform("terms", placed)).alias("t")).select("row", "entity", "t.*")
+    each = found.select("row", F.posexplode(F.arrays_zip(F.col("terms").alias("term"), F.col("gaps").alias("gap"))).alias("i", "t"))
+    so_far = Window.partitionBy("row").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    placed = each.select("row", "i", "t.term", "t.gap").filter("term is not null").withColumn(
+        "end", F.sum(F.length("gap") + F.length("term")).over(so_far) - 1
+    )
+    placed = placed.select("row", F.lower("term").alias("term"), (F.col("end") - F.length("term")).alias("start"), "end")
+    # a term never touches a base span's text
+    spans = mentions.groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    inside = F.exists("spans", lambda m: (m["start"] < F.col("end")) & (m["end"] > F.col("start")))
+    return placed.join(spans, "row").filter(~inside).select("row", "term", "start", "end")
 
 
 def _general(term: Column) -> Column:
@@ -138,12 +153,13 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
 
 
 def disclosing_terms(
-    docs: DataFrame, mentions: DataFrame, context: DataFrame, total: int, disclosure: float = DISCLOSURE, support: int = SUPPORT
+    docs: DataFrame, entities: DataFrame, terms: DataFrame, total: int, disclosure: float = DISCLOSURE, support: int = SUPPORT
 ) -> DataFrame:
     """entity, term, share, action (generalise or remove), replacement of the terms that reach the threshold."""
-    seen = context.select("row", "entity", F.explode(_with_classes(F.array("term"))).alias("term")).distinct()
+    classes = F.explode(_with_classes(F.array("term"))).alias("term")
+    seen = terms.select("row", "term").distinct().select("row", classes).distinct().join(entities, "row")
     together = seen.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et")).filter(F.col("n_et") >= support)
-    alone = mentions.select("row", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
+    alone = entities.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
     information = F.log(F.lit(float(total)) / F.col("n_e"))
     share = 1 - F.log(F.greatest(F.col("n_t"), F.col("n_et")) / F.col("n_et")) / information
     shares = stored(
@@ -173,14 +189,18 @@ def find(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT
     count as documents of their own; a NULL doc_id is carried along; an empty table gives an empty table; other columns are
     not read.
     """
-    matches = _matches(docs)
+    numbered = _numbered(docs)
+    matches = _matches(numbered)
     rows = matches.filter(F.col("kind") == KINDS[0])
     total = rows.count()
     mentions = _mentions(matches)
-    context = stored(_context_terms(mentions))
-    telling = disclosing_terms(docs.select("text"), mentions, context, max(total, 1), disclosure, support)
+    counted, judging = _entities(mentions, support)
+    whole = stored(_terms_of(numbered, mentions))
+    telling = disclosing_terms(docs.select("text"), counted, whole, max(total, 1), disclosure, support)
+    pairs = judging.join(telling.select("entity", "term", "replacement"), "entity")
+    named = pairs.groupBy("row", "term").agg(F.min("replacement").alias("replacement"))  # one row per term of a document
     terms = (
-        context.join(telling, ["entity", "term"])
+        whole.join(named, ["row", "term"])
         .groupBy("row", "start", "end")
         .agg(F.min("replacement").alias("replacement"))  # removal, the empty string, wins
         .select("row", F.lit("term").alias("kind"), "start", "end", "replacement")

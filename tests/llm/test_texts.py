@@ -332,3 +332,18 @@ def test_terms_that_disclose_are_generalised_or_removed(spark):
     assert all(s["kind"] != "term" for i in range(100, 140) for s in one[i])
     clean = {r["doc_id"]: r["text"] for r in pii.redact(docs, found).collect()}
     assert clean[0] == "calm words before zor* , mail [email] zor* after 0" and clean[100] == text[100]
+
+
+def test_terms_disclose_in_the_whole_text_and_for_sparse_entities(spark):
+    far = "calm words " * 30
+    rows = [(i, f"mail joe@x.org {far} zorblatt {far} zorblatt ends") for i in range(4)]
+    rows += [(10 + i, f"quimbus team, mail user{i}@quim.org after") for i in range(5)]  # every address stands once
+    rows += [(100 + i, "calm words and nothing else to see here, mail after before team ends") for i in range(400)]
+    found = {r["doc_id"]: r["spans"] for r in pii.find(frame(spark, rows)).collect()}
+    text = dict(rows)
+
+    def terms(i):
+        return [text[i][s["start"] : s["end"]] for s in found[i] if s["kind"] == "term"]
+
+    assert all(terms(i).count("zorblatt") == 2 for i in range(4))
+    assert all("quimbus" in terms(10 + i) for i in range(5)) and all(not terms(100 + i) for i in range(400))
