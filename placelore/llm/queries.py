@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placelore.llm import (
+    alignment,
     decontaminate,
     exact_dedup,
     license_scan,
@@ -24,6 +25,7 @@ from placelore.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
+BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -102,6 +104,14 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.repeated_passages(table(spark, folder, "documents")).drop("kept_text")
 
 
+def op13_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups of tokens with common ends in both tokenizers, and how usual their links are."""
+    found = alignment.align(table(spark, folder, "documents"), BYTE_TOKENIZER, PIECE_MODEL, written=False)
+    return found.withColumnRenamed("groups", "groups_sha256").select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"
+    )
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -112,6 +122,6 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_pii, op2_sentencepiece, op3_exact_dedup, op4_quality, op5_ngram_jaccard, op6_decontamination, op7_toxicity, op8_license,
-        op9_token_counts, op10_substring_dedup, pipeline,
+        op9_token_counts, op10_substring_dedup, op13_alignment, pipeline,
     )
 }
