@@ -32,14 +32,15 @@ from tokenizers import Tokenizer
 from placelore.llm.common import claim, id_and_text, stored
 from placelore.llm.token_counts import _byte_symbols
 
-STRETCHES_HELD = 250_000  # stretches a worker keeps
+STRETCHES_HELD = 800_000  # stretches a worker keeps
 LONGEST_HELD = 64  # letters of a stretch that is kept
 BLOCK = 2_000_000  # bytes of text looked at together
-TOGETHER = 20_000  # letters of new stretches encoded as one text
+TOGETHER = 3_000  # letters of new stretches encoded as one text
 PAIRS = 2_000_000  # id pairs broadcast at once
 B_IDS = 1 << 24  # a pair is the long a * B_IDS + b
 _CUT = re.compile(r"(?<=\S)(?= .)", re.DOTALL)
-Aligned = tuple[str, int, int, list[int]]  # written groups, tokens of A, tokens of B, pairs of the links
+_RUN = re.compile(r"\s |^ ")
+Aligned = tuple[str, int, int, bytes]  # written groups, tokens of A, tokens of B, pairs of the links (64 bits each)
 
 
 class Aligner:
@@ -80,15 +81,20 @@ class Aligner:
 
     def stretches(self, text: str) -> list[str]:
         """Parts of a space and the text that are encoded apart."""
-        return _CUT.split(" " + text) if self.cuts else [" " + text]
+        if not self.cuts:
+            return [" " + text]
+        if text[-1] != " " and not _RUN.search(text):  # every space is a cut
+            return (" " + text.replace(" ", "\0 ")).split("\0") if "\0" not in text else _CUT.split(" " + text)
+        return _CUT.split(" " + text)
 
     def ends(self, whole: str, a, b) -> tuple | None:
         """Ids of A, ids of B and the byte where each token ends; None when either side's bytes are not those of ``whole``."""
         raw = whole.encode()
-        ids_a = np.array(a.ids, np.int64)
-        ids_b, stops_b = np.array([(p.id, p.end) for p in b], np.int64).reshape(-1, 2).T
-        if b"".join([self.a_bytes[i] for i in a.ids]) != raw or b"".join([self.b_bytes[i] for i in ids_b.tolist()]) != raw:
+        list_a, list_b = a.ids, [p.id for p in b]
+        if b"".join([self.a_bytes[i] for i in list_a]) != raw or b"".join([self.b_bytes[i] for i in list_b]) != raw:
             return None
+        ids_a, ids_b = np.array(list_a, np.int64), np.array(list_b, np.int64)
+        stops_b = np.array([p.end for p in b], np.int64)
         # A: an offset is the end of its token unless the next token begins inside the same character.
         starts, stops = np.fromiter(chain.from_iterable(a.offsets), np.int64, 2 * len(ids_a)).reshape(-1, 2).T
         if len(raw) > len(whole):
@@ -122,43 +128,41 @@ class Aligner:
         of_group = np.concatenate([2 * (np.cumsum(last_a) - last_a), 2 * (np.cumsum(last_b) - last_b) + 1])
         order = np.argsort(of_group, kind="stable")
         names = np.concatenate([self.a_names[ids_a, last_a.astype(int)], self.b_names[ids_b, last_b.astype(int)]])[order].tolist()
-        pairs = (ids_a[last_a] * B_IDS + ids_b[last_b]).tolist()
+        pairs = (ids_a[last_a] * B_IDS + ids_b[last_b]).tobytes()
         bounds = np.cumsum([len(s.encode()) for s in stretches])
         till_a, till_b = np.searchsorted(ends_a, bounds, "right").tolist(), np.searchsorted(ends_b, bounds, "right").tolist()
         till = np.searchsorted(ends_a[last_a], bounds, "right").tolist()
         a, b, g = 0, 0, 0
         for s, a_stop, b_stop, stop in zip(stretches, till_a, till_b, till):
-            into[s] = ("".join(names[a + b : a_stop + b_stop]), a_stop - a, b_stop - b, pairs[g:stop])
+            into[s] = ("".join(names[a + b : a_stop + b_stop]), a_stop - a, b_stop - b, pairs[8 * g : 8 * stop])
             a, b, g = a_stop, b_stop, stop
 
     def align(self, texts: list[str]) -> list[list[Aligned] | None]:
         """The alignments of each text's stretches, in order; None for a text without tokens."""
         cut = [self.stretches(t) if t else [] for t in texts]
-        if len(self.held) > STRETCHES_HELD:
-            self.held.clear()
-        met, held = dict.fromkeys(chain.from_iterable(cut)), self.held
-        here = {s: held[s] for s in met if s in held}
+        held = self.held
+        if len(held) > STRETCHES_HELD:
+            held.clear()
+        new = [s for s in dict.fromkeys(chain.from_iterable(cut)) if s not in held]
         together, size = [], 0
-        for s in met:
-            if s in here:
-                continue
+        for s in new:
             if not self.cuts or s[-1].isspace() or "▁" in s:  # nothing may follow, or no cut holds
-                self.learn([s], here)
+                self.learn([s], held)
                 continue
             together.append(s)
             size += len(s)
             if size >= TOGETHER:
-                self.learn(together, here)
+                self.learn(together, held)
                 together, size = [], 0
         if together:
-            self.learn(together, here)
-        for s, found in here.items():
-            if len(s) <= LONGEST_HELD:
-                held[s] = found
+            self.learn(together, held)
         out = []
         for stretches in cut:
-            found = [here[s] for s in stretches]
+            found = [held[s] for s in stretches]
             out.append(None if not found or None in found else found)
+        for s in new:
+            if len(s) > LONGEST_HELD:
+                del held[s]
         return out
 
 
@@ -206,9 +210,9 @@ def token_groups(docs: DataFrame, byte_tokenizer: str, piece_model: str, written
                 found = found or []
                 text = "".join([f[0] for f in found])[:-1]
                 groups.append(text if written or not text else hashlib.sha256(text.encode()).hexdigest())
-                n_a.append(sum(f[1] for f in found))
-                n_b.append(sum(f[2] for f in found))
-                linked = np.fromiter(chain.from_iterable(f[3] for f in found), np.int64)
+                n_a.append(sum([f[1] for f in found]))
+                n_b.append(sum([f[2] for f in found]))
+                linked = np.frombuffer(b"".join([f[3] for f in found]), np.int64)
                 n_groups.append(len(linked))
                 linked, counts = np.unique(linked, return_counts=True)
                 pairs.append(linked)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import public_tokenizers
@@ -14,6 +15,7 @@ from placelore.llm import (
     exact_dedup,
     license_scan,
     ngram_join,
+    periodic_runs,
     pii,
     quality,
     sentencepiece,
@@ -104,6 +106,34 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.repeated_passages(table(spark, folder, "documents")).drop("kept_text")
 
 
+def with_repetition(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """A tenth of the documents, chosen by the id's hash, repeats a part of itself to the end (a NULL id counts as the empty text)."""
+    group, digit = divmod(zlib.crc32(b"" if doc_id is None else str(doc_id).encode()), 10)
+    n = len(words)
+    if digit or not n:
+        return words
+    a = group % n
+    p = 1 + (n - a) // (3 + group % 8)
+    return words[:a] + [words[a + i % p] for i in range(n - a)]
+
+
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Number of runs, the longest one and digests of all runs and of the collapsed text."""
+    found = periodic_runs.periodic_runs(table(spark, folder, "documents"), with_repetition)
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    lines = F.transform(lines, lambda line: F.concat(line, F.lit("\n")))
+    return found.withColumn("top", periodic_runs.longest_run("runs")).select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        F.col("top.start").alias("start"),
+        (-F.col("top.l")).alias("length"),
+        F.col("top.period").alias("period"),
+        F.floor(F.lit(-1000) * F.col("top.l") / F.col("top.period")).cast("bigint").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def op13_alignment(spark: SparkSession, folder: str) -> DataFrame:
     """Groups of tokens with common ends in both tokenizers, and how usual their links are."""
     found = alignment.align(table(spark, folder, "documents"), BYTE_TOKENIZER, PIECE_MODEL, written=False)
@@ -122,6 +152,6 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_pii, op2_sentencepiece, op3_exact_dedup, op4_quality, op5_ngram_jaccard, op6_decontamination, op7_toxicity, op8_license,
-        op9_token_counts, op10_substring_dedup, op13_alignment, pipeline,
+        op9_token_counts, op10_substring_dedup, op11_periodic_runs, op13_alignment, pipeline,
     )
 }
