@@ -18,6 +18,7 @@ from placelore.llm import (
     periodic_runs,
     pii,
     quality,
+    secret_scan,
     sentencepiece,
     substring_dedup,
     token_counts,
@@ -134,6 +135,24 @@ def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts and places of secrets by fixed patterns, and the places of other runs that have a credential's format."""
+    found = secret_scan.secrets(table(spark, folder, "documents"))
+
+    def written(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def of_kind(kind):
+        return F.filter("spans", lambda s: s["kind"] == kind)
+
+    return found.select(
+        "doc_id",
+        *[F.size(of_kind(k)).cast("bigint").alias(f"n_{k}") for k in secret_scan.KINDS],
+        F.sha2(written(F.filter("spans", lambda s: s["kind"] != "format")), 256).alias("base_sha256"),
+        written(F.col("spans")).alias("spans"),
+    )
+
+
 def op13_alignment(spark: SparkSession, folder: str) -> DataFrame:
     """Groups of tokens with common ends in both tokenizers, and how usual their links are."""
     found = alignment.align(table(spark, folder, "documents"), BYTE_TOKENIZER, PIECE_MODEL, written=False)
@@ -152,6 +171,6 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_pii, op2_sentencepiece, op3_exact_dedup, op4_quality, op5_ngram_jaccard, op6_decontamination, op7_toxicity, op8_license,
-        op9_token_counts, op10_substring_dedup, op11_periodic_runs, op13_alignment, pipeline,
+        op9_token_counts, op10_substring_dedup, op11_periodic_runs, op12_secrets, op13_alignment, pipeline,
     )
 }
