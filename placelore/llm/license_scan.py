@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 from placelore.llm.common import stored
 
 COSINE, FILE_SHARE = 0.6, 0.5
-COMMON = 0.05  # of the SQL only, which still drops words of more documents; no word is dropped here
 MAX_TEMPLATE_WORDS = 20_000
 FILE_NAME = r"(?i)^(licen[cs]e|copying|notice)([._-].*)?$"
 

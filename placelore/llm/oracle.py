@@ -77,8 +77,7 @@ WITH tw AS (
   SELECT doc_id, line, w, count(*) AS tf FROM (SELECT doc_id, line, unnest({SPLIT.format('text')}) AS w FROM l) GROUP BY ALL
 ), n AS (SELECT count(*) AS n FROM f), d AS (SELECT w, count(DISTINCT doc_id) AS df FROM lw GROUP BY w),
 idf AS (
-  SELECT w, ln((n + 1) / (coalesce(df, 0) + 1)) AS v FROM (SELECT DISTINCT w FROM tw) CROSS JOIN n LEFT JOIN d USING (w)
-  WHERE coalesce(df, 0) <= greatest({license_scan.COMMON} * n, 1) AND n > coalesce(df, 0)
+  SELECT w, ln((n + 1) / (coalesce(df, 0) + 1)) + 1 AS v FROM (SELECT DISTINCT w FROM tw) CROSS JOIN n LEFT JOIN d USING (w)
 ), tv AS (
   SELECT t, license, w, x / sqrt(sum(x * x) OVER (PARTITION BY t)) AS x
   FROM (SELECT t, license, w, tf * v AS x FROM tw JOIN idf USING (w))
