@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import gc
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import xxhash
@@ -52,16 +54,30 @@ def claim(owner: str, clear: Callable[[], None]) -> None:
     _HELD[owner] = clear
 
 
+@contextmanager
+def collector_off() -> Iterator[None]:
+    """Python's cycle collector rests: it would walk a worker's cache of plain values again and again and find nothing."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 class WordHashes(dict):
     """Word (bytes) to 64-bit hash, computed once per word and worker."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_ENTRIES:
+        if len(self) >= HASHES_HELD:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
 
 
+#: Hashes are made faster than they are kept; the worker keeps only as many as pay.
+HASHES_HELD = 100_000
 _WORDS = WordHashes()
 
 

@@ -19,19 +19,35 @@ import math
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placelore.llm.common import claim
+from placelore.llm.common import claim, collector_off
 
 SPACE, PENALTY, BEST = "▁", 10.0, 3
-WORDS = 400_000  # words a worker keeps (about 350 bytes each); results do not depend on it
+WORDS = 700_000  # words a worker keeps (about 320 bytes each); results do not depend on it
+SHORT, TOGETHER = 40, 10_000  # letters and number of stretches searched together
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 _CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
+def _mixed(code: np.ndarray) -> np.ndarray:
+    code = (code ^ (code >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return code ^ (code >> np.uint64(29))
+
+
+def _hash(piece: str) -> np.uint64:
+    """64-bit hash of the letters, the same as the difference of two prefixes in ``viterbi_of``."""
+    code = 0
+    for letter in piece:
+        code = (code * int(_BASE) + ord(letter)) & (2**64 - 1)
+    return _mixed(np.array([code], np.uint64))[0]
+
+
 class Pieces:
     """The vocabulary of a model file."""
 
@@ -60,6 +76,7 @@ class Pieces:
         crossing = [p for p in self.id if SPACE in p.lstrip(SPACE)]
         if crossing or len(self.bytes) != 256:
             raise ValueError("a model with byte fallback is needed, without pieces that continue behind a space mark")
+        self._hashed = None
         # bytes of every id, for decoding
         self.raw = [t.replace(SPACE, " ").encode() for t in self.text]
         for value, i in self.bytes.items():
@@ -114,6 +131,70 @@ class Pieces:
             cuts.append(at)
         return tuple(reversed(cuts)), best[-1], second[-1]
 
+    def hashed(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted hashes of the plain pieces, their scores and ids, and a sieve of the hashes."""
+        if self._hashed is None:
+            hashes = np.array([_hash(p) for p in self.id], np.uint64)
+            order = np.argsort(hashes)
+            sieve = np.zeros(1 << 20, bool)
+            sieve[hashes >> np.uint64(44)] = True
+            self._hashed = hashes[order], np.array(list(self.score.values()))[order], np.array(list(self.id.values()))[order], sieve
+        return self._hashed
+
+    def viterbi_of(self, words: list[str]) -> list[tuple[list[int], float, float]]:
+        """Ids, score of the best segmentation and of the second best for many short words, position by position for all of them at once."""
+        hashes, scores, ids, sieve = self.hashed()
+        n, sizes = len(words), np.fromiter(map(len, words), np.int64, len(words))
+        width = int(sizes.max())
+        letters = np.zeros((width, n), np.uint64)  # by position, then word
+        flat = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+        owner = np.repeat(np.arange(n), sizes)
+        letters[np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes), owner] = flat
+        prefix = np.zeros((width + 1, n), np.uint64)
+        powers = [np.uint64(1)]
+        for k in range(width):
+            prefix[k + 1] = prefix[k] * _BASE + letters[k]
+            powers.append(np.uint64(int(powers[-1]) * int(_BASE) % 2**64))
+        best, second = np.full((width + 1, n), -np.inf), np.full((width + 1, n), -np.inf)
+        best[0] = 0.0
+        back, piece = np.zeros((width + 1, n), np.int32), np.full((width + 1, n), -1, np.int32)
+        for end in range(1, width + 1):
+            here, runner, from_, named = best[end], second[end], back[end], piece[end]
+            for start in range(max(0, end - self.longest), end):
+                code = _mixed(prefix[end] - prefix[start] * powers[end - start])
+                at = np.flatnonzero(sieve[code >> np.uint64(44)])
+                place = np.minimum(np.searchsorted(hashes, code[at]), len(hashes) - 1)
+                hit = hashes[place] == code[at]
+                at, place = at[hit], place[hit]
+                value, name = scores[place], ids[place]
+                if start == end - 1:  # a letter without a piece goes by its bytes
+                    known = np.full(n, self.unknown)
+                    known[at] = value
+                    names = np.full(n, -1, np.int64)
+                    names[at] = name
+                    at, value, name = np.arange(n), known, names
+                total, other = best[start][at] + value, second[start][at] + value
+                wins = total > here[at]
+                runner[at] = np.where(wins, np.maximum(here[at], other), np.maximum(runner[at], total))
+                won = at[wins]
+                here[won], from_[won], named[won] = total[wins], start, name[wins]
+        out = []
+        columns = np.arange(n)
+        for word, size, b, s, trace, names in zip(
+            words, sizes.tolist(), best[sizes, columns].tolist(), second[sizes, columns].tolist(), back.T.tolist(), piece.T.tolist()
+        ):
+            found, at = [], size
+            while at:
+                start = trace[at]
+                if names[at] >= 0:
+                    found.append(names[at])
+                else:
+                    found.extend(self.bytes[x] for x in reversed(word[start:at].encode()))
+                at = start
+            found.reverse()
+            out.append((found, b, s))
+        return out
+
     def n_best(self, word: str, most: int) -> list[tuple[float, tuple[int, ...]]]:
         """Up to ``most`` segmentations (score, cut positions), best first; equal scores: the earliest cuts first."""
         edges, best = self.lattice(word)
@@ -149,27 +230,43 @@ class _Words(dict):
     def __init__(self, pieces: Pieces, most: int):
         self.pieces, self.most, self.others, self.parts = pieces, most, {}, {}
 
-    def __missing__(self, word: str):
+    def learn(self, words: list[str]) -> None:
+        """Makes room and adds the words not met before; their stretches are searched together."""
         if len(self) >= WORDS:
             self.clear()
-        chunk, pairs = SPACE + word, self.pieces.pairs
-        cuts = [] if word.isalpha() else [i for i in range(1, len(chunk)) if chunk[i - 1 : i + 1] not in pairs]
-        if cuts:
-            ids, best, loss = zip(*[self.part(chunk[a:b]) for a, b in zip([0, *cuts], [*cuts, len(chunk)])])
-            value = b"".join(ids), sum(best), max(loss)
-        else:
-            value = self.searched(chunk)
-        self[word] = value
-        return value
-
-    def part(self, chunk: str) -> tuple[bytes, float, float]:
-        """Result of a stretch that no piece leaves; words differ in punctuation more often than in these."""
-        value = self.parts.get(chunk)
-        if value is None:
-            if len(self.parts) >= WORDS // 4:
-                self.parts.clear()
-            value = self.parts[chunk] = self.searched(chunk)
-        return value
+        if len(self.parts) >= WORDS // 4:
+            self.parts.clear()
+        pairs, parts = self.pieces.pairs, self.parts
+        cut: dict[str, list[str]] = {}
+        for word in dict.fromkeys(words):
+            if word in self:
+                continue
+            chunk = SPACE + word
+            at = [] if word.isalpha() else [i for i in range(1, len(chunk)) if chunk[i - 1 : i + 1] not in pairs]
+            # no piece crosses such a cut; words differ in punctuation more often than in the stretches between
+            cut[word] = [chunk[a:b] for a, b in zip([0, *at], [*at, len(chunk)])] if at else [chunk]
+        new = sorted({c for stretches in cut.values() for c in stretches if c not in parts}, key=len)
+        found: dict[str, tuple[bytes, float, float]] = {}
+        short = [c for c in new if len(c) <= SHORT]
+        for k in range(0, len(short), TOGETHER):
+            some = short[k : k + TOGETHER]
+            for chunk, (ids, best, second) in zip(some, self.pieces.viterbi_of(some)):
+                found[chunk] = array("i", ids).tobytes(), best, second - best
+        for chunk in new[len(short) :]:
+            found[chunk] = self.searched(chunk)
+        for word, stretches in cut.items():
+            if len(stretches) == 1:
+                self[word] = found[stretches[0]] if stretches[0] in found else parts[stretches[0]]
+                continue
+            for c in stretches:
+                if c not in parts:
+                    parts[c] = found[c]
+            ids, best, loss = zip(*map(parts.__getitem__, stretches))
+            self[word] = b"".join(ids), sum(best), max(loss)
+
+    def __missing__(self, word: str):
+        self.learn([word])
+        return self[word]
 
     def searched(self, chunk: str) -> tuple[bytes, float, float]:
         cuts, best, second = self.pieces.viterbi(chunk)
@@ -260,8 +357,10 @@ def encode(docs: DataFrame, model: str, most: int = BEST) -> DataFrame:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
                 ids, best, decoded = [], [], []
-                for text in part.column(at).to_pylist():
-                    words = split_words(text) if text else []
+                split = [split_words(text) if text else [] for text in part.column(at).to_pylist()]
+                with collector_off():
+                    cache.learn(list(chain.from_iterable(split)))
+                for words in split:
                     found = segmentations(words, cache, most)
                     ids.append(np.frombuffer(found[0][1], np.int32))
                     decoded.append(pieces.decode(ids[-1].tolist()))

@@ -98,6 +98,22 @@ def test_n_best_equals_enumeration(pieces, word):
     assert (best, cuts) in want and best == want[0][0] and second == (want[1][0] if len(want) > 1 else float("-inf"))
 
 
+def test_words_searched_together_equal_words_searched_alone(pieces):
+    rng = random.Random(6)
+    letters = ["▁", "th", "e", "a", "s", "漢", "ß", "\U0001F600", "ing", "x", "1", ".", "st"]
+    words = ["▁" + "".join(rng.choice(letters) for _ in range(rng.randrange(12))) for _ in range(3000)]
+    for word, (ids, best, second) in zip(words, pieces.viterbi_of(words)):
+        cuts, want, want_second = pieces.viterbi(word)
+        assert (ids, best, second) == (pieces.ids(word, cuts), want, want_second), word
+
+
+def test_words_do_not_depend_on_what_was_learned_before(pieces):
+    words = ["the", "of,", "x.y", "a" * 60, "日本", "the", ""]
+    together, alone = sentencepiece._Words(pieces, 3), sentencepiece._Words(pieces, 3)
+    together.learn(words)
+    assert [together[w] for w in words] == [alone[w] for w in words]
+
+
 @pytest.mark.parametrize("text", ["aa bbb the", "the the", "x", "in  on"])
 def test_text_n_best_equals_enumeration(pieces, text):
     words = sentencepiece.split_words(text)
