@@ -26,13 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placelore.llm.common import CACHE_ENTRIES, claim, distinct, held_out, stored
+from placelore.llm.common import claim, distinct, held_out, stored
 
 ORDER, SPAN, DECAY, FLOOR = 3, 6, 0.6, 0.2
 LANDMARKS = 64
 MAX_LABELLED = 4000  # labelled documents of each class the model is fitted on
 SENTENCES = 3  # sentences of a training document sent to the driver
 BLOCK = 512  # texts looked at together
+SLICE = 20_000  # letters of new words whose subsequences are laid out together
+TOKENS_HELD = 200_000  # tokens a worker keeps
 GRAMS_HELD = 100_000  # letter runs a task counts before it sends them on
 PIECE = 24  # longer words are looked at in overlapping pieces of this length
 _LETTERS = re.compile(r"[\W_]+")
@@ -151,27 +153,45 @@ class _Vectors:
     def __init__(self, landmarks: list[str]):
         self.landmarks, self.kernel, self.numbers = landmarks, Kernel(landmarks), _Numbers()
         self.codes = np.zeros(0, np.int64)  # by token: twice its row, plus one where it ends a sentence
-        self.rows = np.zeros((1, len(landmarks)), np.float32)
+        self.rows = np.zeros((1024, len(landmarks)), np.float32)  # grows in steps; ``n_rows`` are in use
+        self.n_rows = 1
 
     def of(self, texts: list[list[str]]) -> list[np.ndarray]:
         """The codes of the tokens of each text."""
-        if len(self.numbers) > CACHE_ENTRIES:
-            self.__init__(self.landmarks)
+        if len(self.numbers) > TOKENS_HELD:
+            self.numbers, self.codes, self.n_rows = _Numbers(), self.codes[:0], 1
         numbered = [np.fromiter(map(self.numbers.__getitem__, text), np.int64, len(text)) for text in texts]
         new, self.numbers.new = self.numbers.new, []
         if new:
             codes = np.fromiter((t[-1] in ".!?" for t in new), np.int64, len(new))
-            pieces = [(i, piece) for i, t in enumerate(new) for piece in _pieces(t)]
-            values = self.kernel([piece for _, piece in pieces])
-            hit = np.flatnonzero(values.any(axis=1))
-            if len(hit):
-                owner = np.array([pieces[i][0] for i in hit])
-                first = np.flatnonzero(np.diff(owner, prepend=-1))  # pieces of one token follow each other
-                codes[owner[first]] += 2 * (len(self.rows) + np.arange(len(first)))
-                self.rows = np.concatenate([self.rows, np.maximum.reduceat(values[hit], first)])
+            owners, pieces, letters = [], [], 0
+            for i, token in enumerate(new):
+                parts = _pieces(token)
+                owners += [i] * len(parts)
+                pieces += parts
+                letters += sum(map(len, parts))
+                if letters >= SLICE:
+                    self._add(codes, owners, pieces)
+                    owners, pieces, letters = [], [], 0
+            self._add(codes, owners, pieces)
             self.codes = np.concatenate([self.codes, codes])
         return [self.codes[n] for n in numbered]
 
+    def _add(self, codes: np.ndarray, owners: list[int], pieces: list[str]) -> None:
+        """Kernel rows of the tokens ``owners``, whose pieces follow each other; their row numbers go into ``codes``."""
+        values = self.kernel(pieces)
+        hit = np.flatnonzero(values.any(axis=1))
+        if not len(hit):
+            return
+        owner = np.array(owners)[hit]
+        first = np.flatnonzero(np.diff(owner, prepend=-1))
+        stop = self.n_rows + len(first)
+        if stop > len(self.rows):
+            self.rows = np.concatenate([self.rows[: self.n_rows], np.zeros((max(stop, len(self.rows)), self.rows.shape[1]), np.float32)])
+        codes[owner[first]] += 2 * np.arange(self.n_rows, stop)
+        self.rows[self.n_rows : stop] = np.maximum.reduceat(values[hit], first)
+        self.n_rows = stop
+
 
 _CACHE: dict[tuple, _Vectors] = {}
 
