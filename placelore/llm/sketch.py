@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SLOTS = 64
-FLUSH = 4_000_000  # keys held by a task before it sends a part
+FLUSH = 2_000_000  # keys held by a task before it sends a part
 _SALTS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)
 
 
