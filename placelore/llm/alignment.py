@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from placelore.llm.common import claim, id_and_text, stored
+from placelore.llm.common import claim, collector_off, id_and_text, stored
 from placelore.llm.token_counts import _byte_symbols
 
 STRETCHES_HELD = 800_000  # stretches a worker keeps
@@ -206,7 +206,9 @@ def token_groups(docs: DataFrame, byte_tokenizer: str, piece_model: str, written
             tool = _ALIGNERS[byte_tokenizer, piece_model] = Aligner(byte_tokenizer, piece_model)
         for batch in _blocks(batches):
             n_a, n_b, n_groups, groups, pairs, times = [], [], [], [], [], []
-            for found in tool.align([t.decode() for t in batch.column(1).to_pylist()]):
+            with collector_off():
+                aligned = tool.align([t.decode() for t in batch.column(1).to_pylist()])
+            for found in aligned:
                 found = found or []
                 text = "".join([f[0] for f in found])[:-1]
                 groups.append(text if written or not text else hashlib.sha256(text.encode()).hexdigest())
