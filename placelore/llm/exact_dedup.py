@@ -38,7 +38,7 @@ def exact_groups(docs: DataFrame, heavy_share: float = HEAVY_SHARE) -> DataFrame
     """
     length, digest = digest_of(F.col("text"))
     rows = stored(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), length.alias("_n"), digest.alias("text_sha256")))
-    order = F.struct(F.col("_n"), F.col("doc_id").isNotNull().alias("known"), (-F.coalesce("doc_id", F.lit(0))).alias("first"))
+    order = F.struct(F.col("_n"), F.col("doc_id").isNotNull().alias("known"), F.bitwise_not(F.coalesce("doc_id", F.lit(0))).alias("first"))
     rows = rows.withColumn("_order", order)
 
     candidates = F.broadcast(  # at most 1 / heavy_share digests
@@ -55,7 +55,7 @@ def exact_groups(docs: DataFrame, heavy_share: float = HEAVY_SHARE) -> DataFrame
     rest = rows.join(F.broadcast(winners.select("text_sha256")), "text_sha256", "left_anti").select(
         "*", F.max("_order").over(group).alias("_best"), F.count(F.lit(1)).over(group).alias("group_size")
     )
-    keep = F.when(F.col("_best.known"), -F.col("_best.first"))
+    keep = F.when(F.col("_best.known"), F.bitwise_not(F.col("_best.first")))
     return heavy.unionByName(rest).select(
         "doc_id",
         keep.alias("keep_id"),

@@ -87,14 +87,14 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op8_license(spark: SparkSession, folder: str) -> DataFrame:
-    """Each document is a file of the tree /source/lang/number of a hundred documents/."""
+    """Each document is a file of the tree /source/lang/number of a hundred documents/; those without an id are one file 'none' of a directory."""
     docs = table(spark, folder, "documents")
-    bucket = F.floor(F.col("doc_id") / 100).cast("string")
-    path = F.concat_ws("/", F.lit(""), F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), bucket, F.col("doc_id").cast("string"))
+    parts = ["source", "lang", F.floor(F.col("doc_id") / 100).cast("string"), F.col("doc_id").cast("string")]
+    path = F.concat_ws("/", F.lit(""), *[F.coalesce(p, F.lit("none")) for p in parts])
     files = docs.select(path.alias("path"), "text")
     found = license_scan.scan(files, license_scan.templates(spark))
     return found.withColumns(
-        {"doc_id": F.substring_index("path", "/", -1).cast("bigint"), "cosine": F.round("cosine", 6)}
+        {"doc_id": F.substring_index("path", "/", -1).try_cast("bigint"), "cosine": F.round("cosine", 6)}
     )
 
 
