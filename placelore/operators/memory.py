@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from placelore.functions.skew import cut_lineage
 from placelore.operators.backward import backward_pass
 from placelore.operators.notes import apply_batch
-from placelore.operators.routing import base_path_filter, route_items
+from placelore.operators.routing import base_path_filter, route_over_time
 
 
 @dataclass(frozen=True)
@@ -38,12 +38,12 @@ def memory_closed_form(
     base_only: bool = False,
     materialize: Callable[[DataFrame], DataFrame] = lambda df: df,
 ) -> tuple[DataFrame, DataFrame]:
-    """Forward update of the whole history in one step, routed as one batch: (items, notes).
+    """Forward update of the whole history in one step, every day routed on the notes of the days before: (items, notes).
 
-    Equal to the daily fold without backward passes where no route depends on the day, that is for listed
-    paths; an unlisted path that becomes known later in the history counts as known from its first day here.
+    Equal to the daily fold without backward passes, also where an unlisted path becomes known in the course of the
+    history or its items go to a sibling for a while.
     """
-    routed = route_items(items, taxonomy, _no_notes(items, keys), keys)
+    routed = route_over_time(items, taxonomy, _no_notes(items, keys), keys, with_route=False)
     if base_only:
         routed = base_path_filter(routed, taxonomy)
     return apply_batch(routed, keys=keys, materialize=materialize)
@@ -65,7 +65,7 @@ def build_memory(
 
     Between two backward passes the forward updates have a closed form, so the driver loop
     runs over periods of ``backward_every`` days (1 = after every day), not over users or
-    rows. Each period reads the last version of the state and materializes the next one.
+    rows; days inside a period are routed one after the other (``route_over_time``). Each period reads the last version of the state and materializes the next one.
     Only users with new items are consolidated, and not in the period they first appear.
     """
     options = options or MemoryOptions()
@@ -78,7 +78,7 @@ def build_memory(
         batch = cut_lineage(items.filter(F.col("datestr").between(F.lit(day), F.lit(last))))
         old_items, old_notes = state if state else (None, None)
         existing = old_items if old_items is not None else _no_notes(batch, keys)
-        routed = route_items(batch, taxonomy, existing, keys)
+        routed = route_over_time(batch, taxonomy, existing, keys, with_route=False)
         routed = routed.filter(options.dynamic).unionByName(
             base_path_filter(routed.filter(~options.dynamic), taxonomy).select(routed.columns)
         )

@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placelore.functions.skew import top_per_key
+from placelore.functions.skew import cut_lineage, top_per_key
 from placelore.functions.text import normalize_path, path_level, path_parent, path_prefix
 from placelore.operators.profile import AXES, ROOT
 
 MAX_LEVEL = 3
 
 
+def _with_wanted(items: DataFrame) -> DataFrame:
+    """``path`` replaced by ``_wanted``: the source path cut to the depth of the tree, the root where there is none."""
+    path = F.coalesce(path_prefix(normalize_path("path"), MAX_LEVEL), F.lit(ROOT))
+    return items.withColumn("_wanted", F.when(F.col("axis") == "user_info", F.lit(ROOT)).otherwise(path)).drop("path")
+
+
 def route_items(
     items: DataFrame,
     taxonomy: DataFrame,
@@ -36,9 +42,7 @@ def route_items(
     keys = list(keys)
     group = [*keys, "_wanted"]
     at_root = F.col("axis") == "user_info"
-    rows = items.withColumn(
-        "_wanted", F.when(at_root, F.lit(ROOT)).otherwise(F.coalesce(path_prefix(normalize_path("path"), MAX_LEVEL), F.lit(ROOT)))
-    ).drop("path")
+    rows = _with_wanted(items)
     wanted = rows.filter(~at_root).select(*group, "item").distinct()
     known = existing.select(*keys, F.col("path").alias("_wanted")).distinct().withColumn("_known", F.lit(True))
     listed = taxonomy.select(F.col("path").alias("_wanted"), F.lit(True).alias("_listed"))
@@ -92,6 +96,128 @@ def route_items(
     )
 
 
+def route_over_time(
+    items: DataFrame,
+    taxonomy: DataFrame,
+    existing: DataFrame,
+    keys: Sequence[str] = ("idhash",),
+    overlap: float = 0.5,
+    min_new: int = 2,
+    materialize: Callable[[DataFrame], DataFrame] = cut_lineage,
+    with_route: bool = True,
+) -> DataFrame:
+    """``route_items`` for the days (``datestr``) of ``items`` one after the other, each on the notes that the days before made.
+
+    Only groups whose path is unlisted below a listed second level depend on the day. They meet an interval table, which says from
+    which day on a note holds an item, by an as-of join (held before the group's day). All open groups are decided at once; those up to the
+    first day of the (user, second level) on which a decision adds to the interval table are final, and so are the later groups of
+    a path that this made known. What remains is decided again on the grown table, so the number
+    of rounds is that of the days that change a subtree through unlisted paths, none where all paths are listed. ``with_route=False`` leaves
+    out the name of the rule.
+    """
+    keys = list(keys)
+    subtree, group = [*keys, "_domain"], [*keys, "_domain", "_wanted", "datestr"]
+    at_root = F.col("axis") == "user_info"
+    rows = _with_wanted(items)
+    listed = taxonomy.select(F.col("path").alias("_wanted"), F.lit(True).alias("_listed"))
+    domains = taxonomy.filter(path_level("path") == 2).select(F.col("path").alias("_domain"), F.lit(True).alias("_in_domain"))
+    marked = (
+        rows.withColumn("_domain", path_prefix("_wanted", 2)).join(listed, "_wanted", "left").join(domains, "_domain", "left")
+    )
+    is_open = F.col("_listed").isNull() & F.col("_in_domain").isNotNull() & (path_level("_wanted") == MAX_LEVEL)
+    open_items = materialize(marked.filter(~at_root & is_open).select(*group, "item").distinct())
+
+    fixed = F.when(F.col("_listed").isNotNull(), F.col("_wanted")).when(F.col("_in_domain").isNotNull(), F.col("_domain")).otherwise(F.lit(ROOT))
+    decided = None
+    if not open_items.isEmpty():
+        before = F.lit("0001-01-01").cast("date")  # held before the first day
+        touched = open_items.select(subtree).distinct()
+        by_level = path_level("_wanted") == MAX_LEVEL
+        held = (
+            marked.filter(~at_root & by_level & F.col("_listed").isNotNull())
+            .select(*subtree, F.col("_wanted").alias("_sibling"), "item", F.col("datestr").alias("_first"))
+            .unionByName(
+                existing.filter(path_level("path") == MAX_LEVEL).select(
+                    *keys, path_prefix("path", 2).alias("_domain"), F.col("path").alias("_sibling"), "item", before.alias("_first")
+                )
+            )
+            .join(touched, subtree, "left_semi")
+        )
+        known = existing.select(*keys, F.col("path").alias("_wanted")).distinct()
+        decided = materialize(open_items.join(known, [*keys, "_wanted"], "left_semi").withColumn("_path", F.col("_wanted")))
+        undecided = materialize(open_items.join(known, [*keys, "_wanted"], "left_anti"))
+        held = materialize(_held(held, decided, subtree))
+        while not undecided.isEmpty():
+            found = materialize(_decide(undecided, held, group, overlap, min_new))
+            changing = F.when(F.col("_path") != F.col("_domain"), F.col("datestr"))
+            horizon = found.groupBy(*subtree).agg(F.min(changing).alias("_horizon"))
+            made = F.col("_path") == F.col("_wanted")
+            at_once = found.join(horizon, subtree).withColumn(
+                "_settled", F.col("_horizon").isNull() | (F.col("datestr") <= F.col("_horizon"))
+            )
+            fresh = at_once.filter(F.col("_settled") & made).select(*keys, "_wanted", F.lit(True).alias("_made")).distinct()
+            step = materialize(
+                at_once.join(fresh, [*keys, "_wanted"], "left").withColumn(
+                    "_path", F.when(F.col("_settled"), F.col("_path")).when(F.col("_made"), F.col("_wanted"))
+                ).select(*group, "_path")
+            )
+            now = undecided.join(step.filter(F.col("_path").isNotNull()), group)
+            decided = materialize(decided.unionByName(now.select(decided.columns)))
+            held = materialize(_held(held, now, subtree))
+            undecided = materialize(undecided.join(step.filter(F.col("_path").isNull()).select(group), group, "left_semi"))
+    if decided is None:
+        placed = marked.withColumn("path", fixed)
+    else:
+        answers = decided.select(*group, F.col("_path").alias("_answer")).distinct()
+        placed = marked.join(answers, group, "left").withColumn("path", F.coalesce("_answer", fixed)).drop("_answer")
+    placed = placed.withColumn("path", F.when(at_root, F.lit(ROOT)).otherwise(F.col("path")))
+    if not with_route:
+        return placed.drop("_wanted", "_domain", "_listed", "_in_domain")
+    notes = placed.select(*keys, F.col("path").alias("_wanted"), F.col("datestr").alias("_since")).unionByName(
+        existing.select(*keys, F.col("path").alias("_wanted"), F.lit("0001-01-01").cast("date").alias("_since"))
+    )
+    since = notes.groupBy(*keys, "_wanted").agg(F.min("_since").alias("_since"))
+    route = (
+        F.when(at_root, "demographics")
+        .when(F.col("_since") < F.col("datestr"), "existing")
+        .when(F.col("_listed").isNotNull(), "taxonomy")
+        .when(is_open & (F.col("path") == F.col("_wanted")), "new")
+        .when(is_open & (F.col("path") != F.col("_domain")), "sibling")
+        .when(F.col("_in_domain").isNotNull(), "domain")
+        .otherwise("fallback")
+    )
+    return (
+        placed.join(since, [*keys, "_wanted"], "left")
+        .withColumn("route", route)
+        .drop("_wanted", "_domain", "_listed", "_in_domain", "_since")
+    )
+
+
+def _held(held: DataFrame, decided: DataFrame, subtree: list[str]) -> DataFrame:
+    """The interval table with the items that decided groups add: per note and item the first day on which it is held."""
+    added = decided.filter(path_level("_path") == MAX_LEVEL).select(
+        *subtree, F.col("_path").alias("_sibling"), "item", F.col("datestr").alias("_first")
+    )
+    return held.unionByName(added).groupBy(*subtree, "_sibling", "item").agg(F.min("_first").alias("_first"))
+
+
+def _decide(undecided: DataFrame, held: DataFrame, group: list[str], overlap: float, min_new: int) -> DataFrame:
+    """``_path`` of every open group on the notes held before its day."""
+    sizes = undecided.groupBy(*group).agg(F.count("*").alias("_n"))
+    keys = [c for c in group if c not in ("_wanted", "datestr")]
+    covered = (
+        undecided.join(held, [*keys, "item"])
+        .filter(F.col("_first") < F.col("datestr"))
+        .groupBy(*group, "_sibling")
+        .agg(F.count("*").alias("_shared"))
+        .join(sizes, group)
+        .filter(F.col("_shared") >= overlap * F.col("_n"))
+    )
+    best = top_per_key(covered, group, [F.col("_shared").desc(), F.col("_sibling")], 1).select(*group, "_sibling")
+    path = F.coalesce("_sibling", F.when(F.col("_n") >= min_new, F.col("_wanted")).otherwise(F.col("_domain")))
+    return sizes.join(best, group, "left").select(*group, path.alias("_path"))
+
+
 def assign_group(routed: DataFrame) -> DataFrame:
     """One assignment per (user, path) with the sorted distinct items of each axis.
 

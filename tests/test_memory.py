@@ -5,6 +5,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
+from placelore.functions.skew import cut_lineage
 from placelore.operators import backward, context, evaluate, memory, notes, persona, routing, variants
 
 D = date(2024, 1, 1)
@@ -93,7 +94,7 @@ def test_closed_form_equals_updating_day_by_day(spark, taxonomy):
     rows = random_daily(spark, 5).cache()
     items = tree = None
     for d in range(12):
-        items, tree = notes.apply_batch(rows.filter(F.col("datestr") == F.lit(day(d))), items, tree, materialize=lambda df: df.cache())
+        items, tree = map(cut_lineage, notes.apply_batch(rows.filter(F.col("datestr") == F.lit(day(d))), items, tree, materialize=cut_lineage))
     assert tables(*memory.memory_closed_form(rows, taxonomy)) == tables(items, tree)
 
 
@@ -104,6 +105,38 @@ def test_fold_without_backward_equals_closed_form(spark, taxonomy):
     assert tables(items, tree) == tables(*memory.memory_closed_form(rows, taxonomy))
 
 
+UNLISTED = ["root > Dining > New", "root > Dining > Other", "root > Dining > Third", "root > Space > Moon", "root > Dining"]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_routing_over_time_equals_routing_day_by_day(spark, taxonomy, seed):
+    rng = random.Random(seed)
+    rows = {
+        (rng.randrange(2), rng.choice(["implicit", "explicit"]), rng.choice("abcdefgh"), rng.choice(UNLISTED * 2 + TAXONOMY), 1, rng.randrange(6))
+        for _ in range(90)
+    }
+    rows = cut_lineage(daily(spark, sorted(rows)))
+    state = tree = None
+    want = []
+    for d in range(6):
+        batch = rows.filter(F.col("datestr") == F.lit(day(d)))
+        existing = state if state is not None else rows.select("idhash", "path", "item").limit(0)
+        routed = cut_lineage(routing.route_items(batch, taxonomy, existing))
+        want.append(routed)
+        state, tree = map(cut_lineage, notes.apply_batch(routed, state, tree, materialize=cut_lineage))
+    got = routing.route_over_time(rows, taxonomy, rows.select("idhash", "path", "item").limit(0))
+    everything = want[0]
+    for part in want[1:]:
+        everything = everything.unionByName(part)
+    assert sorted(map(str, got.select(everything.columns).collect())) == sorted(map(str, everything.collect()))
+    assert {"new", "sibling", "existing", "taxonomy", "domain"} <= {r.route for r in got.collect()}
+    assert tables(*memory.memory_closed_form(rows, taxonomy)) == tables(state, tree)
+    halves = cut_lineage(routing.route_over_time(rows.filter(F.col("datestr") < F.lit(day(3))), taxonomy, existing.limit(0)))
+    later = routing.route_over_time(rows.filter(F.col("datestr") >= F.lit(day(3))), taxonomy, halves.select("idhash", "path", "item").distinct())
+    both = halves.unionByName(later.select(halves.columns))
+    assert sorted(map(str, both.select(everything.columns).collect())) == sorted(map(str, everything.collect()))
+
+
 # -- routing ------------------------------------------------------------------------------
 
 
