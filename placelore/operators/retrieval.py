@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from placelore.functions.skew import row_number, top_per_key
 
 RRF_CONSTANT = 60
+VECTORS_PER_BLOCK, QUERIES_PER_BLOCK = 4096, 256
 WORD = r"\w+"
 
 
@@ -45,7 +51,7 @@ def _ranked(scores: DataFrame, k: int | None) -> DataFrame:
     """The best ``k`` documents of each query, or all of them in order when ``k`` is None."""
     order = [F.desc("score"), F.col("doc")]
     if k is None:
-        ranked = row_number(scores, ["query"], order, [(F.floor(F.col("score") * 100), True)], "rank")
+        ranked = row_number(scores, ["query"], order, [(F.coalesce(F.floor(F.col("score") * 100), F.lit(-(2**62))), True)], "rank")
     else:
         ranked = top_per_key(scores, ["query"], order, k, "rank").withColumn("rank", F.col("rank").cast("bigint"))
     return ranked.select("query", "doc", "score", "rank")
@@ -60,28 +66,84 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int | None = 10) -> DataFrame:
     return _ranked(bm25_scores(docs, queries), k)
 
 
-def dense_topk(vectors: DataFrame, queries: DataFrame, k: int | None = 10) -> DataFrame:
-    """Best cosine similarities within the scope, the query itself excluded.
+def dense_topk(
+    vectors: DataFrame,
+    queries: DataFrame,
+    k: int | None = 10,
+    vectors_per_block: int = VECTORS_PER_BLOCK,
+    queries_per_block: int = QUERIES_PER_BLOCK,
+) -> DataFrame:
+    """Best cosine similarities within the scope, exact, the query itself excluded.
 
-    ``vectors``: scope, doc, embedding; ``queries``: scope, query, embedding with few
-    queries per scope, so rows grow with the vectors.
+    ``vectors``: scope, doc, embedding; ``queries``: scope, query, embedding, any number of both (all embeddings of one length). Both are
+    cut into blocks by a hash, and each block of queries meets each block of vectors of its scope once, in one matrix product.
+    Of a pair of blocks a query keeps its best ``k`` (all with ``k=None``); these are merged over the blocks. Equal scores: the
+    smaller doc first. Vectors that are NULL or zero have a NULL score and come last.
     """
+    blocks = max(1, -(-vectors.count() // vectors_per_block))
+    parts = max(1, -(-queries.count() // queries_per_block))
 
-    def dot(x: str, y: str) -> Column:
-        products = F.zip_with(x, y, lambda a, c: a.cast("double") * c.cast("double"))
-        return F.aggregate(products, F.lit(0.0), lambda acc, v: acc + v)
+    def packed(rows: DataFrame, name: str, n: int) -> DataFrame:
+        number = F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
+        members = F.sort_array(F.collect_list(F.struct(F.col(name).alias("name"), F.col("embedding").cast("array<double>").alias("v"))))
+        return rows.groupBy("scope", number.alias("block")).agg(members.alias("m"))
 
-    rows = vectors.select("scope", "doc", "embedding", F.sqrt(dot("embedding", "embedding")).alias("norm"))
-    asked = queries.select(
-        "scope", "query", F.col("embedding").alias("q"), F.sqrt(dot("embedding", "embedding")).alias("q_norm")
-    )
-    cosine = F.try_divide(dot("embedding", "q"), F.col("norm") * F.col("q_norm"))
-    scores = (
-        rows.join(asked, "scope")
-        .filter(F.col("doc") != F.col("query"))
-        .select("query", "doc", F.round(cosine, 6).alias("score"))
+    held = packed(vectors, "doc", blocks).select("scope", "block", F.col("m.name").alias("docs"), F.col("m.v").alias("matrix"))
+    asked = packed(queries, "query", parts).select(
+        "scope", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.col("m.name").alias("queries"), F.col("m.v").alias("asked")
     )
-    return _ranked(scores, k)
+    query, doc = queries.schema["query"].dataType, vectors.schema["doc"].dataType
+    schema = StructType([StructField("query", query), StructField("doc", doc), StructField("score", DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(c) for c in ("queries", "asked", "docs", "matrix")]
+            for names, asked, docs, matrix in zip(*[[c[i].values for i in range(batch.num_rows)] for c in columns]):
+                scores = _cosines(_matrix(asked), _matrix(matrix))
+                here = docs.to_pylist()
+                place = {d: j for j, d in enumerate(here)}
+                rows, found = [], []
+                for i, name in enumerate(names.to_pylist()):
+                    best = _best(scores[i], k, place.get(name))
+                    rows.append(np.full(len(best), i))
+                    found.append(best)
+                rows, found = np.concatenate(rows), np.concatenate(found)
+                values = scores[rows, found]
+                yield pa.RecordBatch.from_arrays(
+                    [names.take(pa.array(rows)), docs.take(pa.array(found)), pa.array(values, mask=np.isnan(values))], ["query", "doc", "score"]
+                )
+
+    pairs = asked.join(held, ["scope", "block"]).select("queries", "asked", "docs", "matrix")
+    return _ranked(pairs.mapInArrow(run, schema), k)
+
+
+def _matrix(rows: pa.ListArray) -> np.ndarray:
+    """Vectors of one length as a matrix; NULL as zeros."""
+    found = rows.to_pylist() if rows.null_count else None
+    if found is None:
+        return rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+    width = max((len(v) for v in found if v is not None), default=1)
+    return np.array([v if v is not None else [0.0] * width for v in found])
+
+
+def _cosines(asked: np.ndarray, held: np.ndarray) -> np.ndarray:
+    if asked.shape[1] != held.shape[1]:  # a block of NULLs only
+        return np.full((len(asked), len(held)), np.nan)
+    lengths = np.linalg.norm(asked, axis=1)[:, None] * np.linalg.norm(held, axis=1)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return np.round(np.where(lengths > 0, asked @ held.T / lengths, np.nan), 6)
+
+
+def _best(scores: np.ndarray, k: int | None, own: int | None) -> np.ndarray:
+    """Places of the ``k`` highest scores but that at ``own``, the earlier place first among equals, NaN last."""
+    ranked = np.where(np.isnan(scores), -np.inf, scores)
+    places = np.arange(len(ranked))
+    if own is not None:
+        places = np.delete(places, own)
+    if k is not None and len(places) > k:
+        least = -np.partition(-ranked[places], k - 1)[k - 1]
+        places = places[ranked[places] >= least]
+    return places[np.argsort(-ranked[places], kind="stable")][:k]
 
 
 def rrf(lexical: DataFrame, dense: DataFrame, k: int = 10) -> DataFrame:

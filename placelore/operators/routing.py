@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections import Counter
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from placelore.functions.skew import cut_lineage, top_per_key
 from placelore.functions.text import normalize_path, path_level, path_parent, path_prefix
@@ -108,12 +111,9 @@ def route_over_time(
 ) -> DataFrame:
     """``route_items`` for the days (``datestr``) of ``items`` one after the other, each on the notes that the days before made.
 
-    Only groups whose path is unlisted below a listed second level depend on the day. They meet an interval table, which says from
-    which day on a note holds an item, by an as-of join (held before the group's day). All open groups are decided at once; those up to the
-    first day of the (user, second level) on which a decision adds to the interval table are final, and so are the later groups of
-    a path that this made known. What remains is decided again on the grown table, so the number
-    of rounds is that of the days that change a subtree through unlisted paths, none where all paths are listed. ``with_route=False`` leaves
-    out the name of the rule.
+    Only groups whose path is unlisted below a listed second level depend on the day. They are decided in one job: the first day on which
+    each listed note of such a subtree holds an item, and the open groups, are sorted by (user, second level, day) and folded
+    partition by partition. Everything else is joined as in ``route_items``. ``with_route=False`` leaves out the name of the rule.
     """
     keys = list(keys)
     subtree, group = [*keys, "_domain"], [*keys, "_domain", "_wanted", "datestr"]
@@ -128,48 +128,24 @@ def route_over_time(
     open_items = materialize(marked.filter(~at_root & is_open).select(*group, "item").distinct())
 
     fixed = F.when(F.col("_listed").isNotNull(), F.col("_wanted")).when(F.col("_in_domain").isNotNull(), F.col("_domain")).otherwise(F.lit(ROOT))
-    decided = None
-    if not open_items.isEmpty():
-        before = F.lit("0001-01-01").cast("date")  # held before the first day
-        touched = open_items.select(subtree).distinct()
-        by_level = path_level("_wanted") == MAX_LEVEL
-        held = (
-            marked.filter(~at_root & by_level & F.col("_listed").isNotNull())
-            .select(*subtree, F.col("_wanted").alias("_sibling"), "item", F.col("datestr").alias("_first"))
-            .unionByName(
-                existing.filter(path_level("path") == MAX_LEVEL).select(
-                    *keys, path_prefix("path", 2).alias("_domain"), F.col("path").alias("_sibling"), "item", before.alias("_first")
-                )
+    before = F.lit("0001-01-01").cast("date")  # held before the first day
+    held = (
+        marked.filter(~at_root & F.col("_listed").isNotNull() & (path_level("_wanted") == MAX_LEVEL))
+        .select(*subtree, F.col("_wanted").alias("path"), "item", "datestr")
+        .unionByName(
+            existing.filter(path_level("path") == MAX_LEVEL).select(
+                *keys, path_prefix("path", 2).alias("_domain"), "path", "item", before.alias("datestr")
             )
-            .join(touched, subtree, "left_semi")
         )
-        known = existing.select(*keys, F.col("path").alias("_wanted")).distinct()
-        decided = materialize(open_items.join(known, [*keys, "_wanted"], "left_semi").withColumn("_path", F.col("_wanted")))
-        undecided = materialize(open_items.join(known, [*keys, "_wanted"], "left_anti"))
-        held = materialize(_held(held, decided, subtree))
-        while not undecided.isEmpty():
-            found = materialize(_decide(undecided, held, group, overlap, min_new))
-            changing = F.when(F.col("_path") != F.col("_domain"), F.col("datestr"))
-            horizon = found.groupBy(*subtree).agg(F.min(changing).alias("_horizon"))
-            made = F.col("_path") == F.col("_wanted")
-            at_once = found.join(horizon, subtree).withColumn(
-                "_settled", F.col("_horizon").isNull() | (F.col("datestr") <= F.col("_horizon"))
-            )
-            fresh = at_once.filter(F.col("_settled") & made).select(*keys, "_wanted", F.lit(True).alias("_made")).distinct()
-            step = materialize(
-                at_once.join(fresh, [*keys, "_wanted"], "left").withColumn(
-                    "_path", F.when(F.col("_settled"), F.col("_path")).when(F.col("_made"), F.col("_wanted"))
-                ).select(*group, "_path")
-            )
-            now = undecided.join(step.filter(F.col("_path").isNotNull()), group)
-            decided = materialize(decided.unionByName(now.select(decided.columns)))
-            held = materialize(_held(held, now, subtree))
-            undecided = materialize(undecided.join(step.filter(F.col("_path").isNull()).select(group), group, "left_semi"))
-    if decided is None:
-        placed = marked.withColumn("path", fixed)
-    else:
-        answers = decided.select(*group, F.col("_path").alias("_answer")).distinct()
-        placed = marked.join(answers, group, "left").withColumn("path", F.coalesce("_answer", fixed)).drop("_answer")
+        .join(open_items.select(subtree).distinct(), subtree, "left_semi")
+        .groupBy(*subtree, "path", "item")
+        .agg(F.min("datestr").alias("datestr"))
+    )
+    events = held.withColumn("asks", F.lit(False)).unionByName(
+        open_items.withColumnRenamed("_wanted", "path").withColumn("asks", F.lit(True))
+    )
+    answers = _fold_subtrees(events, subtree, overlap, min_new)
+    placed = marked.join(answers, group, "left").withColumn("path", F.coalesce("_answer", fixed)).drop("_answer")
     placed = placed.withColumn("path", F.when(at_root, F.lit(ROOT)).otherwise(F.col("path")))
     if not with_route:
         return placed.drop("_wanted", "_domain", "_listed", "_in_domain")
@@ -193,29 +169,68 @@ def route_over_time(
     )
 
 
-def _held(held: DataFrame, decided: DataFrame, subtree: list[str]) -> DataFrame:
-    """The interval table with the items that decided groups add: per note and item the first day on which it is held."""
-    added = decided.filter(path_level("_path") == MAX_LEVEL).select(
-        *subtree, F.col("_path").alias("_sibling"), "item", F.col("datestr").alias("_first")
-    )
-    return held.unionByName(added).groupBy(*subtree, "_sibling", "item").agg(F.min("_first").alias("_first"))
-
+def _fold_subtrees(events: DataFrame, subtree: list[str], overlap: float, min_new: int) -> DataFrame:
+    """(subtree, _wanted, datestr, _answer) of every group of ``events`` that asks for a path.
 
-def _decide(undecided: DataFrame, held: DataFrame, group: list[str], overlap: float, min_new: int) -> DataFrame:
-    """``_path`` of every open group on the notes held before its day."""
-    sizes = undecided.groupBy(*group).agg(F.count("*").alias("_n"))
-    keys = [c for c in group if c not in ("_wanted", "datestr")]
-    covered = (
-        undecided.join(held, [*keys, "item"])
-        .filter(F.col("_first") < F.col("datestr"))
-        .groupBy(*group, "_sibling")
-        .agg(F.count("*").alias("_shared"))
-        .join(sizes, group)
-        .filter(F.col("_shared") >= overlap * F.col("_n"))
-    )
-    best = top_per_key(covered, group, [F.col("_shared").desc(), F.col("_sibling")], 1).select(*group, "_sibling")
-    path = F.coalesce("_sibling", F.when(F.col("_n") >= min_new, F.col("_wanted")).otherwise(F.col("_domain")))
-    return sizes.join(best, group, "left").select(*group, path.alias("_path"))
+    A partition is read in the order of subtree and day. Only the notes of one subtree and the groups of one day are held, which the
+    catalogue bounds; the rows of a subtree stream past, however many days it has.
+    """
+    keys = [f"_k{i}" for i in range(len(subtree))]
+    rows = events.select(*[F.col(c).alias(k) for c, k in zip(subtree, keys)], "datestr", "path", "item", "asks")
+    ordered = rows.repartition(*keys).sortWithinPartitions(*keys, "datestr", "path", "item")
+    schema = ordered.select(*keys, F.col("path").alias("_wanted"), "datestr", F.col("path").alias("_answer")).schema
+    domain = len(keys) - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        notes: dict[str, set[str]] = {}  # content of the notes before the day
+        holders: dict[str, set[str]] = {}  # notes by item
+        groups: dict[str, set[str]] = {}  # of the day
+        added: list[tuple[str, str]] = []  # to the notes by the day
+        current: tuple | None = None
+        out: list[tuple] = []
+
+        def close() -> None:
+            for wanted, items in groups.items():
+                answer = wanted
+                if wanted not in notes:
+                    shared = Counter(note for item in items for note in holders.get(item, ()))
+                    best = min(((-n, note) for note, n in shared.items() if n >= overlap * len(items)), default=None)
+                    answer = best[1] if best else wanted if len(items) >= min_new else current[domain]
+                out.append((*current, wanted, day, answer))
+                if answer != current[domain]:
+                    added.extend((answer, item) for item in items)
+            for note, item in added:
+                notes.setdefault(note, set()).add(item)
+                holders.setdefault(item, set()).add(note)
+            groups.clear()
+            added.clear()
+
+        day = None
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            for *key, when, path, item, asks in zip(*columns):
+                if tuple(key) != current or when != day:
+                    if current is not None:
+                        close()
+                    if tuple(key) != current:
+                        notes.clear()
+                        holders.clear()
+                    current, day = tuple(key), when
+                if asks:
+                    groups.setdefault(path, set()).add(item)
+                else:
+                    added.append((path, item))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), types)], types.names)
+                out.clear()
+        if current is not None:
+            close()
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), types)], types.names)
+
+    types = to_arrow_schema(schema)
+    found = ordered.mapInArrow(run, schema)
+    return found.select(*[F.col(k).alias(c) for c, k in zip(subtree, keys)], "_wanted", "datestr", "_answer")
 
 
 def assign_group(routed: DataFrame) -> DataFrame:

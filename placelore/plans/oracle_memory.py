@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from placelore.operators.context import KEYWORDS_LABEL, SUMMARY_LABEL, USER_INFO_LABEL
 from placelore.plans.oracle_base import IN_TEST
 from placelore.plans.oracle_eval import TOKEN, tokens
@@ -81,6 +83,19 @@ FROM {items} i LEFT JOIN {name}_route r ON i.axis <> 'user_info' AND r.idhash =
 """)
 
 
+def routed_daily(name: str, items: str) -> None:
+    """View ``name``: the days of ``items`` routed one after the other, each against the notes of the days before."""
+    days = [FIRST_DAY + timedelta(days=n) for n in range((LAST_DAY - FIRST_DAY).days + 1)]
+    for n, day in enumerate(days):
+        view(f"{name}_in{n}", f"SELECT * FROM {items} WHERE datestr = DATE '{day}'")
+        if n > 1:
+            view(f"{name}_held{n}", f"SELECT * FROM {name}_held{n - 1} UNION SELECT idhash, path, item FROM {name}_day{n - 1}")
+        elif n:
+            view(f"{name}_held1", f"SELECT DISTINCT idhash, path, item FROM {name}_day0")
+        routed(f"{name}_day{n}", f"{name}_in{n}", f"{name}_held{n}" if n else None)
+    view(name, " UNION ALL ".join(f"SELECT * FROM {name}_day{n}" for n in range(len(days))))
+
+
 RANK = "CASE axis WHEN 'user_info' THEN 3 WHEN 'explicit' THEN 2 ELSE 1 END"
 
 
@@ -122,7 +137,7 @@ routed("v_rtest", "v_test_profile", "v_train_items")
 routed("v_rday", "v_day_profile", "v_train_items")
 view("v_rupto", "SELECT * FROM v_rtrain UNION ALL SELECT * FROM v_rday")
 state("v_upto", "v_rupto")
-routed("v_rall", "v_profile", None)
+routed_daily("v_rall", "v_profile")
 state("v_all", "v_rall")
 view("v_rbase", "SELECT * FROM v_rall WHERE path IN (FROM v_taxonomy)")
 state("v_base", "v_rbase")
@@ -327,13 +342,13 @@ SELECT *, row_number() OVER (PARTITION BY idhash ORDER BY support DESC, item) AS
 FROM (SELECT idhash, item, sum(support) AS support, bool_or(axis = 'implicit') AS observed FROM v_all_items
       WHERE axis <> 'user_info' AND polarity > 0 AND (idhash, path) IN (SELECT (idhash, path) FROM v_paths) GROUP BY idhash, item)
 """)
-view("v_queries_vec", "SELECT label AS scope, min(vec_id) AS query FROM embeddings GROUP BY label")
+view("v_queries_vec", "SELECT 0 AS scope, vec_id AS query FROM embeddings WHERE vec_id % 50 = 0")
 view("v_dense", """
 SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM (
   SELECT q.query, e.vec_id AS doc, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(x.embedding AS DOUBLE[])), 6) AS score
-  FROM v_queries_vec q JOIN embeddings x ON x.vec_id = q.query JOIN embeddings e ON e.label = q.scope AND e.vec_id <> q.query)
+  FROM v_queries_vec q JOIN embeddings x ON x.vec_id = q.query JOIN embeddings e ON e.vec_id <> q.query)
 """)
-view("v_rrf_docs", "SELECT label AS scope, vec_id AS doc, text FROM embeddings JOIN documents ON doc_id = vec_id")
+view("v_rrf_docs", "SELECT 0 AS scope, vec_id AS doc, text FROM embeddings JOIN documents ON doc_id = vec_id")
 view("v_rrf_queries", "SELECT q.scope, q.query, d.text FROM v_queries_vec q JOIN documents d ON d.doc_id = q.query")
 bm25_views("v_rb", "v_rrf_docs", "v_rrf_queries")
 view("v_lexical", """
@@ -358,8 +373,7 @@ SELECT idhash, datestr, lag(datestr) OVER (PARTITION BY idhash ORDER BY datestr)
 
 # versions
 for _i, _day in enumerate(HEALTH_DATES):
-    view(f"v_h{_i}_profile", f"SELECT * FROM v_profile WHERE datestr <= DATE '{_day}'")
-    routed(f"v_h{_i}_routed", f"v_h{_i}_profile", None)
+    view(f"v_h{_i}_routed", f"SELECT * FROM v_rall WHERE datestr <= DATE '{_day}'")
     state(f"v_h{_i}", f"v_h{_i}_routed")
     merged(f"v_h{_i}m", f"v_h{_i}_items", f"v_h{_i}_notes", "idhash")
 

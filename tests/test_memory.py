@@ -108,7 +108,7 @@ def test_fold_without_backward_equals_closed_form(spark, taxonomy):
 UNLISTED = ["root > Dining > New", "root > Dining > Other", "root > Dining > Third", "root > Space > Moon", "root > Dining"]
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("seed", [1, 2])
 def test_routing_over_time_equals_routing_day_by_day(spark, taxonomy, seed):
     rng = random.Random(seed)
     rows = {
