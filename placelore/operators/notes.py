@@ -11,6 +11,7 @@ The content of a note is its set of (axis, item, polarity).
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from datetime import date
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -141,6 +142,49 @@ def apply_batch(
     return new_items, new_notes
 
 
+def item_versions(routed: DataFrame, keys: Sequence[str] = ("idhash",)) -> DataFrame:
+    """Validity intervals of the items of all notes, for the day-by-day update of ``routed`` from nothing.
+
+    A row holds from ``valid_from`` until before ``valid_to`` (NULL: until now). The rows valid on a day are the items that
+    ``apply_batch`` gives for the days up to it, so any version is read without folding again.
+    """
+    group = [*keys, "path", "item"]
+    daily = routed.groupBy(*group, F.col("datestr").alias("valid_from")).agg(
+        F.max(F.struct(axis_rank().alias("rank"), "polarity")).alias("_value"), F.sum("support").alias("support")
+    )
+    days = Window.partitionBy(*group).orderBy("valid_from")  # one row per day
+    return daily.select(
+        *group,
+        axis_of(F.col("_value.rank")).alias("axis"),
+        F.col("_value.polarity").alias("polarity"),
+        F.col("valid_from").alias("last_seen"),
+        F.sum("support").over(days.rowsBetween(Window.unboundedPreceding, 0)).alias("support"),
+        (F.lag("_value").over(days).isNull() | (F.lag("_value").over(days) != F.col("_value"))).alias("changed"),
+        "valid_from",
+        F.lead("valid_from").over(days).alias("valid_to"),
+    )
+
+
+def note_versions(items: DataFrame, keys: Sequence[str] = ("idhash",)) -> DataFrame:
+    """Validity intervals of the notes' counters, from the intervals of their items."""
+    group = [*keys, "path"]
+    days = Window.partitionBy(*group).orderBy("valid_from")  # one row per day on which the note changed
+    return items.filter("changed").select(*group, "valid_from").distinct().select(
+        *group,
+        F.row_number().over(days).cast("bigint").alias("updated_count"),
+        F.col("valid_from").alias("recently_updated"),
+        "valid_from",
+        F.lead("valid_from").over(days).alias("valid_to"),
+    )
+
+
+def versions_on(versions: DataFrame, run_dates: Sequence[date]) -> DataFrame:
+    """The rows of ``versions`` valid on each of ``run_dates``, with ``run_date`` in place of the interval."""
+    dates = F.array(*[F.lit(d) for d in run_dates])
+    valid = F.filter(dates, lambda d: (d >= F.col("valid_from")) & (F.col("valid_to").isNull() | (d < F.col("valid_to"))))
+    return versions.withColumn("run_date", F.explode(valid)).drop("valid_from", "valid_to", "changed")
+
+
 def note_content(items: DataFrame, keys: Sequence[str] = ("idhash",)) -> DataFrame:
     """Content of each note as one sorted text; bounded by the distinct items of a note."""
     entry = F.concat_ws(":", "axis", "item", F.col("polarity").cast("string"))

@@ -168,26 +168,30 @@ def rerank(items: DataFrame, candidates: DataFrame, poi: DataFrame) -> DataFrame
     return row_number(scores, ["idhash"], [F.desc("score"), F.col("sid")], [(F.floor("score"), True)], "rank")
 
 
-def persona_consistency(items: DataFrame) -> DataFrame:
-    """Jaccard of a user's preference items between consecutive versions (days with items)."""
-    sets = items.filter(F.col("axis") != "user_info").select("idhash", "datestr", "item").distinct()
-    sizes = sets.groupBy("idhash", "datestr").agg(F.count("*").alias("n"))
-    days = Window.partitionBy("idhash").orderBy("datestr")  # one row per day
+def persona_consistency(versions: DataFrame) -> DataFrame:
+    """Jaccard of a user's preferences between consecutive versions of the memory.
+
+    ``versions``: idhash, run_date and the items of the notes at that date. A preference is an item with its polarity, wherever it is
+    filed; demographics do not count. A user's first version has no row.
+    """
+    sets = versions.filter(F.col("axis") != "user_info").select("idhash", "run_date", "item", "polarity").distinct()
+    sizes = sets.groupBy("idhash", "run_date").agg(F.count("*").alias("n"))
+    runs = Window.partitionBy("idhash").orderBy("run_date")  # one row per version
     steps = sizes.select(
-        "idhash", "datestr", "n", F.lag("datestr").over(days).alias("previous"), F.lag("n").over(days).alias("n_previous")
+        "idhash", "run_date", "n", F.lag("run_date").over(runs).alias("previous"), F.lag("n").over(runs).alias("n_previous")
     ).filter(F.col("previous").isNotNull())
-    earlier = sets.select("idhash", F.col("datestr").alias("previous"), "item")
+    earlier = sets.select("idhash", F.col("run_date").alias("previous"), "item", "polarity")
     shared = (
-        sets.join(steps.select("idhash", "datestr", "previous"), ["idhash", "datestr"])
-        .join(earlier, ["idhash", "previous", "item"], "left_semi")
-        .groupBy("idhash", "datestr")
+        sets.join(steps.select("idhash", "run_date", "previous"), ["idhash", "run_date"])
+        .join(earlier, ["idhash", "previous", "item", "polarity"], "left_semi")
+        .groupBy("idhash", "run_date")
         .agg(F.count("*").alias("shared"))
     )
     union = F.col("n") + F.col("n_previous") - F.col("shared")
     return (
-        steps.join(shared, ["idhash", "datestr"], "left")
+        steps.join(shared, ["idhash", "run_date"], "left")
         .fillna(0, ["shared"])
-        .select("idhash", "datestr", F.round(F.col("shared") / union, 6).alias("consistency"))
+        .select("idhash", "run_date", F.round(F.col("shared") / union, 6).alias("consistency"))
     )
 
 

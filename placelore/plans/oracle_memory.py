@@ -366,16 +366,19 @@ SELECT a.idhash, a.path, b.path AS linked_path,
 FROM v_terms a JOIN v_terms b ON a.idhash = b.idhash AND a.item = b.item AND a.path <> b.path AND {prefix('a.path', 2)} <> {prefix('b.path', 2)}
 GROUP BY a.idhash, a.path, b.path
 """)
-view("v_day_items", "SELECT DISTINCT idhash, datestr, item FROM v_profile WHERE axis <> 'user_info'")
-view("v_steps", """
-SELECT idhash, datestr, lag(datestr) OVER (PARTITION BY idhash ORDER BY datestr) AS previous FROM (SELECT DISTINCT idhash, datestr FROM v_day_items)
-""")
 
 # versions
 for _i, _day in enumerate(HEALTH_DATES):
     view(f"v_h{_i}_routed", f"SELECT * FROM v_rall WHERE datestr <= DATE '{_day}'")
     state(f"v_h{_i}", f"v_h{_i}_routed")
     merged(f"v_h{_i}m", f"v_h{_i}_items", f"v_h{_i}_notes", "idhash")
+view("v_version_items", " UNION ".join(
+    f"SELECT idhash, DATE '{day}' AS run_date, item, polarity FROM v_h{i}_items WHERE axis <> 'user_info'" for i, day in enumerate(HEALTH_DATES)
+))
+view("v_version_steps", """
+SELECT idhash, run_date, lag(run_date) OVER (PARTITION BY idhash ORDER BY run_date) AS previous
+FROM (SELECT DISTINCT idhash, run_date FROM v_version_items)
+""")
 
 ORACLE = {
     "extract_profile": "FROM v_profile",
@@ -449,12 +452,12 @@ SELECT idhash, sid, score, row_number() OVER (PARTITION BY idhash ORDER BY score
   LEFT JOIN v_train_items i ON i.idhash = c.idhash AND i.axis <> 'user_info' AND list_contains(string_split(c.title, ' '), i.item)
   GROUP BY c.idhash, c.sid)""",
     "persona_consistency": """
-SELECT idhash, datestr, round(shared / CAST(n + n_previous - shared AS DOUBLE), 6) AS consistency FROM (
-  SELECT s.idhash, s.datestr, (SELECT count(*) FROM v_day_items a WHERE a.idhash = s.idhash AND a.datestr = s.datestr) AS n,
-         (SELECT count(*) FROM v_day_items b WHERE b.idhash = s.idhash AND b.datestr = s.previous) AS n_previous,
-         (SELECT count(*) FROM v_day_items a JOIN v_day_items b ON a.idhash = b.idhash AND a.item = b.item
-          WHERE a.idhash = s.idhash AND a.datestr = s.datestr AND b.datestr = s.previous) AS shared
-  FROM v_steps s WHERE previous IS NOT NULL)""",
+SELECT idhash, run_date, round(shared / CAST(n + n_previous - shared AS DOUBLE), 6) AS consistency FROM (
+  SELECT s.idhash, s.run_date, (SELECT count(*) FROM v_version_items a WHERE a.idhash = s.idhash AND a.run_date = s.run_date) AS n,
+         (SELECT count(*) FROM v_version_items b WHERE b.idhash = s.idhash AND b.run_date = s.previous) AS n_previous,
+         (SELECT count(*) FROM v_version_items a JOIN v_version_items b ON a.idhash = b.idhash AND a.item = b.item AND a.polarity = b.polarity
+          WHERE a.idhash = s.idhash AND a.run_date = s.run_date AND b.run_date = s.previous) AS shared
+  FROM v_version_steps s WHERE previous IS NOT NULL)""",
     "structural_health": " UNION ALL ".join(f"""
 SELECT DATE '{day}' AS run_date, round(avg({level('path')}), 6) AS mean_depth, round(count(*) / CAST(count(DISTINCT idhash) AS DOUBLE), 6) AS nodes_per_user,
        round(avg(CASE WHEN updated_count <= 2 AND DATE '{day}' - recently_updated > {MAX_AGE} THEN 1.0 ELSE 0.0 END)

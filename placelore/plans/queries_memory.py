@@ -223,21 +223,22 @@ def rerank(spark, d):
     return persona.rerank(inputs(spark, d).held, candidates, t.poi(spark, d))
 
 
+def stored_versions(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Validity intervals of the items and notes over the whole history, made by one fold and stored."""
+    items, taxonomy = profile_items(spark, d), cut_lineage(t.taxonomy(spark, d))
+    routed = routing.route_over_time(items, taxonomy, items.select("idhash", "path", "item").limit(0), with_route=False)
+    versions = cut_lineage(notes.item_versions(routed))
+    return versions, cut_lineage(notes.note_versions(versions))
+
+
 def persona_consistency(spark, d):
-    return persona.persona_consistency(profile_items(spark, d))
+    return persona.persona_consistency(notes.versions_on(stored_versions(spark, d)[0], HEALTH_DATES))
 
 
 def structural_health(spark, d):
     """Versions at several run dates, each with the merges its backward pass would do."""
-    dates = F.array(*[F.lit(x) for x in HEALTH_DATES])
-    items = profile_items(spark, d).withColumn(
-        "run_date", F.explode(F.filter(dates, lambda x: x >= F.col("datestr")))
-    )
-    keys = ("run_date", "idhash")
-    version_items, version_notes = (
-        cut_lineage(x) for x in memory.memory_closed_form(items, t.taxonomy(spark, d), keys, materialize=cut_lineage)
-    )
-    log = backward.merge_siblings(version_items, version_notes, keys)[2].filter(F.col("kind") == "full")
+    version_items, version_notes = (cut_lineage(notes.versions_on(v, HEALTH_DATES)) for v in stored_versions(spark, d))
+    log = backward.merge_siblings(version_items, version_notes, ("run_date", "idhash"))[2].filter(F.col("kind") == "full")
     return persona.structural_health(version_notes, log, max_age=MAX_AGE)
 
 

@@ -329,3 +329,21 @@ def test_variants_in_one_run(spark, taxonomy):
     assert by["full_context", 1]["precision@1"] == 1.0 and by["no_memory", 1]["precision@1"] == 0.0
     assert by["ours", 99]["mrr"] == 0.0
     assert all(0.0 <= r[m] <= 1.0 for r in out for m in evaluate.METRICS)
+
+
+def test_versions_are_read_from_intervals(spark):
+    rows = cut_lineage(random_daily(spark, 9))
+    items = cut_lineage(notes.item_versions(rows))
+    tree = cut_lineage(notes.note_versions(items))
+    runs = [day(2), day(7), day(11)]
+    held_items, held_notes = (cut_lineage(notes.versions_on(v, runs)) for v in (items, tree))
+    for run in runs:
+        want = notes.apply_batch(rows.filter(F.col("datestr") <= F.lit(run)))
+        now = F.col("run_date") == F.lit(run)
+        assert tables(*want) == tables(held_items.filter(now).select(want[0].columns), held_notes.filter(now).select(want[1].columns))
+
+
+def test_consistency_of_versions(spark):
+    rows = [(1, 0, "a", 1), (1, 0, "b", 1), (1, 1, "a", 1), (1, 1, "b", -1), (1, 1, "c", 1), (2, 1, "a", 1)]
+    versions = spark.createDataFrame([(u, day(d), i, "implicit", p) for u, d, i, p in rows], "idhash bigint, run_date date, item string, axis string, polarity bigint")
+    assert [tuple(r) for r in persona.persona_consistency(versions).collect()] == [(1, day(1), 0.25)]
