@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,9 +51,22 @@ _HELD: dict[str, Callable[[], None]] = {}
 
 def claim(owner: str, clear: Callable[[], None]) -> None:
     """Called by an operator inside a task: the worker drops the caches of other operators, so these never add up."""
-    for other in [o for o in _HELD if o != owner]:
+    others = [o for o in _HELD if o != owner]
+    for other in others:
         _HELD.pop(other)()
     _HELD[owner] = clear
+    if others:
+        _give_back()
+
+
+def _give_back() -> None:
+    """Freed memory goes back to the system, which neither Arrow nor the C library does by itself."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the GNU library
+        pass
 
 
 @contextmanager

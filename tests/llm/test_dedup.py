@@ -145,3 +145,9 @@ def test_components_of_a_long_chain(spark):
     edges = spark.range(1, 60).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     found = ngram_join.components(edges.unionByName(edges.filter("false"))).collect()
     assert {r["root"] for r in found} == {1} and len(found) == 60
+
+
+def test_smallest_and_largest_ids(spark):
+    rows = [(-(2**63), "a b"), (2**63 - 1, "ab"), (5, "c"), (-(2**63), "c")]
+    got = {(r["doc_id"], r["text_sha256"][:4]): r["keep_id"] for r in exact_dedup.exact_groups(frame(spark, rows)).collect()}
+    assert sorted(got.values()) == [-(2**63)] * 4 and len(got) == 4
