@@ -11,9 +11,11 @@ parts of an address, the first six digits of a card or phone number), counted ov
 when that wider class of terms stays below the threshold, and else removed, wherever it stands in a document that mentions
 the entity.
 
-A document's distinct terms meet its distinct entities, so the work grows with the documents that hold personal data, not
-with the corpus squared; counts are aggregated on the map side before they are shuffled. Document frequencies cover the
-whole corpus.
+A term is a run of two letters or digits or more, whatever stands around it; its occurrences outside base spans count, in n_et
+and in n_t alike. A document's distinct terms meet its distinct entities, so the work grows with the documents that hold personal
+data; counts are aggregated on the map side before they are shuffled. Only pairs that reach the support and, with n_t taken from
+the documents that may hold personal data, still the threshold, are counted over the whole corpus, inside its scan. Places
+are made only for disclosing terms, in the documents that name their entity.
 """
 
 from __future__ import annotations
@@ -35,9 +37,11 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 _PART = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9]?)"
-#: A term stands between white space or punctuation, so it is never a part of an address.
-_TERM = r"(?<=\s)\p{L}{3,40}(?=[\s,;:!?]|\.\s)"
-_WORD = r"\p{L}{3,40}"
+_TERM = r"[\p{L}\p{M}\p{N}]{2,}+"
+#: A text without any of these holds no base span.
+_HOLDS = r"@[A-Za-z0-9-]+[.][A-Za-z0-9-]|[0-9][.][0-9]+[.][0-9]+[.][0-9]|[0-9](?:[\x20-]?[0-9]){15}|\+[0-9][\x20().0-9-]+[0-9]"
+#: Candidate terms are looked up in a broadcast table up to these sizes, and joined by a shuffle beyond.
+BROADCAST_TERMS, BROADCAST_LETTERS = 200_000, 4_000_000
 
 
 #: Cheap conditions without which a pattern cannot match.
@@ -56,18 +60,21 @@ def _valid(kind: Column, value: Column) -> Column:
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """row, doc_id, text; written once, since numbers of rows may differ from one evaluation to the next."""
+    """row, doc_id, text; written once, since numbers of rows may differ from one evaluation to the next.
+
+    The text is kept only where it may hold a base span (else NULL).
+    """
     return stored(
         docs.select(
             F.col("doc_id").cast("bigint").alias("doc_id"),
-            F.coalesce("text", F.lit("")).alias("text"),
+            F.when(F.regexp("text", F.lit(_HOLDS)), F.col("text")).alias("text"),
             F.monotonically_increasing_id().alias("row"),
         )
     )
 
 
 def _matches(numbered: DataFrame) -> DataFrame:
-    """row, doc_id, kind, and the matches of that kind in order: number, value, code points before it since the last.
+    """row, kind, and the matches of that kind in order: number, value, code points before it since the last.
 
     Each text is looked at once per kind by one small expression whose pattern is a column; one large expression of
     all kinds makes the compiler of the JVM take more memory than the data.
@@ -75,16 +82,15 @@ def _matches(numbered: DataFrame) -> DataFrame:
     kinds = F.explode(
         F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(p).alias("pattern"), F.lit(GUARDS[k]).alias("guard")) for k, p in PATTERNS.items()])
     )
-    whole = numbered.select("row", "doc_id", "text", kinds.alias("k")).select("row", "doc_id", "text", "k.*")
+    whole = numbered.filter("text is not null").select("row", "text", kinds.alias("k")).select("row", "text", "k.*")
     # the text is cut at the matches; only where that gives more than one piece the matches are taken out too
-    cut = whole.withColumn("pieces", F.when(F.regexp("text", F.col("guard")), F.split("text", F.col("pattern"), -1)))
-    found = F.when(F.size("pieces") > 1, F.regexp_extract_all("text", F.col("pattern"), F.lit(0)))
-    took = cut.withColumn("values", F.coalesce(found, F.array().cast("array<string>")))
+    cut = whole.filter(F.regexp("text", F.col("guard"))).withColumn("pieces", F.split("text", F.col("pattern"), -1))
+    took = cut.filter(F.size("pieces") > 1).withColumn("values", F.regexp_extract_all("text", F.col("pattern"), F.lit(0)))
 
     def one(value: Column, i: Column) -> Column:
         return F.struct(i.alias("i"), value.alias("value"), F.length(F.get("pieces", i)).alias("gap"))
 
-    return stored(took.select("row", "doc_id", "kind", F.transform("values", one).alias("matches")))
+    return took.select("row", "kind", F.transform("values", one).alias("matches"))
 
 
 def _mentions(matches: DataFrame) -> DataFrame:
@@ -102,7 +108,7 @@ def _mentions(matches: DataFrame) -> DataFrame:
 
 
 def _entities(mentions: DataFrame, support: int) -> tuple[DataFrame, DataFrame]:
-    """Distinct row, entity: those to count (entities of enough documents and all classes), and those that judge each row."""
+    """Distinct row, entity: those to count (entities and classes of enough documents), and those that judge each row."""
     value = F.substring_index("entity", ":", -1)
     wide = (
         F.when(F.col("kind") == "email", F.concat(F.lit("domain:"), F.substring_index(value, "@", -1)))
@@ -112,28 +118,27 @@ def _entities(mentions: DataFrame, support: int) -> tuple[DataFrame, DataFrame]:
     each = mentions.select("row", "entity", wide.alias("class")).distinct()
     enough = each.groupBy("entity").agg((F.count(F.lit(1)) >= support).alias("enough"))
     known = stored(each.join(enough, "entity"))
-    classes = known.select("row", F.col("class").alias("entity"))
+    classes = known.select("row", F.col("class").alias("entity")).distinct()
+    common = classes.groupBy("entity").count().filter(F.col("count") >= support).select("entity")
     own = known.filter("enough").select("row", "entity")
-    return own.union(classes).distinct(), own.union(known.filter("not enough").select("row", F.col("class").alias("entity"))).distinct()
+    judging = own.union(known.filter("not enough").select("row", F.col("class").alias("entity"))).distinct()
+    return stored(own.union(classes.join(common, "entity").select("row", "entity"))), judging
 
 
-def _terms_of(numbered: DataFrame, mentions: DataFrame) -> DataFrame:
-    """row, term, start, end of every term, anywhere in the text, of the documents that mention an entity."""
-    # a space stands for either edge of the text
-    texts = numbered.join(mentions.select("row").distinct(), "row", "left_semi").select("row", F.concat(F.lit(" "), "text", F.lit(" ")).alias("s"))
-    found = texts.select(
-        "row", F.regexp_extract_all("s", F.lit(_TERM), F.lit(0)).alias("terms"), F.split("s", _TERM, -1).alias("gaps")
+def _terms_of(texts: DataFrame, mentions: DataFrame) -> DataFrame:
+    """row, term, start, end of every term of ``texts`` (row, text) that touches no base span."""
+    spans = mentions.groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    found = texts.join(spans, "row", "left").select(
+        "row", "spans", F.regexp_extract_all("text", F.lit(_TERM), F.lit(0)).alias("terms"), F.split("text", _TERM, -1).alias("gaps")
     ).filter(F.size("terms") > 0)
-    each = found.select("row", F.posexplode(F.arrays_zip(F.col("terms").alias("term"), F.col("gaps").alias("gap"))).alias("i", "t"))
+    each = found.select("row", "spans", F.posexplode(F.arrays_zip(F.col("terms").alias("term"), F.col("gaps").alias("gap"))).alias("i", "t"))
     so_far = Window.partitionBy("row").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    placed = each.select("row", "i", "t.term", "t.gap").filter("term is not null").withColumn(
-        "end", F.sum(F.length("gap") + F.length("term")).over(so_far) - 1
-    )
-    placed = placed.select("row", F.lower("term").alias("term"), (F.col("end") - F.length("term")).alias("start"), "end")
-    # a term never touches a base span's text
-    spans = mentions.groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    placed = each.select("row", "spans", "i", "t.term", "t.gap").filter("term is not null").withColumn(
+        "end", F.sum(F.length("gap") + F.length("term")).over(so_far)
+    ).withColumn("start", F.col("end") - F.length("term"))
     inside = F.exists("spans", lambda m: (m["start"] < F.col("end")) & (m["end"] > F.col("start")))
-    return placed.join(spans, "row").filter(~inside).select("row", "term", "start", "end")
+    outside = F.col("spans").isNull() | ~inside
+    return placed.filter(outside).select("row", F.lower("term").alias("term"), "start", "end")
 
 
 def _general(term: Column) -> Column:
@@ -144,39 +149,54 @@ def _with_classes(terms: Column) -> Column:
     return F.array_distinct(F.concat(terms, F.transform(terms, _general)))
 
 
-def document_frequencies(docs: DataFrame) -> DataFrame:
-    """term, n_t over all documents, for terms and their generalisations."""
-    words = F.transform(F.regexp_extract_all("text", F.lit(_WORD), F.lit(0)), F.lower)
-    return docs.filter("text is not null").select(F.explode(_with_classes(words)).alias("term")).groupBy("term").agg(
-        F.count(F.lit(1)).alias("n_t")
-    )
+def _of_bounded_size(terms: DataFrame) -> DataFrame:
+    """Broadcast hint when the stored ``terms`` stay below the bounds in rows and letters, else unchanged."""
+    rows, letters = terms.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("term")), F.lit(0))).first()
+    return F.broadcast(terms) if rows <= BROADCAST_TERMS and letters <= BROADCAST_LETTERS else terms
+
+
+def _frequencies(held: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
+    """term, n_t: rows whose ``terms``, with their generalisations, hold the term."""
+    each = held.select(F.explode(_with_classes(F.col("terms"))).alias("term"))
+    if candidates is not None:
+        each = each.join(candidates, "term", "left_semi")
+    return each.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
 
 
 def disclosing_terms(
-    docs: DataFrame, entities: DataFrame, terms: DataFrame, total: int, disclosure: float = DISCLOSURE, support: int = SUPPORT
+    docs: DataFrame, entities: DataFrame, held: DataFrame, total: int, disclosure: float = DISCLOSURE, support: int = SUPPORT
 ) -> DataFrame:
-    """entity, term, share, action (generalise or remove), replacement of the terms that reach the threshold."""
-    classes = F.explode(_with_classes(F.array("term"))).alias("term")
-    seen = terms.select("row", "term").distinct().select("row", classes).distinct().join(entities, "row")
+    """entity, term, share, action (generalise or remove), replacement of the terms that reach the threshold.
+
+    ``held`` (row, terms) are the distinct terms of the documents that may hold personal data; all others are read from ``docs``.
+    """
+    seen = held.join(entities, "row").select("entity", F.explode(_with_classes(F.col("terms"))).alias("term"))
     together = seen.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et")).filter(F.col("n_et") >= support)
-    alone = entities.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
+    alone = entities.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).filter(F.col("n_e") < total)
     information = F.log(F.lit(float(total)) / F.col("n_e"))
-    share = 1 - F.log(F.greatest(F.col("n_t"), F.col("n_et")) / F.col("n_et")) / information
-    shares = stored(
+    share = 1 - F.log(F.col("n_t") / F.col("n_et")) / information
+    # documents that may hold personal data give a lower bound of n_t, so an upper bound of the share
+    possible = stored(
         together.join(alone, "entity")
-        .filter(F.col("n_e") < total)
-        .join(document_frequencies(docs), "term")
-        .select("entity", "term", share.alias("share"))
+        .join(_frequencies(held).withColumnRenamed("n_t", "_some"), "term")
+        .filter(1 - F.log(F.col("_some") / F.col("n_et")) / information >= disclosure)
+    )
+    candidates = _of_bounded_size(stored(possible.select("term", F.col("_some").alias("n_t")).distinct()))
+    words = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(_TERM), F.lit(0)), F.lower))
+    others = docs.filter(~F.regexp("text", F.lit(_HOLDS))).select(words.alias("terms"))  # NULL texts drop out
+    counts = candidates.unionByName(_frequencies(others, candidates.select("term"))).groupBy("term").agg(F.sum("n_t").alias("n_t"))
+    shares = stored(
+        possible.join(counts, "term").select("entity", "term", share.alias("share")).filter(F.col("share") >= disclosure)
     )
-    wide = shares.select("entity", F.col("term").alias("class"), F.col("share").alias("class_share"))
+    wide = shares.select("entity", F.col("term").alias("class"), F.lit(True).alias("_wide"))
     return (
-        shares.filter((F.col("share") >= disclosure) & ~F.col("term").endswith("*"))
+        shares.filter(~F.col("term").endswith("*"))
         .withColumn("class", _general(F.col("term")))
         .join(wide, ["entity", "class"], "left")
         .select(
             "entity", "term", "share",
-            F.when(F.col("class_share") >= disclosure, "remove").otherwise("generalise").alias("action"),
-            F.when(F.col("class_share") >= disclosure, "").otherwise(F.col("class")).alias("replacement"),
+            F.when(F.col("_wide"), "remove").otherwise("generalise").alias("action"),
+            F.when(F.col("_wide"), "").otherwise(F.col("class")).alias("replacement"),
         )
     )
 
@@ -190,19 +210,17 @@ def find(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT
     not read.
     """
     numbered = _numbered(docs)
-    matches = _matches(numbered)
-    rows = matches.filter(F.col("kind") == KINDS[0])
-    total = rows.count()
-    mentions = _mentions(matches)
+    total = numbered.count()
+    mentions = _mentions(_matches(numbered))
     counted, judging = _entities(mentions, support)
-    whole = stored(_terms_of(numbered, mentions))
-    telling = disclosing_terms(docs.select("text"), counted, whole, max(total, 1), disclosure, support)
-    pairs = judging.join(telling.select("entity", "term", "replacement"), "entity")
-    named = pairs.groupBy("row", "term").agg(F.min("replacement").alias("replacement"))  # one row per term of a document
+    texts = numbered.filter("text is not null").select("row", "text")
+    held = stored(_terms_of(texts, mentions).groupBy("row").agg(F.collect_set("term").alias("terms")))
+    telling = disclosing_terms(docs.select("text"), counted, held, max(total, 1), disclosure, support)
+    judged = judging.join(telling.select("entity", "term", "replacement"), "entity")
+    named = stored(judged.groupBy("row", "term").agg(F.min("replacement").alias("replacement")))  # removal, the empty string, wins
     terms = (
-        whole.join(named, ["row", "term"])
-        .groupBy("row", "start", "end")
-        .agg(F.min("replacement").alias("replacement"))  # removal, the empty string, wins
+        _terms_of(texts.join(named.select("row").distinct(), "row", "left_semi"), mentions)
+        .join(named, ["row", "term"])
         .select("row", F.lit("term").alias("kind"), "start", "end", "replacement")
     )
     number = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int")
@@ -213,7 +231,7 @@ def find(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT
         .agg(F.sort_array(F.collect_set(F.struct(number.alias("kind_no"), "start", "end", "kind", "replacement"))).alias("spans"))
     )
     empty = F.array().cast("array<struct<kind_no:int,start:bigint,end:bigint,kind:string,replacement:string>>")
-    return rows.select("row", "doc_id").join(spans, "row", "left").select("doc_id", F.coalesce("spans", empty).alias("spans"))
+    return numbered.select("row", "doc_id").join(spans, "row", "left").select("doc_id", F.coalesce("spans", empty).alias("spans"))
 
 
 def written(spans: Column) -> Column:

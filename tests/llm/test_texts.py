@@ -1,11 +1,13 @@
 """Decontamination, SentencePiece, token counts, toxicity, quality, licences and personal data."""
 
 import itertools
+import math
 import random
 import re
 
 import public_tokenizers
 import pytest
+import regex
 
 from placelore.llm import decontaminate, license_scan, pii, quality, sentencepiece, token_counts, toxicity
 from placelore.llm.queries import PIECE_MODEL
@@ -363,3 +365,67 @@ def test_terms_disclose_in_the_whole_text_and_for_sparse_entities(spark):
 
     assert all(terms(i).count("zorblatt") == 2 for i in range(4))
     assert all("quimbus" in terms(10 + i) for i in range(5)) and all(not terms(100 + i) for i in range(400))
+
+
+def disclosing_spans(texts, disclosure, support):
+    """The term spans of each text, from the definitions alone: every entity against every term."""
+    spans = [[(k, int(a), int(b)) for k, a, b in (s.split(":") for s in base_spans(t).split(",") if s)] for t in texts]
+    words = [
+        [
+            (m.group().lower(), m.start(), m.end())
+            for m in regex.finditer(r"[\p{L}\p{M}\p{N}]{2,}", t or "")
+            if not any(a < m.end() and b > m.start() for _, a, b in s)
+        ]
+        for t, s in zip(texts, spans)
+    ]
+    terms = [{w for w, _, _ in ws} | {w[:3] + "*" for w, _, _ in ws} for ws in words]
+    own, wide = [], []
+    for t, s in zip(texts, spans):
+        own.append({}), wide.append(set())
+        for kind, a, b in s:
+            value = t[a:b].lower() if kind in ("email", "ip") else regex.sub("[^0-9]", "", t[a:b])
+            outer = {"email": value.split("@")[-1], "ip": ".".join(value.split(".")[:3])}.get(kind, value[:6])
+            own[-1][kind, value] = ("class", kind, outer)
+            wide[-1].add(("class", kind, outer))
+    holders = {}
+    for i in range(len(texts)):
+        for e in {*own[i], *wide[i]}:
+            holders.setdefault(e, set()).add(i)
+    n = len(texts)
+
+    def share(e, w):
+        both = sum(w in terms[i] for i in holders[e])
+        if both < support or len(holders[e]) == n:
+            return 0.0
+        return 1 - math.log(sum(w in ts for ts in terms) / both) / math.log(n / len(holders[e]))
+
+    out = []
+    for i in range(n):
+        judges = {e if len(holders[e]) >= support else c for e, c in own[i].items()}
+        out.append(sorted({
+            (a, b, min("" if share(e, w[:3] + "*") >= disclosure else w[:3] + "*" for e in judges if share(e, w) >= disclosure))
+            for w, a, b in words[i] if any(share(e, w) >= disclosure for e in judges)
+        }))
+    return out
+
+
+def test_term_spans_equal_the_definition(spark, monkeypatch):
+    rng = random.Random(21)
+    names = ["zorblatt", "zora", "quimby", "Li", "李明", "agent7", "7788", "ordinary", "order", "calm", "sea", "é", "x"]
+    people = ["joe@x.org", "ann@x.org", "10.2.3.4", "10.2.3.9", "4111 1111 1111 1111", "+49 30 1234567", "li@q.cn"]
+    texts = []
+    for i in range(160):
+        who = rng.choice([*people, None, None, None, None, None])
+        near = names[people.index(who) : people.index(who) + 2] if who else []
+        parts = [rng.choice(names[7:]) for _ in range(rng.randrange(6))] + [w for w in near for _ in range(rng.randrange(3))]
+        parts += [who] if who else []
+        rng.shuffle(parts)
+        texts.append("".join(rng.choice(["({}) ", "'{}' ", "{}-man ", "{}, ", "{} ", "«{}»"]).format(p) for p in parts))
+    texts += [None, "", texts[0], texts[1]]
+    want = disclosing_spans(texts, 0.6, 3)
+    assert sum(map(len, want)) > 20 and {r[2] == "" for w in want for r in w} == {True, False}
+    for limit in (pii.BROADCAST_TERMS, 0):  # looked up in a broadcast table, and joined by a shuffle
+        monkeypatch.setattr(pii, "BROADCAST_TERMS", limit)
+        found = {r["doc_id"]: r["spans"] for r in pii.find(frame(spark, list(enumerate(texts))), 0.6).collect()}
+        got = [sorted((s["start"], s["end"], s["replacement"]) for s in found[i] if s["kind"] == "term") for i in range(len(texts))]
+        assert got == want
