@@ -2,9 +2,9 @@
 
 Texts and benchmark items are sequences of lower-cased letter-and-digit words. Runs of ``seed`` words that a document
 shares with an item are the seeds of the join. For each (document, item) pair with seeds, running
-Karp-Rabin searches for matches of a length that is lowered step by step; the longest matches are marked first
-and never overlap. The share of the item's words under tiles of at least ``seed`` words is its coverage; as tiles may
-stand in any order, reordered passages are caught.
+Karp-Rabin searches for matches of a length that is lowered step by step; the longest matches are marked first (of
+equals the earlier in the item, then in the text) and never overlap. The share of the item's words under tiles of at
+least ``seed`` words is its coverage; as tiles may stand in any order, reordered passages are caught.
 
 While the benchmark has at most ``LOCAL_WORDS`` words it travels with the tasks and documents are read once,
 without a shuffle. A larger benchmark is joined by the hashes of its seeds instead, with the same results.
@@ -15,6 +15,8 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -67,7 +69,10 @@ hash_of = _HASHES.__getitem__
 
 
 def tiles(item: list[str], text: list, seed: int = SEED) -> list[tuple[int, int, int]]:
-    """Greedy string tiling: (start in item, start in text, length), longest first; None in ``text`` matches nothing."""
+    """Greedy string tiling: (start in item, start in text, length); None in ``text`` matches nothing.
+
+    The longest free match is marked first, of equals the one that starts earlier in the item, then in the text.
+    """
     item_marked, text_marked = [False] * len(item), [False] * len(text)
     out: list[tuple[int, int, int]] = []
     length = max(seed, len(item))
@@ -91,15 +96,22 @@ def tiles(item: list[str], text: list, seed: int = SEED) -> list[tuple[int, int,
                             n += 1
                         if n >= length:
                             found.append((n, i, at))
-        again = False
-        for n, i, at in sorted(found, key=lambda m: (-m[0], m[1], m[2])):
-            if any(item_marked[i : i + n]) or any(text_marked[at : at + n]):
-                again = True  # what is left of it may still be a match of this length
+        # the longest free match comes next; what is left of one that meets a tile goes back into the queue
+        queue = [(-n, i, at) for n, i, at in found]
+        heapify(queue)
+        while queue:
+            n, i, at = heappop(queue)
+            free = [not (item_marked[i + k] or text_marked[at + k]) for k in range(-n)]
+            if all(free):
+                item_marked[i : i - n] = text_marked[at : at - n] = [True] * -n
+                out.append((i, at, -n))
                 continue
-            item_marked[i : i + n] = text_marked[at : at + n] = [True] * n
-            out.append((i, at, n))
-        if again:
-            continue
+            k = 0
+            for is_free, part in groupby(free):
+                size = len(list(part))
+                if is_free and size >= length:
+                    heappush(queue, (-size, i + k, at + k))
+                k += size
         if length == seed:
             return out
         length = max(seed, length // 2)
