@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from datetime import date
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from placelore.functions.dimension import places_of
 from placelore.functions.skew import row_number, top_per_key
 from placelore.functions.text import SEP, ordered_concat, path_level, path_parent, path_prefix
+from placelore.operators.notes import axis_rank
 from placelore.operators.retrieval import bm25_scores
 
+HALF_LIFE = 7.0  # days
+
 
 def note_documents(notes: DataFrame, items: DataFrame) -> DataFrame:
     """Path and items of each note as a retrieval document of the user's scope."""
@@ -109,13 +114,42 @@ def cross_links(items: DataFrame, threshold: float = 0.5) -> DataFrame:
     return linked.select("idhash", F.inline(ways), F.round("_j", 6).alias("score"))
 
 
-def surprise_priority(items: DataFrame, new_items: DataFrame, taxonomy: DataFrame) -> DataFrame:
-    """``-ln`` of the smoothed share of the new item's domain in the user's memory."""
+def conflict(items: DataFrame, new_items: DataFrame, as_of: date, half_life: float = HALF_LIFE) -> DataFrame:
+    """(idhash, path, item, contradiction) of every new item: how far the memory holds the opposite.
+
+    What is held about an item, wherever it stands in the user's tree, is weighed by its support, halved with every ``half_life``
+    days since it was last seen. The score is the weight of the polarity opposite to the new item's newest one over one plus
+    all weight, so it lies in [0, 1) and is 0 for items not held. Held items become one row per (user, item) before they
+    are joined.
+    """
+    age = F.greatest(F.datediff(F.lit(as_of), "last_seen"), F.lit(0))
+    weight = F.col("support") * F.pow(F.lit(0.5), age / F.lit(float(half_life)))
+
+    def weight_of(sign: Column) -> Column:
+        return F.sum(F.when(sign, weight).otherwise(0.0))
+
+    held = items.filter(F.col("axis") != "user_info").groupBy("idhash", "item").agg(
+        weight_of(F.col("polarity") > 0).alias("_likes"), weight_of(F.col("polarity") < 0).alias("_dislikes")
+    )
+    newest = F.max(F.struct("datestr", axis_rank().alias("rank"), "polarity")).alias("_newest")
+    new = new_items.filter(F.col("axis") != "user_info").groupBy("idhash", "path", "item").agg(newest)
+    sign = F.col("_newest.polarity")
+    opposite = F.when(sign > 0, F.col("_dislikes")).when(sign < 0, F.col("_likes")).otherwise(0.0)
+    return (
+        new.join(held, ["idhash", "item"], "left")
+        .fillna(0.0, ["_likes", "_dislikes"])
+        .select("idhash", "path", "item", (opposite / (1 + F.col("_likes") + F.col("_dislikes"))).alias("contradiction"))
+    )
+
+
+def novelty(items: DataFrame, new_items: DataFrame, taxonomy: DataFrame) -> DataFrame:
+    """(idhash, path, item, novelty): ``-ln`` of the smoothed share of the new item's domain in the user's memory."""
     held = items.filter(F.col("axis") != "user_info").groupBy("idhash", path_prefix("path", 2).alias("domain")).agg(
         F.sum("support").alias("in_domain")
     )
     totals = held.groupBy("idhash").agg(F.sum("in_domain").alias("in_memory"))
     n_domains = taxonomy.filter(path_level("path") == 2).agg(F.count("*")).scalar()
+    share = (F.col("in_domain") + 1) / (F.col("in_memory") + n_domains)
     return (
         new_items.filter(F.col("axis") != "user_info")
         .select("idhash", "path", "item", path_prefix("path", 2).alias("domain"))
@@ -123,10 +157,25 @@ def surprise_priority(items: DataFrame, new_items: DataFrame, taxonomy: DataFram
         .join(held, ["idhash", "domain"], "left")
         .join(totals, "idhash", "left")
         .fillna(0, ["in_domain", "in_memory"])
-        .select(
-            "idhash", "path", "item",
-            F.round(-F.log((F.col("in_domain") + 1) / (F.col("in_memory") + n_domains)), 6).alias("score"),
-        )
+        .select("idhash", "path", "item", (-F.log(share)).alias("novelty"))
+    )
+
+
+def surprise_priority(
+    items: DataFrame, new_items: DataFrame, taxonomy: DataFrame, as_of: date, half_life: float = HALF_LIFE
+) -> DataFrame:
+    """Storage priority of new items: expected ones score low, novel ones and those that contradict the memory high.
+
+    ``score`` is the sum of ``novelty`` and ``contradiction``.
+    """
+    both = novelty(items, new_items, taxonomy).join(
+        conflict(items, new_items, as_of, half_life), ["idhash", "path", "item"]
+    )
+    return both.select(
+        "idhash", "path", "item",
+        F.round("novelty", 6).alias("novelty"),
+        F.round("contradiction", 6).alias("contradiction"),
+        F.round(F.col("novelty") + F.col("contradiction"), 6).alias("score"),
     )
 
 

@@ -11,11 +11,12 @@ from placelore.functions.skew import cut_lineage, previous_row, running_sum
 from placelore.functions.text import has_text
 from placelore.operators.enrich import day_name
 
+GAP_MINUTES = 60
 
 def sessions(
     clicks: DataFrame,
     places: DataFrame,
-    gap_minutes: int = 60,
+    gap_minutes: int = GAP_MINUTES,
     place: str = "sid",
     materialize: Callable[[DataFrame], DataFrame] = cut_lineage,
 ) -> DataFrame:
@@ -64,3 +65,27 @@ def sessions(
             "query", "title", "top_category", "region", "review_top_display",
         )
     )
+
+
+def place_sessions(
+    clicks: DataFrame, gap_minutes: int = GAP_MINUTES, materialize: Callable[[DataFrame], DataFrame] = cut_lineage
+) -> DataFrame:
+    """(idhash, sid, start_ts, end_ts, n_clicks): visits of a user to one place, whatever lies between them.
+
+    A click opens a visit when more than ``gap_minutes`` passed since the user's previous click on the place. Clicks without user,
+    place, number or time belong to none. ``streaming.sessions.place_sessions`` gives the same rows from a stream. A hot
+    (user, place) is cut into hours.
+    """
+    hour = [(F.date_trunc("hour", "etimestamp"), False)]
+    keys, order = ["idhash", "sid"], ["etimestamp", "event_id"]
+    rows = clicks.select(*keys, *order).na.drop()
+    linked = previous_row(rows, keys, order, hour, ["etimestamp"], "_prev")
+    gap = F.unix_micros(F.col("etimestamp").cast("timestamp")) - F.unix_micros(F.col("_prev.etimestamp").cast("timestamp"))
+    opens = F.when(gap <= gap_minutes * 60 * 1_000_000, 0).otherwise(1)
+    flagged = materialize(linked.select(*keys, *order, opens.alias("opens")))
+    numbered = running_sum(flagged, keys, [F.col(c) for c in order], hour, F.col("opens"), "_visit")
+    return (
+        numbered.groupBy(*keys, "_visit")
+        .agg(F.min("etimestamp").alias("start_ts"), F.max("etimestamp").alias("end_ts"), F.count("*").alias("n_clicks"))
+        .drop("_visit")
+    )

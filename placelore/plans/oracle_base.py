@@ -234,6 +234,13 @@ SELECT idhash, CAST(session_id AS BIGINT) AS session_id, min(etimestamp) AS star
        first(region ORDER BY etimestamp, event_id) AS region,
        first(review_top_display ORDER BY etimestamp, event_id) AS review_top_display
 FROM v_session_rows GROUP BY idhash, session_id""",
+    "place_sessions": f"""
+SELECT idhash, sid, min(etimestamp) AS start_ts, max(etimestamp) AS end_ts, count(*) AS n_clicks
+FROM (SELECT *, sum(opens) OVER (PARTITION BY idhash, sid ORDER BY etimestamp, event_id) AS visit
+      FROM (SELECT *, CASE WHEN etimestamp - lag(etimestamp) OVER (PARTITION BY idhash, sid ORDER BY etimestamp, event_id) <= INTERVAL {SESSION_GAP_MINUTES} MINUTE
+                           THEN 0 ELSE 1 END AS opens
+            FROM v_clicks WHERE idhash IS NOT NULL AND sid IS NOT NULL AND event_id IS NOT NULL AND etimestamp IS NOT NULL))
+GROUP BY idhash, sid, visit""",
     "reviews_for_day": f"""
 SELECT idhash, review_id, review_group_id, place_id, created_date, text_review, concat(lang, ',', source) AS keywords
 FROM v_reviews WHERE CAST(updated_time AS DATE) = DATE '{REVIEW_DAY}' AND idhash IN (FROM v_train_users)""",

@@ -439,11 +439,21 @@ LEFT JOIN (SELECT idhash, string_agg(item, ', ' ORDER BY rank) FILTER (rank <= 5
                   string_agg(item, ', ' ORDER BY rank) FILTER (observed AND observed_rank <= 3) AS patterns FROM v_traits GROUP BY idhash) USING (idhash)""",
     "cross_links": f"SELECT idhash, path, linked_path, round(score, 6) AS score FROM v_links WHERE score >= {LINK_THRESHOLD}",
     "surprise_priority": f"""
-SELECT n.idhash, n.path, n.item, round(-ln((coalesce(in_domain, 0) + 1) / CAST(coalesce(in_memory, 0) + (SELECT count(*) FROM v_taxonomy WHERE {level('path')} = 2) AS DOUBLE)), 6) AS score
-FROM (SELECT DISTINCT idhash, path, item FROM v_rtest WHERE axis <> 'user_info') n
-LEFT JOIN (SELECT idhash, {prefix('path', 2)} AS domain, sum(support) AS in_domain FROM v_train_items WHERE axis <> 'user_info' GROUP BY ALL) d
-  ON d.idhash = n.idhash AND d.domain = {prefix('n.path', 2)}
-LEFT JOIN (SELECT idhash, sum(support) AS in_memory FROM v_train_items WHERE axis <> 'user_info' GROUP BY idhash) m ON m.idhash = n.idhash""",
+SELECT idhash, path, item, round(novelty, 6) AS novelty, round(contradiction, 6) AS contradiction, round(novelty + contradiction, 6) AS score
+FROM (
+  SELECT n.idhash, n.path, n.item,
+         -ln((coalesce(in_domain, 0) + 1) / CAST(coalesce(in_memory, 0) + (SELECT count(*) FROM v_taxonomy WHERE {level('path')} = 2) AS DOUBLE)) AS novelty,
+         coalesce(CASE WHEN n.polarity > 0 THEN dislikes WHEN n.polarity < 0 THEN likes END, 0.0) / (1 + coalesce(likes, 0.0) + coalesce(dislikes, 0.0)) AS contradiction
+  FROM (SELECT *, row_number() OVER (PARTITION BY idhash, path, item ORDER BY datestr DESC, {RANK} DESC, polarity DESC) AS rn
+        FROM v_rtest WHERE axis <> 'user_info') n
+  LEFT JOIN (SELECT idhash, {prefix('path', 2)} AS domain, sum(support) AS in_domain FROM v_train_items WHERE axis <> 'user_info' GROUP BY ALL) d
+    ON d.idhash = n.idhash AND d.domain = {prefix('n.path', 2)}
+  LEFT JOIN (SELECT idhash, sum(support) AS in_memory FROM v_train_items WHERE axis <> 'user_info' GROUP BY idhash) m ON m.idhash = n.idhash
+  LEFT JOIN (
+    SELECT idhash, item, coalesce(sum(weight) FILTER (polarity > 0), 0.0) AS likes, coalesce(sum(weight) FILTER (polarity < 0), 0.0) AS dislikes
+    FROM (SELECT *, support * pow(0.5, greatest(DATE '{W.test_end}' - last_seen, 0) / CAST({HALF_LIFE} AS DOUBLE)) AS weight
+          FROM v_train_items WHERE axis <> 'user_info') GROUP BY idhash, item) h ON h.idhash = n.idhash AND h.item = n.item
+  WHERE n.rn = 1)""",
     "rerank": f"""
 SELECT idhash, sid, score, row_number() OVER (PARTITION BY idhash ORDER BY score DESC, sid) AS rank FROM (
   SELECT c.idhash, c.sid, round(CAST(coalesce(sum(support * polarity * (CASE WHEN i.path = c.category_path AND {level('i.path')} = 3 THEN 1.0

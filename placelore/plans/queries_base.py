@@ -126,6 +126,10 @@ def sessions_query(spark, d):
     return sessions.sessions(clicks, places, SESSION_GAP_MINUTES, place="top_category")
 
 
+def place_sessions(spark, d):
+    return sessions.place_sessions(t.clicks(spark, d), SESSION_GAP_MINUTES)
+
+
 def reviews_for_day(spark, d):
     return reviews.reviews_for_day(t.reviews(spark, d), train_users(spark, d), REVIEW_DAY).select(
         "idhash",
@@ -195,6 +199,6 @@ QUERIES = {
         select_users, ground_truth, recency, engagement_score, daily_activity_rollup, exploratory_vs_confirmed,
         user_hash, change_status, resume_pending, demo_dedup, enrich_clicks, enrich_saves, enrich_reviews,
         review_rank_pct, reviews_for_day, review_clean, review_dedup, review_rows, review_chunks, review_quality,
-        review_eligible, review_sample,
+        review_eligible, review_sample, place_sessions,
     )
 } | {"sessions": sessions_query}

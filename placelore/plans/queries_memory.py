@@ -215,7 +215,7 @@ def cross_links(spark, d):
 
 def surprise_priority(spark, d):
     made = inputs(spark, d)
-    return persona.surprise_priority(made.held, made.routed(*base.TEST), made.taxonomy)
+    return persona.surprise_priority(made.held, made.routed(*base.TEST), made.taxonomy, base.W.test_end, HALF_LIFE)
 
 
 def rerank(spark, d):

@@ -26,5 +26,6 @@ FEW_SHOT_RICH, FEW_SHOT_SPARSE = "rich", "sparse"
 PREDICTION_TEMPLATE = "memory:\n{memory_context}\ncategories: {category_list}\nanswer with ten categories"
 ATTRIBUTES = ["segment", "nation"]
 MAX_AGE = 10  # days; the test data spans a month
+HALF_LIFE = 7  # days; held evidence weighs half as much after them
 LINK_THRESHOLD = 0.5
 HEALTH_DATES = [date(2024, 1, 9), date(2024, 1, 16), date(2024, 1, 23), LAST_DAY]

@@ -12,6 +12,7 @@ D = date(2024, 1, 1)
 ITEMS = "idhash bigint, path string, item string, axis string, polarity bigint, last_seen date, support bigint"
 NOTES = "idhash bigint, path string, updated_count bigint, recently_updated date"
 DAILY = "idhash bigint, axis string, item string, path string, polarity bigint, datestr date, support bigint"
+NEW_ITEMS = "idhash bigint, axis string, item string, path string, polarity int, datestr date"
 TAXONOMY = ["root", "root > Dining", "root > Dining > Korean", "root > Dining > Chinese", "root > Sports", "root > Sports > Tennis"]
 
 
@@ -306,10 +307,42 @@ def test_cross_links_against_all_pairs(spark):
 def test_surprise_of_a_new_domain_is_higher(spark, taxonomy):
     items, _ = state(spark, {"root > Dining > Korean": ["a", "b"]})
     new = spark.createDataFrame(
-        [(1, "implicit", "n", "root > Dining"), (1, "implicit", "n", "root > Sports")], "idhash bigint, axis string, item string, path string"
+        [(1, "implicit", "n", "root > Dining", 1, D), (1, "implicit", "n", "root > Sports", 1, D)], NEW_ITEMS
     )
-    scores = {r.path: r.score for r in persona.surprise_priority(items, new, taxonomy).collect()}
-    assert scores["root > Sports"] > scores["root > Dining"] > 0
+    scores = {r.path: r for r in persona.surprise_priority(items, new, taxonomy, D).collect()}
+    assert scores["root > Sports"].score > scores["root > Dining"].score > 0
+    assert all(r.contradiction == 0 and r.score == r.novelty for r in scores.values())
+
+
+def test_contradiction_weighs_the_opposite_by_support_and_age(spark):
+    held = spark.createDataFrame(
+        [
+            (1, "root > A", "tea", "implicit", 1, D - timedelta(10), 8),
+            (1, "root > B", "tea", "explicit", -1, D, 3),
+            (1, "root > A", "jazz", "user_info", 1, D, 9),
+            (2, "root > A", "tea", "implicit", 1, D + timedelta(5), 1),
+        ],
+        "idhash bigint, path string, item string, axis string, polarity int, last_seen date, support bigint",
+    )
+    new = spark.createDataFrame(
+        [
+            (1, "implicit", "tea", "root > A", 1, D - timedelta(1)),
+            (1, "implicit", "tea", "root > A", -1, D),  # the newest day decides
+            (1, "implicit", "tea", "root > C", 1, D),
+            (1, "implicit", "jazz", "root > A", -1, D),
+            (1, "user_info", "x", "root > A", -1, D),
+            (2, "implicit", "tea", "root > A", -1, D),
+        ],
+        NEW_ITEMS,
+    )
+    got = {(r.idhash, r.path, r.item): r.contradiction for r in persona.conflict(held, new, D, half_life=5).collect()}
+    assert got == {
+        (1, "root > A", "tea"): pytest.approx(2 / 6),  # likes 8 / 4 = 2, dislikes 3
+        (1, "root > C", "tea"): pytest.approx(3 / 6),
+        (1, "root > A", "jazz"): 0.0,  # demographics are no preferences
+        (2, "root > A", "tea"): pytest.approx(1 / 2),  # not weighed up for being newer than the day
+    }
+    assert persona.conflict(held.filter("false"), new, D).filter("contradiction <> 0").count() == 0
 
 
 # -- variants -----------------------------------------------------------------------------
