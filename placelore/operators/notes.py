@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from placelore.functions.text import ordered_concat
 
+#: Columns of the items as they are stored.
+ITEM_SCHEMA = "idhash bigint, path string, item string, axis string, polarity bigint, last_seen date, support bigint"
 RANKS = {"implicit": 1, "explicit": 2, "user_info": 3}  # on equal dates the higher one wins
 
 
@@ -197,24 +199,52 @@ def with_content(notes: DataFrame, items: DataFrame, keys: Sequence[str] = ("idh
     )
 
 
-def memory_ops(items: DataFrame, routed: DataFrame) -> DataFrame:
-    """What a batch does to every known or new item of a user's notes.
-
-    ADD: only new; DELETE: the batch contradicts a liked item; UPDATE: other axis or
-    polarity; NO_CHANGE: the rest. The batch value is that of its newest day.
-    """
+def _item_changes(items: DataFrame, routed: DataFrame) -> DataFrame:
+    """(idhash, path, item, old, new, op): values held and values of the batch's newest day, and what that does."""
     batch = collapse_items(routed.withColumn("last_seen", F.col("datestr")), ["idhash"])
-    sides = items.select("idhash", "path", "item", "axis", "polarity", F.lit("old").alias("side")).unionByName(
-        batch.select("idhash", "path", "item", "axis", "polarity", F.lit("new").alias("side"))
-    )
-    value = F.struct("axis", "polarity")
+    columns = ["idhash", "path", "item", "axis", "polarity", "last_seen", "support"]
+    sides = items.select(*columns, F.lit("old").alias("side")).unionByName(batch.select(*columns, F.lit("new").alias("side")))
+    value = F.struct("axis", "polarity", "last_seen", axis_rank().alias("rank"), "support")
     both = sides.groupBy("idhash", "path", "item").agg(
         F.max(F.when(F.col("side") == "old", value)).alias("old"), F.max(F.when(F.col("side") == "new", value)).alias("new")
     )
+    same = (F.col("old.axis") == F.col("new.axis")) & (F.col("old.polarity") == F.col("new.polarity"))
     op = (
         F.when(F.col("old").isNull(), "ADD")
-        .when(F.col("new").isNull() | (F.col("old") == F.col("new")), "NO_CHANGE")
+        .when(F.col("new").isNull() | same, "NO_CHANGE")
         .when((F.col("old.polarity") > 0) & (F.col("new.polarity") < 0), "DELETE")
         .otherwise("UPDATE")
     )
-    return both.select("idhash", "path", "item", op.alias("op"))
+    return both.withColumn("op", op)
+
+
+def memory_ops(items: DataFrame, routed: DataFrame) -> DataFrame:
+    """What a batch does to every known or new item of a user's notes.
+
+    ADD: only new; DELETE: the batch contradicts a liked item; UPDATE: other axis or
+    polarity; NO_CHANGE: the rest. The batch value is that of its newest day.
+    """
+    return _item_changes(items, routed).select("idhash", "path", "item", "op")
+
+
+def apply_ops(items: DataFrame, routed: DataFrame) -> DataFrame:
+    """The items after the operations of ``memory_ops``; equal to those of ``apply_batch``.
+
+    ADD puts an item in, UPDATE and DELETE replace what is held (a DELETE leaves the dislike that contradicted), NO_CHANGE
+    only renews its date and support. Evidence that is older than what is held, or of the same day and no stronger axis, replaces
+    nothing. Support grows only by days after the user's newest day in ``items``, so a repeated batch changes nothing.
+    """
+    group = ["idhash", "path", "item"]
+    applied = items.groupBy("idhash").agg(F.max("last_seen").alias("_applied"))
+    late = F.col("_applied").isNotNull() & (F.col("datestr") <= F.col("_applied"))
+    fresh = routed.join(applied, "idhash", "left").withColumn("support", F.when(late, 0).otherwise(F.col("support")))
+
+    def when_of(side: str) -> Column:
+        return F.struct(F.col(f"{side}.last_seen"), F.col(f"{side}.rank"))
+
+    takes = F.col("new").isNotNull() & ((F.col("op") == "ADD") | (when_of("new") > when_of("old")))
+    support = F.coalesce("old.support", F.lit(0)) + F.coalesce("new.support", F.lit(0))
+    return _item_changes(items, fresh).select(
+        *group, *[F.when(takes, F.col(f"new.{c}")).otherwise(F.col(f"old.{c}")).alias(c) for c in ("axis", "polarity", "last_seen")],
+        support.alias("support"),
+    )

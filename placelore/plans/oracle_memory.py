@@ -137,6 +137,8 @@ routed("v_rtest", "v_test_profile", "v_train_items")
 routed("v_rday", "v_day_profile", "v_train_items")
 view("v_rupto", "SELECT * FROM v_rtrain UNION ALL SELECT * FROM v_rday")
 state("v_upto", "v_rupto")
+view("v_rafter", "SELECT * FROM v_rtrain UNION ALL SELECT * FROM v_rtest")
+state("v_after", "v_rafter")
 routed_daily("v_rall", "v_profile")
 state("v_all", "v_rall")
 view("v_rbase", "SELECT * FROM v_rall WHERE path IN (FROM v_taxonomy)")
@@ -409,6 +411,7 @@ SELECT coalesce(o.idhash, n.idhash) AS idhash, coalesce(o.path, n.path) AS path,
 FROM v_train_items o FULL JOIN (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY idhash, path, item ORDER BY datestr DESC, {RANK} DESC, polarity DESC) AS rn FROM v_rtest) WHERE rn = 1
 ) n ON o.idhash = n.idhash AND o.path = n.path AND o.item = n.item""",
+    "memory_upsert": "FROM v_after_items",
     "merge_siblings": with_content("v_merge_notes", "v_merge_items"),
     "lift_common_traits": with_content("v_lift_notes", "v_lift_items"),
     "compression_gain": """

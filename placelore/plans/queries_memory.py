@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placelore.functions.skew import cut_lineage, top_per_key
+from placelore.functions.skew import cut_lineage, shared_folder, top_per_key
 from placelore.operators import backward, context, memory, notes, persona, profile, retrieval, routing, variants
 from placelore.operators.windows import day_between
 from placelore.plans import queries_base as base
 from placelore.plans import queries_eval as ev
 from placelore.plans.settings import *  # noqa: F403
+from placelore.sources import store
 from placelore.sources import tables as t
 
 
@@ -104,6 +106,15 @@ def update_notes(spark, d):
     return notes.with_content(new_notes, new_items)
 
 
+def memory_upsert(spark, d):
+    """Items read from a store to which the operations of the test window were applied after those of the train window."""
+    made = inputs(spark, d)
+    folder = f"{shared_folder(spark)}/memory-{uuid.uuid4().hex}"
+    store.write_buckets(made.held, folder, base.W.train_end)
+    store.upsert(made.routed(*base.TEST), folder, notes.ITEM_SCHEMA, base.W.test_end, notes.apply_ops)
+    return store.read_as_of(spark, folder, notes.ITEM_SCHEMA, base.W.test_end)
+
+
 def closed_form(spark, d) -> tuple[DataFrame, DataFrame]:
     return memory.memory_closed_form(profile_items(spark, d), t.taxonomy(spark, d), materialize=cut_lineage)
 
@@ -290,7 +301,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         extract_profile, axis_filter, base_path_filter, route_items, assign_group, demo_root_only, path_validate,
-        update_notes, memory_closed_form, memory_ops, merge_siblings, lift_common_traits, compression_gain,
+        update_notes, memory_closed_form, memory_ops, memory_upsert, merge_siblings, lift_common_traits, compression_gain,
         prune_stale, backward_pass, build_memory, hierarchy_nodes, dfs_order, budget_truncate, note_context,
         flat_top_facts, flat_memory, full_context, fixed_hierarchy, persona_paths, cross_links, surprise_priority,
         rerank, persona_consistency, structural_health, bm25, dense_topk, rrf, run_variants,
