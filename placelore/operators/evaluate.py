@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placelore.functions.skew import top_per_key
-from placelore.functions.text import is_json
+from placelore.functions.text import TOKEN, is_json
 from placelore.operators.evidence import fill_template
 
 METRICS = ["precision@1", "precision@3", "precision@5", "recall@5", "ndcg@10", "hr@10", "mrr"]
@@ -184,3 +184,56 @@ def pairwise_eval(scores: DataFrame, truth: DataFrame, labels: list[str]) -> Dat
     return sums.select(
         "idhash", (F.col("n1") * F.col("n0")).alias("n_pairs"), F.round(wins / (F.col("n1") * F.col("n0")), 6).alias("accuracy")
     )
+
+
+def item_recall(contexts: DataFrame, items: DataFrame) -> DataFrame:
+    """(variant, idhash, n_items, found, recall): distinct items of a user that stand in the context of a variant.
+
+    An item is found where its tokens stand next to each other in its order, in any case; demographics and items without tokens do
+    not count. Users without items have no row; an empty or NULL context finds nothing. The tokens of the contexts are an inverted
+    index met by the items' tokens; a start at which all tokens of an item meet is a place of it. Both sides of a (user,
+    token) are bounded by the budget of a context and the items of a user.
+    """
+
+    def tokens(text: str) -> Column:
+        return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+
+    wanted = (
+        items.filter(F.col("axis") != "user_info")
+        .select("idhash", tokens("item").alias("phrase"))
+        .filter(F.size("phrase") > 0)
+        .distinct()
+    )
+    words = wanted.select("idhash", "phrase", F.posexplode("phrase").alias("offset", "word"))
+    index = contexts.select("variant", "idhash", F.posexplode(tokens("context")).alias("at", "word"))
+    starts = (
+        index.join(words, ["idhash", "word"])
+        .groupBy("variant", "idhash", "phrase", (F.col("at") - F.col("offset")).alias("start"))
+        .agg(F.count("*").alias("met"))
+        .filter(F.col("met") == F.size("phrase"))
+    )
+    found = starts.select("variant", "idhash", "phrase").distinct().groupBy("variant", "idhash").agg(F.count("*").alias("found"))
+    totals = wanted.groupBy("idhash").agg(F.count("*").alias("n_items"))
+    return (
+        contexts.select("variant", "idhash")
+        .distinct()
+        .join(totals, "idhash")
+        .join(found, ["variant", "idhash"], "left")
+        .fillna(0, ["found"])
+        .select("variant", "idhash", "n_items", "found", F.round(F.col("found") / F.col("n_items"), 6).alias("recall"))
+    )
+
+
+def item_recall_gap(recalls: DataFrame, full: str, structured: str) -> DataFrame:
+    """Per user: what the structured memory recalls more or less than the full context; a missing context recalls nothing."""
+
+    def of(variant: str) -> Column:
+        return F.coalesce(F.max(F.when(F.col("variant") == variant, F.col("found"))), F.lit(0)) / F.max("n_items")
+
+    sides = recalls.filter(F.col("variant").isin(full, structured)).groupBy("idhash").agg(
+        F.max("n_items").alias("n_items"), of(full).alias("_full"), of(structured).alias("_structured")
+    )
+    return sides.select(
+        "idhash", "n_items", F.round("_full", 6).alias("full_recall"), F.round("_structured", 6).alias("structured_recall"),
+        F.round(F.col("_structured") - F.col("_full"), 6).alias("gap"),
+    )

@@ -297,6 +297,11 @@ FROM v_profile GROUP BY idhash, path, item QUALIFY rank <= 30
 """)
 
 
+def words(text: str) -> str:
+    """All tokens in lower case, each between blanks."""
+    return f"concat(' ', array_to_string(regexp_extract_all(lower({text}), '{TOKEN}'), ' '), ' ')"
+
+
 def cut(text: str) -> str:
     return (
         f"CASE WHEN {tokens(text)} <= {BUDGET} THEN {text} "
@@ -433,6 +438,18 @@ FROM nodes n""",
     "flat_memory": f"""
 SELECT idhash, {cut('text')} AS context FROM (SELECT idhash, string_agg(concat('- ', fact, ': ', value), chr(10) ORDER BY rank) AS text FROM v_facts GROUP BY idhash)""",
     "full_context": f"SELECT idhash, {cut('text')} AS context FROM v_full_text",
+    "item_recall_gap": f"""
+SELECT idhash, n_items, round(full_found / n_items, 6) AS full_recall, round(notes_found / n_items, 6) AS structured_recall,
+       round(notes_found / n_items - full_found / n_items, 6) AS gap
+FROM (
+  SELECT i.idhash, count(*) AS n_items, CAST(count(*) FILTER (contains(f.words, i.phrase)) AS DOUBLE) AS full_found,
+         CAST(count(*) FILTER (contains(n.words, i.phrase)) AS DOUBLE) AS notes_found
+  FROM (SELECT DISTINCT idhash, {words('item')} AS phrase FROM v_profile WHERE axis <> 'user_info' AND {tokens('item')} > 0) i
+  LEFT JOIN (SELECT idhash, {words('context')} AS words FROM (SELECT idhash, {cut('text')} AS context FROM v_full_text)) f ON f.idhash = i.idhash
+  LEFT JOIN (SELECT idhash, {words('context')} AS words
+             FROM (SELECT idhash, string_agg(text, chr(10) ORDER BY dfs) AS context FROM v_fmt_kept GROUP BY idhash)) n ON n.idhash = i.idhash
+  WHERE f.idhash IS NOT NULL OR n.idhash IS NOT NULL
+  GROUP BY i.idhash)""",
     "fixed_hierarchy": "SELECT idhash, string_agg(text, chr(10) ORDER BY dfs) AS context FROM v_bfmt_kept GROUP BY idhash",
     "persona_paths": "FROM v_paths",
     "persona": f"""

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placelore.functions.skew import cut_lineage, shared_folder, top_per_key
-from placelore.operators import backward, context, memory, notes, persona, profile, retrieval, routing, variants
+from placelore.operators import backward, context, evaluate, memory, notes, persona, profile, retrieval, routing, variants
 from placelore.operators.windows import day_between
 from placelore.plans import queries_base as base
 from placelore.plans import queries_eval as ev
@@ -199,6 +199,15 @@ def full_context(spark, d):
     return context.full_context(ev.daily_text(spark, d), BUDGET)
 
 
+def item_recall_gap(spark, d):
+    """Items of the whole history, looked up in the budgeted full context and in the budgeted notes."""
+    items, state = stored_notes(spark, d)
+    contexts = {"full_context": full_context(spark, d), "notes": context.note_context(state, items, BUDGET)}
+    both = [c.select(F.lit(name).alias("variant"), "idhash", "context") for name, c in contexts.items()]
+    recalls = evaluate.item_recall(cut_lineage(both[0].unionByName(both[1])), profile_items(spark, d))
+    return evaluate.item_recall_gap(recalls, *contexts)
+
+
 def fixed_hierarchy(spark, d):
     items, state = memory.memory_closed_form(profile_items(spark, d), t.taxonomy(spark, d), base_only=True, materialize=cut_lineage)
     return context.note_context(state, items, BUDGET)
@@ -303,7 +312,7 @@ QUERIES = {
         extract_profile, axis_filter, base_path_filter, route_items, assign_group, demo_root_only, path_validate,
         update_notes, memory_closed_form, memory_ops, memory_upsert, merge_siblings, lift_common_traits, compression_gain,
         prune_stale, backward_pass, build_memory, hierarchy_nodes, dfs_order, budget_truncate, note_context,
-        flat_top_facts, flat_memory, full_context, fixed_hierarchy, persona_paths, cross_links, surprise_priority,
+        flat_top_facts, flat_memory, full_context, item_recall_gap, fixed_hierarchy, persona_paths, cross_links, surprise_priority,
         rerank, persona_consistency, structural_health, bm25, dense_topk, rrf, run_variants,
     )
 } | {"persona": persona_query}

@@ -1,3 +1,6 @@
+import random
+import re
+
 from pytest import approx, mark, raises
 
 from pyspark.sql import functions as F
@@ -158,3 +161,27 @@ def test_user_hash_counts_repeats_and_ignores_order(spark):
     two = changes.user_hash(spark.createDataFrame([b, a], schema)).first().sha256
     three = changes.user_hash(spark.createDataFrame([a, a, b], schema)).first().sha256
     assert one == two != three
+
+
+def test_item_recall_equals_a_scan_for_phrases(spark):
+    rng = random.Random(12)
+    words = ["Tea", "tea", "green", "bar,", "seoul", "the"]
+    contexts = [(v, u, " ".join(rng.choice(words) for _ in range(rng.randrange(25)))) for v in ("full", "notes") for u in range(12)]
+    contexts += [("full", 20, None), ("notes", 20, ""), ("full", 21, "tea")]
+    items = [(u, rng.choice(["implicit", "explicit"]), " ".join(rng.choice(words) for _ in range(rng.randrange(1, 4)))) for u in [*range(12), 20] for _ in range(8)]
+    items += [(0, "user_info", "never there"), (0, "implicit", "  "), (21, "implicit", "Tea"), (21, "explicit", "tea"), (30, "implicit", "tea")]
+    found = evaluate.item_recall(
+        spark.createDataFrame(contexts, "variant string, idhash bigint, context string"),
+        spark.createDataFrame(items, "idhash bigint, axis string, item string"),
+    ).cache()
+
+    def flat(text):
+        return " " + " ".join(re.findall(r"\w+|[^\w\s]", (text or "").lower())) + " "
+
+    for row in found.collect():
+        mine = {flat(i) for u, axis, i in items if u == row.idhash and axis != "user_info" and i.strip()}
+        text = next(flat(c) for v, u, c in contexts if (v, u) == (row.variant, row.idhash))
+        assert (row.n_items, row.found) == (len(mine), sum(i in text for i in mine))
+    assert found.count() == 27 and 10 < found.agg({"found": "sum"}).first()[0]
+    gap = {r.idhash: r for r in evaluate.item_recall_gap(found, "full", "notes").collect()}
+    assert (gap[21].full_recall, gap[21].structured_recall, gap[21].gap) == (1.0, 0.0, -1.0) and 30 not in gap
