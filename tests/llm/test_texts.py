@@ -6,6 +6,8 @@ import random
 import re
 
 import public_tokenizers
+import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 
@@ -124,6 +126,23 @@ def test_text_n_best_equals_enumeration(pieces, text):
     assert len({i for _, i in got}) == len(got)
 
 
+def test_texts_of_a_block_equal_texts_alone(pieces):
+    rng = random.Random(7)
+    words = ["the", "of,", "x.y", "", "日本", "▁a", "größe!", "a" * 50, "\n", "1\t2", "Nd.\nA"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(9))) for _ in range(300)] + [None, " ", "", "  a", "a▁"]
+    batch = pa.record_batch([pa.array(texts)], ["text"])
+    parts = list(sentencepiece._blocks(batch.slice(3), 0))
+    assert sum(p.num_rows for p in parts) == len(texts) - 3
+    flat, ends = sentencepiece.flat_words(batch.column(0))
+    split = [sentencepiece.split_words(t) if t else [] for t in texts]
+    assert [flat[a:b].to_pylist() for a, b in zip(ends, ends[1:])] == split
+    found = sentencepiece.segmented(batch.column(0).slice(3), sentencepiece._Words(pieces, 4), 4)
+    alone = [sentencepiece.segmentations(w, sentencepiece._Words(pieces, 4), 4) for w in split[3:]]
+    assert found == alone
+    ids = [np.frombuffer(f[0][1], np.int32) for f in found]
+    assert pieces.decode_many(np.concatenate(ids), np.cumsum([0, *map(len, ids)])) == [pieces.decode(i.tolist()) for i in ids]
+
+
 def test_encode_and_decode(spark):
     texts = ["Hello  world", "  x\t\n", "", None, "漢字 \U0001F600 á", "word " * 3000, " "]
     docs = frame(spark, list(enumerate(texts)))
