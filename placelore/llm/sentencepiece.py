@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 from placelore.llm.common import claim, collector_off
 
 SPACE, PENALTY, BEST = "▁", 10.0, 3
-WORDS = 400_000  # words a worker keeps (about 320 bytes each); results do not depend on it
+WORDS = 200_000  # words a worker keeps (about 320 bytes each); results do not depend on it
 SHORT, TOGETHER = 40, 10_000  # letters and number of stretches searched together
-ROWS, LETTERS = 1024, 4_000_000  # texts whose words are looked up together
+ROWS, LETTERS = 1024, 2_000_000  # texts whose words are looked up together
 BUCKETS = np.uint64(44)  # bits of a hash below its bucket
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
