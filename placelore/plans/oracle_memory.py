@@ -5,10 +5,11 @@ from __future__ import annotations
 from datetime import timedelta
 
 from placelore.operators.context import KEYWORDS_LABEL, SUMMARY_LABEL, USER_INFO_LABEL
+from placelore.operators.evaluate import METRICS
 from placelore.plans.oracle_base import IN_TEST
 from placelore.plans.oracle_eval import TOKEN, tokens
 from placelore.plans.settings import *  # noqa: F403
-from placelore.plans.sql import statement, view
+from placelore.plans.sql import same_over, statement, view
 
 W = WINDOWS
 
@@ -387,6 +388,39 @@ SELECT idhash, run_date, lag(run_date) OVER (PARTITION BY idhash ORDER BY run_da
 FROM (SELECT DISTINCT idhash, run_date FROM v_version_items)
 """)
 
+# the experiment: contexts at the end of the train window, predictions, metrics
+view("v_rexp", f"SELECT * FROM v_rall WHERE datestr <= DATE '{W.train_end}'")
+state("v_exp", "v_rexp")
+view("v_rexpbase", "SELECT * FROM v_rexp WHERE path IN (FROM v_taxonomy)")
+state("v_expbase", "v_rexpbase")
+formatted("v_expfmt", "v_exp_notes", "v_exp_items")
+formatted("v_expbfmt", "v_expbase_notes", "v_expbase_items")
+same_over("v_exp", ["v_facts"], {"v_profile": "v_train_profile"})
+view("v_exp_contexts", f"""
+SELECT variant, idhash, coalesce(context, '') AS context
+FROM (SELECT unnest({UNCONSOLIDATED}) AS variant) CROSS JOIN v_train_users LEFT JOIN (
+  SELECT 'full_context' AS variant, idhash, {cut('text')} AS context FROM (
+    SELECT idhash, string_agg(text, chr(10) ORDER BY datestr) AS text FROM v_daily_text WHERE datestr <= DATE '{W.train_end}' GROUP BY idhash)
+  UNION ALL SELECT 'flat_memory', idhash, {cut('text')} FROM (
+    SELECT idhash, string_agg(concat('- ', fact, ': ', value), chr(10) ORDER BY rank) AS text FROM v_expv_facts GROUP BY idhash)
+  UNION ALL SELECT 'fixed_hierarchy', idhash, string_agg(text, chr(10) ORDER BY dfs) FROM v_expbfmt_kept GROUP BY idhash
+  UNION ALL SELECT 'ablation_backward', idhash, string_agg(text, chr(10) ORDER BY dfs) FROM v_expfmt_kept GROUP BY idhash
+) USING (variant, idhash)
+""")
+view("v_exp_ranked", f"""
+SELECT variant, idhash, category, pos FROM (
+  SELECT c.variant, c.idhash, l.category,
+         row_number() OVER (PARTITION BY c.variant, c.idhash
+                            ORDER BY len([x for x in regexp_extract_all(context, '{LABEL_PATTERN}') if x = l.category]) DESC, place) - 1 AS pos
+  FROM v_exp_contexts c CROSS JOIN v_labels l)
+WHERE pos < 10
+""")
+same_over(
+    "v_exp",
+    ["v_hits", "v_metrics", "v_long", "v_pairs", "v_slots", "v_draws", "v_boot", "v_bootstrap", "v_cohen", "v_holm", "v_holm_rank"],
+    {"v_ranked": "v_exp_ranked", "support": "ablation_backward"},
+)
+
 ORACLE = {
     "extract_profile": "FROM v_profile",
     "axis_filter": """
@@ -499,4 +533,16 @@ SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY score D
     "dense_topk": "SELECT query, doc, score, rank FROM v_dense WHERE rank <= 10",
     "rrf": "SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM v_fused QUALIFY rank <= 10",
 }
+ORACLE |= {
+    "experiment_results": f"SELECT variant, idhash, {', '.join(chr(34) + m + chr(34) for m in METRICS)} FROM v_expv_metrics",
+    "experiment_summary": """
+SELECT variant, metric, count(*) AS n_users, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std FROM v_expv_long GROUP BY ALL""",
+    "experiment_comparison": """
+SELECT variant, metric, baseline_mean, variant_mean, mean_diff, ci_lower, ci_upper, p_value, cohens_d, significant
+FROM v_expv_bootstrap JOIN v_expv_cohen USING (variant, metric)
+JOIN (SELECT variant, metric, significant FROM v_expv_holm) USING (variant, metric)""",
+    "experiment_gap": """
+SELECT idhash, metric, value AS full_value, baseline AS structured_value, round(baseline - value, 6) AS gap
+FROM v_expv_pairs WHERE variant = 'full_context'""",
+}
 ORACLE = {name: statement(sql) for name, sql in ORACLE.items()}

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placelore.functions.skew import cut_lineage, shared_folder, top_per_key
-from placelore.operators import backward, context, evaluate, memory, notes, persona, profile, retrieval, routing, variants
+from placelore.operators import backward, context, evaluate, memory, notes, persona, profile, retrieval, routing, stats, variants
 from placelore.operators.windows import day_between
 from placelore.plans import queries_base as base
 from placelore.plans import queries_eval as ev
@@ -292,16 +292,37 @@ def rrf(spark, d):
     return retrieval.rrf(retrieval.ranking(lexical), retrieval.dense_topk(vectors(spark, d), asked, None))
 
 
-def variant_results(spark, d) -> DataFrame:
+def variant_results(spark, d, names: list[str] | None = None, backward_every: int = BACKWARD_EVERY) -> DataFrame:
     users = base.train_users(spark, d)
     items = profile_items(spark, d).join(users, "idhash", "left_semi").filter(F.col("datestr") <= F.lit(base.W.train_end))
     texts = ev.daily_text(spark, d).join(users, "idhash", "left_semi").filter(F.col("datestr") <= F.lit(base.W.train_end))
     return variants.run_variants(
         users, cut_lineage(items), texts, cut_lineage(t.taxonomy(spark, d)), ev.truth(spark, d),
-        FIRST_DAY, base.W.train_end, LABELS, LABEL_PATTERN, budget=BUDGET, options={"backward_every": BACKWARD_EVERY, "max_age": MAX_AGE},
+        FIRST_DAY, base.W.train_end, LABELS, LABEL_PATTERN, names=names, budget=BUDGET,
+        options={"backward_every": backward_every, "max_age": MAX_AGE},
     )
 
 
+def experiment_results(spark, d):
+    """Metrics of the presets that never consolidate; their notes are the daily fold, made in one period."""
+    days = (base.W.train_end - FIRST_DAY).days + 1
+    return cut_lineage(variant_results(spark, d, UNCONSOLIDATED, days))
+
+
+def experiment_summary(spark, d):
+    return stats.variant_summary(experiment_results(spark, d))
+
+
+def experiment_comparison(spark, d):
+    """Every preset against the notes: bootstrap, effect size, Holm correction."""
+    return stats.compare_variants(experiment_results(spark, d), "ablation_backward", BOOTSTRAP_DRAWS, "indexed")
+
+
+def experiment_gap(spark, d):
+    """Metrics of the budgeted full context against those of the notes, user by user."""
+    return stats.full_context_gap(experiment_results(spark, d), "full_context", "ablation_backward")
+
+
 def run_variants(spark, d):
     return variant_results(spark, d)
 
@@ -314,5 +335,6 @@ QUERIES = {
         prune_stale, backward_pass, build_memory, hierarchy_nodes, dfs_order, budget_truncate, note_context,
         flat_top_facts, flat_memory, full_context, item_recall_gap, fixed_hierarchy, persona_paths, cross_links, surprise_priority,
         rerank, persona_consistency, structural_health, bm25, dense_topk, rrf, run_variants,
+        experiment_results, experiment_summary, experiment_comparison, experiment_gap,
     )
 } | {"persona": persona_query}

@@ -24,6 +24,7 @@ BOOTSTRAP_DRAWS = 10_000
 EXPLICIT_TEMPLATE = "examples: {few_shot}\ndemographics: {demographic_prompt}\nreviews:\n{user_prompt}"
 FEW_SHOT_RICH, FEW_SHOT_SPARSE = "rich", "sparse"
 PREDICTION_TEMPLATE = "memory:\n{memory_context}\ncategories: {category_list}\nanswer with ten categories"
+UNCONSOLIDATED = ["no_memory", "full_context", "flat_memory", "fixed_hierarchy", "ablation_backward"]  # presets without backward pass
 ATTRIBUTES = ["segment", "nation"]
 MAX_AGE = 10  # days; the test data spans a month
 HALF_LIFE = 7  # days; held evidence weighs half as much after them

@@ -36,3 +36,11 @@ def statement(sql: str) -> str:
     if body.startswith("WITH "):
         return f"WITH RECURSIVE {ctes},\n{body[5:]}"
     return f"WITH RECURSIVE {ctes}\n{body}"
+
+
+def same_over(prefix: str, names: list[str], changes: dict[str, str]) -> None:
+    """The views ``names`` once more over another input: each as ``prefix`` + name, mentioning one another and ``changes``."""
+    renamed = {name: f"{prefix}{name}" for name in names} | changes
+    pattern = re.compile("|".join(rf"(?<!\w){re.escape(old)}(?!\w)" for old in sorted(renamed, key=len, reverse=True)))
+    for name in names:
+        view(renamed[name], pattern.sub(lambda found: renamed[found.group()], VIEWS[name]))
