@@ -1,4 +1,5 @@
 import random
+import json
 from datetime import date, datetime, timedelta
 
 import pytest
@@ -181,6 +182,24 @@ def test_writer_round_trip(spark, tmp_path):
     assert [(r.idhash, r.text) for r in out] == [("a", "line\nbreak")]
 
 
+def test_implicit_writer_round_trip(spark, tmp_path):
+    usage = "struct<prompt_tokens:bigint,completion_tokens:bigint>"
+    rows = [
+        ("a", date(2024, 1, 1), "first\n\"quoted\"", "p1", (3, 4)), ("a", date(2024, 1, 2), "next", None, None),
+        ("b", date(2024, 1, 1), None, "p2", (1, 0)), ("c", date(2024, 1, 1), "  ", "p3", (1, 1)),
+    ]
+    df = spark.createDataFrame(rows, f"idhash string, datestr date, response string, prompt string, usage {usage}")
+    folder = str(tmp_path / "out")
+    texts.write_implicit(df, folder)
+    lines = [json.loads(r.value) for r in spark.read.schema("value string, datestr date").text(folder).orderBy("datestr", "value").collect()]
+    assert len(lines) == len(rows)
+    assert lines[0] == {"idhash": "a", "llm_response": "first\n\"quoted\"", "prompts": "p1", "usage": {"prompt_tokens": 3, "completion_tokens": 4}}
+    out = texts.read_daily_texts(spark, folder, texts.IMPLICIT_FIELD).collect()
+    assert sorted((r.idhash, str(r.datestr), r.text) for r in out) == [
+        ("a", "2024-01-01", "first\n\"quoted\""), ("a", "2024-01-02", "next"),
+    ]
+
+
 def test_store_versions(spark, tmp_path):
     folder = str(tmp_path / "notes")
     v1 = spark.createDataFrame([(1, "root", 1), (2, "root", 1)], "idhash bigint, path string, updated_count bigint")
