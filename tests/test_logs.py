@@ -1,5 +1,5 @@
-import random
 import json
+import random
 from datetime import date, datetime, timedelta
 
 import pytest
