@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 from pytest import approx, mark, raises
 
 from pyspark.sql import functions as F
@@ -185,3 +186,34 @@ def test_item_recall_equals_a_scan_for_phrases(spark):
     assert found.count() == 27 and 10 < found.agg({"found": "sum"}).first()[0]
     gap = {r.idhash: r for r in evaluate.item_recall_gap(found, "full", "notes").collect()}
     assert (gap[21].full_recall, gap[21].structured_recall, gap[21].gap) == (1.0, 0.0, -1.0) and 30 not in gap
+
+
+def test_draws_are_those_of_md5():
+    from hashlib import md5
+
+    from placelore.functions.draws import picks
+
+    for first, last, n in ((0, 12, 7), (98, 103, 1203), (9999, 10001, 9000)):
+        found = picks(first, last, n)
+        for b in range(first, last):
+            assert found[b - first].tolist() == [int(md5(f"{b}|{i}".encode()).hexdigest()[:8], 16) % n for i in range(n)]
+
+
+def test_bootstrap_over_ranges_of_users(spark, monkeypatch):
+    """Groups of two sizes, more users than a task holds: the same replicates, and no row per draw."""
+    from hashlib import md5
+
+    monkeypatch.setattr(stats, "PACK", 8)
+    monkeypatch.setattr(stats, "CELLS", 32)
+    rows = [(v, m, i, (i * 7) % 5 / 4, (i * k) % 4 / 4) for v, k, size in (("a", 3, 50), ("b", 2, 50), ("c", 1, 30)) for m in ("m", "o") for i in range(size)]
+    data = spark.createDataFrame(rows, "variant string, metric string, idhash bigint, baseline double, value double")
+    found = {(r.variant, r.metric): r for r in stats.paired_bootstrap(data, 60, "indexed").collect()}
+    assert len(found) == 6
+    for (variant, metric), row in found.items():
+        diffs = [b - v for x, m, _, b, v in rows if (x, m) == (variant, metric)]
+        n = len(diffs)
+        means = [sum(diffs[int(md5(f"{b}|{i}".encode()).hexdigest()[:8], 16) % n] for i in range(n)) / n for b in range(60)]
+        above, below = sum(x >= 0 for x in means) / 60, sum(x <= 0 for x in means) / 60
+        assert row.p_value == approx(min(1.0, 2 * min(above, below)), abs=1e-6)
+        assert row.ci_lower == approx(float(np.percentile(means, 2.5)), abs=1e-6)
+        assert row.ci_upper == approx(float(np.percentile(means, 97.5)), abs=1e-6)
