@@ -217,3 +217,15 @@ def test_bootstrap_over_ranges_of_users(spark, monkeypatch):
         assert row.p_value == approx(min(1.0, 2 * min(above, below)), abs=1e-6)
         assert row.ci_lower == approx(float(np.percentile(means, 2.5)), abs=1e-6)
         assert row.ci_upper == approx(float(np.percentile(means, 97.5)), abs=1e-6)
+
+
+def test_means_on_a_tie_do_not_depend_on_the_order(spark):
+    """The mean is 0.2258955 exactly; sums of doubles end above or below it."""
+    values = [0.1, 0.2, 0.3, 0.2258955 * 4 - 0.6]
+    values = [round(v, 6) for v in values] * 25
+    values[-1] = round(22.58955 - sum(values[:-1]), 6)
+    rows = [("v", "m", i, v, v) for i, v in enumerate(values)]
+    schema = "variant string, metric string, idhash bigint, baseline double, value double"
+    for order in (rows, rows[::-1], sorted(rows, key=lambda r: r[4]), sorted(rows, key=lambda r: -r[4])):
+        found = stats.cohens_d(spark.createDataFrame(order, schema).coalesce(1)).first()
+        assert (found.baseline_mean, found.variant_mean) == (0.225896, 0.225896)
