@@ -380,3 +380,34 @@ def test_consistency_of_versions(spark):
     rows = [(1, 0, "a", 1), (1, 0, "b", 1), (1, 1, "a", 1), (1, 1, "b", -1), (1, 1, "c", 1), (2, 1, "a", 1)]
     versions = spark.createDataFrame([(u, day(d), i, "implicit", p) for u, d, i, p in rows], "idhash bigint, run_date date, item string, axis string, polarity bigint")
     assert [tuple(r) for r in persona.persona_consistency(versions).collect()] == [(1, day(1), 0.25)]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_consolidation_broadcasts_no_table_of_users(spark):
+    items = spark.createDataFrame(
+        [(1, "root > a > b", "x", "implicit", 1, date(2024, 1, 1), 1)],
+        "idhash bigint, path string, item string, axis string, polarity bigint, last_seen date, support bigint",
+    )
+    state = spark.createDataFrame([(1, "root > a > b", 1, date(2024, 1, 1))], "idhash bigint, path string, updated_count bigint, recently_updated date")
+    for table in backward.prune_stale(items, state, date(2024, 1, 2)):
+        assert "Broadcast" not in _plan(table)
+
+
+def test_fold_reads_only_items_that_an_open_group_shares(spark, monkeypatch):
+    taxonomy = spark.createDataFrame([("root",), ("root > a",), ("root > a > listed",)], "path string")
+    rows = [(1, "implicit", f"i{n}", "root > a > listed", 1, date(2024, 1, 1), 1) for n in range(9)]
+    rows += [(1, "implicit", "i3", "root > a > open", 1, date(2024, 1, 2), 1)]
+    items = spark.createDataFrame(rows, "idhash bigint, axis string, item string, path string, polarity bigint, datestr date, support bigint")
+    seen, fold = [], routing._fold_subtrees
+
+    def counted(events, *args):
+        seen.append(events.count())
+        return fold(events, *args)
+
+    monkeypatch.setattr(routing, "_fold_subtrees", counted)
+    found = routing.route_over_time(items, taxonomy, items.select("idhash", "path", "item").limit(0))
+    assert {(r.item, r.route) for r in found.filter("datestr = '2024-01-02'").collect()} == {("i3", "sibling")}
+    assert seen == [2]
