@@ -411,3 +411,27 @@ def test_fold_reads_only_items_that_an_open_group_shares(spark, monkeypatch):
     found = routing.route_over_time(items, taxonomy, items.select("idhash", "path", "item").limit(0))
     assert {(r.item, r.route) for r in found.filter("datestr = '2024-01-02'").collect()} == {("i3", "sibling")}
     assert seen == [2]
+
+
+def test_only_subtrees_whose_notes_move_are_folded(spark):
+    """User 1 asks for one item a day and reads listed notes; user 2 makes a note of two items; user 3 asks for a note that is there."""
+    held = [(1, "root > a", "root > a > n", "x", 2), (1, "root > a", "root > a > m", "x", 4), (3, "root > a", "root > a > o", "y", 0)]
+    asks = [(1, "root > a", "root > a > o", "x", d) for d in (2, 3, 5)] + [(1, "root > a", "root > a > p", "z", 3)]
+    asks += [(2, "root > a", "root > a > o", i, 1) for i in "xy"] + [(2, "root > a", "root > a > p", "y", d) for d in (1, 2)]
+    asks += [(3, "root > a", "root > a > o", "z", 1), (3, "root > a", "root > a > p", "z", 2)]
+    events = spark.createDataFrame(
+        [(*r[:4], day(r[4]), False) for r in held] + [(*r[:4], day(r[4]), True) for r in asks],
+        "idhash bigint, _domain string, path string, item string, datestr date, asks boolean",
+    )
+    judged = []
+
+    def kept(rows):
+        judged.extend(rows.collect())
+        return rows
+
+    found = routing._fold_subtrees(events, ["idhash", "_domain"], 0.5, 2, kept)
+    answers = {(r.idhash, r._wanted[-1], r.datestr, r._answer[-1]) for r in found.collect()}
+    assert answers == {
+        (1, "o", day(3), "n"), (1, "o", day(5), "m"), (2, "o", day(1), "o"), (2, "p", day(2), "o"), (3, "o", day(1), "o"), (3, "p", day(2), "o"),
+    }
+    assert {r["_k0"] for r in judged if r["_moves"]} == {2, 3}
