@@ -15,7 +15,8 @@ least ``percent`` / 100. The result is the connected components of all links; no
 5. The boundary is the smallest size at which listing subsets costs more rows than entering and scanning lists,
    by the mean list length that the sketch shows.
 6. Lists are not expanded into all pairs. First every member is compared with one representative per
-   list; then only pairs of different components are compared. Bitmaps of
+   list; then only pairs of different components are compared, representatives no more, and a pair not again in the
+   lists that follow a common one (``PRECEDING``). Bitmaps of
    each set (parity of the shingles per bit; a short one in the join, one as long as the set behind it) bound the
    symmetric difference from below before sets are fetched. Sets that remain are compared exactly.
 """
@@ -29,7 +30,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from placelore.llm import sketch
@@ -46,6 +47,7 @@ from placelore.llm.common import (
 BITS, DEPTH = 24, 2  # sketch of frequencies: 2 x 16M counters, one byte each after merging
 LARGEST_SMALL = 20  # no boundary beyond this size is considered
 BITMAP = 8  # 64-bit words of the parity bitmap
+PRECEDING = 6  # keys of a node that a list remembers, to see that two members have met before
 FETCHED_KEYS = 200_000  # keys of about 50 bytes that may be broadcast to filter texts
 FETCHED_IDS = 1_000_000  # ids of 8 bytes that may be broadcast to drop rows
 
@@ -248,6 +250,32 @@ def _links(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, words: int, perc
     )
 
 
+def _preceding() -> WindowSpec:
+    """The ``PRECEDING`` rows before a node's own, in the order of its keys."""
+    return Window.partitionBy("node").orderBy("place", "key").rowsBetween(-PRECEDING, -1)
+
+
+def _crossing(full: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) of different roots that share a list of ``full`` and pass the bounds on sizes, places and bitmaps.
+
+    A pair with many common keys meets once per list. It is left out of a list if one of the keys ``before`` the list's own is
+    the same on both sides: the pair meets there too, at smaller places, which leave no less room. Its first common list keeps it.
+    """
+
+    def side(x: str) -> DataFrame:
+        return full.select("key", *[F.col(c).alias(f"{c}_{x}") for c in full.columns if c != "key"])
+
+    other = (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b"))
+    bounds = _sizes_fit(percent) & _places_fit(percent) & _may_link(percent)
+    return (
+        side("a")
+        .join(side("b"), "key")
+        .filter(other & bounds & ~F.arrays_overlap("before_a", "before_b"))
+        .select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+        .distinct()
+    )
+
+
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs``.
 
@@ -263,35 +291,30 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     members = nodes_all.select("doc_id", "row", "n", "digest")
     node_of = stored(members.filter("n > 0").groupBy("digest").agg(F.min("row").alias("node")))
     reps = nodes_all.join(node_of.select(F.col("node").alias("row")), "row", "left_semi")
-    entries = stored(
-        reps.select("row", "n", F.explode(F.arrays_zip("keys", "places")).alias("e")).select(
-            F.col("e.keys").alias("key"), F.col("row").alias("node"), "n", F.col("e.places").alias("place")
-        )
-    )
-    lists = stored(
-        entries.groupBy("key").agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("times")).filter("times > 1").select("key", "rep")
-    )
-    shared = stored(entries.join(lists, "key"))
-    first = _links(
-        shared.filter("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct(),
-        rows, reps, words, percent,
+    entries = reps.select("row", "n", F.explode(F.arrays_zip("keys", "places")).alias("e")).select(
+        F.col("e.keys").alias("key"), F.col("row").alias("node"), "n", F.col("e.places").alias("place")
     )
+    by_node = Window.partitionBy("key").orderBy("node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    shared = stored(
+        entries.select("*", *[F.first(c).over(by_node).alias(f"{c}_a") for c in ("node", "n", "place")]).filter("node <> node_a")
+    )  # lists of one member are gone, and so is the representative's own row
+    led = shared.withColumnsRenamed({"node": "node_b", "n": "n_b", "place": "place_b"}).filter(_sizes_fit(percent) & _places_fit(percent))
+    first = _links(led.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), rows, reps, words, percent)
     root_1 = components(first)
-    named = shared.join(root_1, "node", "left").select("key", "node", "n", "place", F.coalesce("root", "node").alias("root"))
-    mixed = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
-    named = stored(named.join(mixed, "key", "left_semi"))
-    info = reps.select(F.col("row").alias("node"), "bitmap")
-    full = stored(named.join(info, "node"))
-    def side(x: str) -> DataFrame:
-        return full.select("key", *[F.col(c).alias(f"{c}_{x}") for c in full.columns if c != "key"])
-
-    crossing = (
-        side("a")
-        .join(side("b"), "key")
-        .filter((F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & _places_fit(percent) & _may_link(percent))
-        .select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-        .distinct()
+    whole = Window.partitionBy("key")
+    named = (
+        shared.select("key", "node", "n", "place")
+        .join(root_1, "node", "left")
+        .withColumn("root", F.coalesce("root", "node"))
+        .withColumns({"lo": F.min("root").over(whole), "hi": F.max("root").over(whole)})
+        .filter("lo < hi")
+        .drop("lo", "hi")
+    )
+    full = stored(
+        named.withColumn("before", F.collect_list("key").over(_preceding()))
+        .join(reps.select(F.col("row").alias("node"), "bitmap"), "node")
     )
+    crossing = _crossing(full, percent)
     second = _links(crossing, rows, reps, words, percent)
     roots = components(first.unionByName(second))
     placed = (

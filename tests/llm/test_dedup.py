@@ -71,6 +71,42 @@ def test_components_equal_brute_force(spark, k, percent):
     assert len(found) == len(rows)
 
 
+def crossing_lists(spark, monkeypatch, texts):
+    """The lists in which pairs across components meet, while the components are found."""
+    tables = []
+    monkeypatch.setattr(ngram_join, "stored", lambda df, f=ngram_join.stored: tables.append(f(df)) or tables[-1])
+    found = ngram_join.jaccard_components(frame(spark, list(enumerate(texts))), 3, 80).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == classes(list(enumerate(texts)), 3, 80)
+    return next(t for t in tables if {"root", "bitmap"} <= set(t.columns))
+
+
+def texts_that_share(n, words=300, shared=0.7, seed=3):
+    rng = random.Random(seed)
+    passage = [f"s{i}" for i in range(int(words * shared))]
+    return [" ".join(passage + [f"x{rng.random()}" for _ in range(words - len(passage))]) for _ in range(n)]
+
+
+def test_representatives_do_not_meet_the_members_of_their_lists_again(spark, monkeypatch):
+    assert crossing_lists(spark, monkeypatch, texts_that_share(2)).count() == 0
+
+
+def test_pairs_with_many_common_keys_meet_in_few_lists(spark, monkeypatch):
+    lists = crossing_lists(spark, monkeypatch, texts_that_share(6))
+    members = [r.asDict() for r in lists.collect()]
+    by_key = {}
+    for m in members:
+        by_key.setdefault(m["key"], []).append(m)
+    met = [
+        (a["node"], b["node"])
+        for rows in by_key.values()
+        for a in rows
+        for b in rows
+        if a["node"] < b["node"] and a["root"] != b["root"] and not set(a["before"]) & set(b["before"])
+    ]
+    every = {(a["node"], b["node"]) for rows in by_key.values() for a in rows for b in rows if a["node"] < b["node"]}
+    assert every and set(met) == every and len(met) <= 2 * len(every)
+
+
 def test_every_boundary_between_subsets_and_lists_gives_the_same(spark, monkeypatch):
     rows = [(i, t) for i, t in corpus(7, 80)]
     want = classes(rows, 1, 60)
