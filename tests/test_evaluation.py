@@ -229,3 +229,14 @@ def test_means_on_a_tie_do_not_depend_on_the_order(spark):
     for order in (rows, rows[::-1], sorted(rows, key=lambda r: r[4]), sorted(rows, key=lambda r: -r[4])):
         found = stats.cohens_d(spark.createDataFrame(order, schema).coalesce(1)).first()
         assert (found.baseline_mean, found.variant_mean) == (0.225896, 0.225896)
+
+
+def test_the_gap_builds_only_the_two_presets_it_compares(spark, monkeypatch):
+    from placelore.plans import queries_memory
+
+    asked = []
+    rows = [(variant, 1, *[value] * len(evaluate.METRICS)) for variant, value in (("full_context", 0.5), ("ablation_backward", 0.25))]
+    results = spark.createDataFrame(rows, ["variant", "idhash", *evaluate.METRICS])
+    monkeypatch.setattr(queries_memory, "variant_results", lambda spark, d, names, days: asked.append(sorted(names)) or results)
+    rows = queries_memory.experiment_gap(spark, "").collect()
+    assert asked == [["ablation_backward", "full_context"]] and {r["gap"] for r in rows} == {-0.25}
