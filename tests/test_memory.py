@@ -459,3 +459,32 @@ def test_daily_items_rank_only_places_that_the_logs_name(spark, monkeypatch):
         ("p1", "root > a > b", 1, day(1), 2, "implicit"), ("p1", "root > a > b", 1, day(2), 1, "implicit"),
     ]
     assert ranked == [[1, 1, 2]]
+
+
+def test_routing_over_time_stores_items_once_and_counts_equal_items_once(spark):
+    """One item of two axes on one day is no group of two; the table of judged items is the only one beside that of the paths."""
+    taxonomy = spark.createDataFrame([("root",), ("root > a",), ("root > a > n",)], "path string")
+    rows = [(1, "implicit", "x", "root > a > n", 1, day(1), 1), (2, "implicit", "x", "root > a > o", 1, day(2), 1)]
+    rows += [(1, axis, "x", "root > a > o", 1, day(2), 1) for axis in ("implicit", "explicit")]
+    rows += [(3, "implicit", i, "root > a > o", 1, day(2), 1) for i in "xy"]
+    items = spark.createDataFrame(rows, "idhash bigint, axis string, item string, path string, polarity bigint, datestr date, support bigint")
+    kept = []
+
+    def stored(df):
+        kept.append(df.collect())
+        return df
+
+    found = routing.route_over_time(items, taxonomy, items.select("idhash", "path", "item").limit(0), materialize=stored).collect()
+    answers = [(r.idhash, r.path, r.route) for r in found if r.datestr == day(2)]
+    assert sorted(answers) == [(1, "root > a > n", "sibling")] * 2 + [(2, "root > a", "domain")] + [(3, "root > a > o", "new")] * 2
+    assert len(kept) == 2 and len(kept[1]) == len(rows)
+    assert {r["idhash"] for r in kept[1] if r["_moves"]} == {3}
+
+
+def test_paths_of_notes_without_their_days(spark, taxonomy):
+    rows = [(1, "implicit", i, p, 1, day(d), 1) for i, p, d in (("x", "root > a > n", 1), ("x", "root > a > o", 2), ("y", "root > a > o", 2), ("z", None, 3))]
+    items = spark.createDataFrame(rows, "idhash bigint, axis string, item string, path string, polarity bigint, datestr date, support bigint")
+    whole = memory.memory_closed_form(items, taxonomy)[1].select("idhash", "path").collect()
+    paths = memory.memory_paths(items, taxonomy)
+    assert sorted(paths.collect()) == sorted(whole)
+    assert "support" not in _plan(paths)
