@@ -1,11 +1,13 @@
 import random
 from datetime import date, timedelta
 from itertools import combinations
+from pathlib import Path
+from urllib.parse import urlparse
 
 import pytest
 from pyspark.sql import functions as F
 
-from placelore.functions.skew import cut_lineage
+from placelore.functions.skew import cut_lineage, shared_folder
 from placelore.operators import backward, context, evaluate, memory, notes, persona, profile, routing, variants
 
 D = date(2024, 1, 1)
@@ -106,6 +108,55 @@ def test_fold_without_backward_equals_closed_form(spark, taxonomy):
     assert tables(items, tree) == tables(*memory.memory_closed_form(rows, taxonomy))
 
 
+def folded_by_tables(items, taxonomy, end, keys, options):
+    """The fold with the operators on tables, period by period."""
+    state, logs, first = None, [], 0
+    while first <= end:
+        last = min(first + options.backward_every - 1, end)
+        batch = cut_lineage(items.filter(F.col("datestr").between(F.lit(day(first)), F.lit(day(last)))))
+        old_items, old_notes = state or (None, None)
+        existing = old_items if state else batch.select(*keys, "path", "item").limit(0)
+        routed = routing.route_over_time(batch, taxonomy, existing, keys, with_route=False)
+        routed = routed.filter(options.dynamic).unionByName(routing.base_path_filter(routed.filter(~options.dynamic), taxonomy).select(routed.columns))
+        new = [cut_lineage(df) for df in notes.apply_batch(routed, old_items, old_notes, keys, cut_lineage)]
+        if state:
+            active = cut_lineage(batch.select(keys).distinct().join(old_notes.select(keys).distinct(), keys).filter(options.backward))
+            done = backward.backward_pass(
+                *[df.join(active, keys, "left_semi") for df in new], day(last), keys, options.lift, options.tau, options.min_updates, options.max_age
+            )
+            new = [cut_lineage(df.join(active, keys, "left_anti").unionByName(done_df.select(df.columns))) for df, done_df in zip(new, done)]
+            logs.append(cut_lineage(done[2].withColumn("run_date", F.lit(day(last)))))
+        state = new
+        first = last + 1
+    return *state, logs
+
+
+@pytest.mark.parametrize("every", [1, 3])
+def test_stream_of_days_equals_the_operators_on_tables(spark, taxonomy, every):
+    """Merges, partial merges, lifts and prunes on the way; a user, words and polarities that are NULL; presets as switches."""
+    rng = random.Random(every)
+    users, paths, words = [0, 1, 2, 3, 4, 5, None], [*TAXONOMY, *UNLISTED, "root > Nowhere > X"], [*"abcdefghij", None]
+    rows = {
+        (rng.choice(users), rng.choice(["implicit", "explicit", "user_info"]), rng.choice(words), rng.choice(paths), rng.choice([1, 1, 1, -1, None]), d)
+        for d in range(5) for _ in range(40)
+    }
+    items = daily(spark, sorted(rows, key=str)).withColumn("variant", F.explode(F.array(*map(F.lit, "pqrs")))).filter("rand(3) < 0.9")
+    items = cut_lineage(items)
+    flag = F.col("variant")
+    options = memory.MemoryOptions(
+        backward_every=every, dynamic=flag != "q", backward=flag != "r", lift=flag != "s", tau=0.4, min_updates=2, max_age=2
+    )
+    keys = ["variant", "idhash"]
+    *want, want_logs = folded_by_tables(items, taxonomy, 4, keys, options)
+    folder = Path(urlparse(shared_folder(spark)).path)
+    before = len(list(folder.iterdir()))
+    *got, got_logs = memory.build_memory(items, taxonomy, D, day(4), keys, options)
+    assert len(list(folder.iterdir())) - before == 2  # paths and result, however many periods there are
+    for one, other in zip((*got, *got_logs), (*want, *want_logs), strict=True):
+        assert sorted(map(str, one.select(other.columns).collect())) == sorted(map(str, other.collect()))
+    assert {r.kind for log in got_logs for r in log.collect()} == {"full", "partial"}
+
+
 UNLISTED = ["root > Dining > New", "root > Dining > Other", "root > Dining > Third", "root > Space > Moon", "root > Dining"]
 
 
