@@ -415,6 +415,19 @@ def test_variants_in_one_run(spark, taxonomy):
     assert all(0.0 <= r[m] <= 1.0 for r in out for m in evaluate.METRICS)
 
 
+def test_the_query_consolidates_all_presets_after_every_day(spark, taxonomy, monkeypatch):
+    from placelore.plans import queries_memory
+
+    rows = daily(spark, [(1, "implicit", "a", "root > Dining", 1, 0)])
+    made = {"base.train_users": rows.select("idhash"), "profile_items": rows, "ev.daily_text": rows, "ev.truth": rows, "t.taxonomy": taxonomy}
+    for name, df in made.items():
+        monkeypatch.setattr(f"{queries_memory.__name__}.{name}", lambda spark, d, df=df: df)
+    asked = []
+    monkeypatch.setattr(variants, "run_variants", lambda *args, **settings: asked.append(settings) or rows)
+    queries_memory.run_variants(spark, "")
+    assert asked[0]["options"]["backward_every"] == 1 and asked[0]["names"] is None
+
+
 def test_versions_are_read_from_intervals(spark):
     rows = cut_lineage(random_daily(spark, 9))
     items = cut_lineage(notes.item_versions(rows))
